@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordIndex, columns_of, texts_of
+from .words import WordIndex, arrow_schema, columns_of, texts_of
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -161,6 +161,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_i
     `pattern` cuts a text into words; each match is encoded separately, without special tokens.
     """
     schema = f"`{id_col}` {id_type}, n_tokens long, ids binary"
+    arrow = arrow_schema(schema)
 
     def task(batches):
         import regex
@@ -174,7 +175,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_i
             index.values += replay.encode([w.encode() for w in index.unseen()])
             value = index.values.__getitem__
             ids = [b"".join(map(value, d.tolist())) for d in docs]
-            yield columns_of(schema, {id_col: batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+            yield columns_of(arrow, {id_col: batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
             index.reset_if_over()
 
     return df.select(F.col(id_col).cast(id_type).alias(id_col), F.col(text_col).alias("text")).mapInArrow(task, schema)
@@ -184,12 +185,13 @@ def decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str
     """`df` with `out_col` binary: the bytes that its ids stand for. Null ids decode to empty bytes."""
     kept = [c for c in df.columns if c != out_col]
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*kept).dtypes) + f", `{out_col}` binary"
+    arrow = arrow_schema(schema)
 
     def task(batches):
         token = _tokens_of(ranks_path).__getitem__
         for batch in batches:
             decoded = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-            yield columns_of(schema, {c: batch.column(i) for i, c in enumerate(kept)} | {out_col: decoded})
+            yield columns_of(arrow, {c: batch.column(i) for i, c in enumerate(kept)} | {out_col: decoded})
 
     return df.select(*kept).mapInArrow(task, schema)
 

@@ -40,14 +40,19 @@ class WordIndex:
         return words[len(words) - fresh :]
 
 
-def columns_of(schema: str, arrays: dict):
-    """A record batch whose columns follow the Spark DDL string `schema`."""
-    import pyarrow as pa
+def arrow_schema(schema: str):
+    """Arrow's form of a Spark DDL string. Made where the session is, on the driver; tasks get the result."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], type=f.type) for f in arrow], schema=arrow)
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def columns_of(schema, arrays: dict):
+    """A record batch of these columns, by name, in an Arrow schema."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], type=f.type) for f in schema], schema=schema)
 
 
 def texts_of(column) -> list[str]:
