@@ -17,14 +17,18 @@ empty one. Only the columns named by the caller are read, so further columns can
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import re
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordIndex, arrow_schema, columns_of, texts_of
+from .words import WordIndex, arrow_schema, columns_of, small_batches, texts_of
+
+SPACED = re.compile(r"\s ")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,7 +42,7 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -46,11 +50,11 @@ class MergeReplay:
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
         self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each token pair, -1 where it does not merge."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
@@ -64,8 +68,9 @@ class MergeReplay:
                 out[i] = rank.to_bytes(4, "little")
             elif w:
                 todo.append(i)
-        if todo:
-            for i, ids in zip(todo, self._replay([words[i] for i in todo]), strict=True):
+        for k in range(0, len(todo), 100_000):
+            part = todo[k : k + 100_000]
+            for i, ids in zip(part, self._replay([words[i] for i in part]), strict=True):
                 out[i] = ids
         return out
 
@@ -73,15 +78,15 @@ class MergeReplay:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbol = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         n = len(symbol)
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         starts = np.cumsum(lengths) - lengths
-        following = np.arange(1, n + 1)
+        following = np.arange(1, n + 1, dtype=np.int32)
         following[starts + lengths - 1] = -1
-        before = np.arange(-1, n - 1)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         before[starts] = -1
         alive = np.ones(n, bool)
-        rank_at = np.full(n, -1, np.int64)
-        has = np.flatnonzero(following >= 0)
+        rank_at = np.full(n, -1, np.int32)
+        has = np.flatnonzero(following >= 0).astype(np.int32)
         rank_at[has] = self._rank(symbol[has], symbol[has + 1])
 
         index: dict[int, list[np.ndarray]] = {}
@@ -155,45 +160,65 @@ def _tokens_of(path: str) -> list[bytes]:
     return tokens
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
-    """One row per row of `df`: the id column, `n_tokens` long and `ids` binary (little-endian uint32).
+def _cut(text: str, find) -> list:
+    """Parts of a text that can be encoded apart: a part stands for itself after a space, the first (in a tuple) without.
 
-    `pattern` cuts a text into words; each match is encoded separately, without special tokens.
+    A cut before a space that follows white space could move a border between words; such a text is one part.
     """
-    schema = f"`{id_col}` {id_type}, n_tokens long, ids binary"
-    arrow = arrow_schema(schema)
+    if SPACED.search(text):
+        return [(text,)]
+    first, *rest = text.split(" ")
+    return [(first,), *rest]
+
+
+def encoding(ranks_path: str, pattern: str, arrow):
+    """Function of an iterator of batches (id, text) to batches (id, n_tokens, ids)."""
 
     def task(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        replay = _replay_of(ranks_path)
-        index = _index_of(ranks_path, pattern)
+        replay, index = _replay_of(ranks_path), _index_of(ranks_path, pattern)
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            docs = [index.number(find(t)) for t in texts]
-            index.values += replay.encode([w.encode() for w in index.unseen()])
+            index.reset_if_over()
+            docs = [index.number(_cut(t, find)) for t in texts_of(batch.column(1))]
+            parts = [find(x[0] if isinstance(x, tuple) else f" {x}") for x in index.unseen()]
+            words = list(dict.fromkeys(w for part in parts for w in part))
+            coded = dict(zip(words, replay.encode([w.encode() for w in words]), strict=True)).__getitem__
+            index.values += [b"".join(map(coded, part)) for part in parts]
             value = index.values.__getitem__
             ids = [b"".join(map(value, d.tolist())) for d in docs]
-            yield columns_of(arrow, {id_col: batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
-            index.reset_if_over()
+            yield columns_of(arrow, {arrow.names[0]: batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
 
-    return df.select(F.col(id_col).cast(id_type).alias(id_col), F.col(text_col).alias("text")).mapInArrow(task, schema)
+    return task
 
 
-def decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """`df` with `out_col` binary: the bytes that its ids stand for. Null ids decode to empty bytes."""
-    kept = [c for c in df.columns if c != out_col]
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*kept).dtypes) + f", `{out_col}` binary"
-    arrow = arrow_schema(schema)
+def decoding(ranks_path: str, arrow, ids_col: str):
+    """Function of an iterator of batches to the same batches with the last column of `arrow`: the bytes of the ids."""
 
     def task(batches):
         token = _tokens_of(ranks_path).__getitem__
         for batch in batches:
             decoded = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-            yield columns_of(arrow, {c: batch.column(i) for i, c in enumerate(kept)} | {out_col: decoded})
+            yield columns_of(arrow, {n: batch.column(batch.schema.get_field_index(n)) for n in arrow.names[:-1]} | {arrow.names[-1]: decoded})
+
+    return task
+
 
-    return df.select(*kept).mapInArrow(task, schema)
+def encode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
+    """One row per row of `df`: the id column, `n_tokens` long and `ids` binary (little-endian uint32).
+
+    `pattern` cuts a text into words; each match is encoded separately, without special tokens.
+    """
+    schema = f"`{id_col}` {id_type}, n_tokens long, ids binary"
+    return df.select(F.col(id_col).cast(id_type).alias(id_col), F.col(text_col).alias("text")).mapInArrow(encoding(ranks_path, pattern, arrow_schema(schema)), schema)
+
+
+def decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """`df` with `out_col` binary: the bytes that its ids stand for. Null ids decode to empty bytes."""
+    kept = [c for c in df.columns if c != out_col]
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*kept).dtypes) + f", `{out_col}` binary"
+    return df.select(*kept).mapInArrow(decoding(ranks_path, arrow_schema(schema), ids_col), schema)
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
@@ -201,5 +226,14 @@ def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_50k.tiktoken")
-    coded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, P.PATTERN), path)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    encoded, decoded, digests = map(arrow_schema, ("doc_id long, n_tokens long, ids binary", "doc_id long, n_tokens long, ids binary, decoded binary", schema))
+    encode_task, decode_task = encoding(path, P.PATTERN, encoded), decoding(path, decoded, "ids")
+
+    def task(batches):
+        sha = lambda column: [hashlib.sha256(x.as_buffer()).hexdigest() for x in column]
+        for batch in decode_task(encode_task(batches)):  # one Python worker a task, and neither ids nor bytes cross to the JVM
+            yield columns_of(digests, {"doc_id": batch.column(0), "n_tokens": batch.column(1), "ids_sha256": sha(batch.column(2)), "decoded_sha256": sha(batch.column(3))})
+
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text").mapInArrow(task, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .words import WordIndex, arrow_schema, columns_of, texts_of
+from .words import WordIndex, arrow_schema, columns_of, small_batches, texts_of
 
 #: Texts of these characters only are cut at white space before tokenizing, which changes no id.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ–—‘-”…€]*")
@@ -86,15 +86,14 @@ def token_pieces(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
             keys = batch.column(0).to_pylist()
             out: dict[str, list] = {k: [] for k in (id_col, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] * keep_ids))}
             texts = texts_of(batch.column(1))
-            for at in range(0, len(texts), 2000):
-                for key, ids in zip(keys[at : at + 2000], encode_texts(texts[at : at + 2000], tokenizer_path), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, size):
-                        part = ids[start * 4 : (start + size) * 4]
-                        row = (key, start, len(part) // 4, zlib.crc32(part), n, *([part] * keep_ids))
-                        for column, value in zip(out.values(), row, strict=True):
-                            column.append(value)
+            for key, ids in zip(keys, encode_texts(texts, tokenizer_path), strict=True):
+                ids += end
+                n = len(ids) // 4
+                for start in range(0, n, size):
+                    part = ids[start * 4 : (start + size) * 4]
+                    row = (key, start, len(part) // 4, zlib.crc32(part), n, *([part] * keep_ids))
+                    for column, value in zip(out.values(), row, strict=True):
+                        column.append(value)
             yield columns_of(arrow, out)
 
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(task, schema)
@@ -242,4 +241,5 @@ def op9_packing(spark, sf_dir: str) -> DataFrame:
     """All `documents`, packed into sequences of 4096 tokens."""
     import public_tokenizers as P
 
+    small_batches(spark)
     return pack(token_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("word_bpe_49k.json")))

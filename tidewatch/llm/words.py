@@ -16,7 +16,7 @@ class WordIndex:
     changes no result.
     """
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 250_000):
         self.limit = limit
         self.clear()
 
@@ -58,3 +58,8 @@ def columns_of(schema, arrays: dict):
 def texts_of(column) -> list[str]:
     """Texts of an Arrow column; null counts as the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def small_batches(spark, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows than Spark's default, as texts can be long and Python workers have little memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
