@@ -8,6 +8,7 @@ from importlib import import_module
 OPERATORS = {
     "op1_byte_bpe": "byte_bpe",
     "op7_fingerprints": "fingerprints",
+    "op8_chat_format": "chat_format",
     "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
 }
