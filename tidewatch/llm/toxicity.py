@@ -98,16 +98,14 @@ class Network:
             out.append(self.maxima(part, embedded)[0] @ self.weight + self.offset)
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
-    def fit(self, docs: list[np.ndarray], lists: np.ndarray, labels: np.ndarray, epochs: int = 4, batch: int = 32, rate: float = 0.05, seed: int = 4) -> None:
+    def fit(self, docs: list[np.ndarray], lists: np.ndarray, labels: np.ndarray, epochs: int = 2, batch: int = 32, rate: float = 0.05, seed: int = 4) -> None:
         """Adagrad on the logistic loss; only the words at the maxima receive gradient."""
-        seen: dict[int, list[int]] = {}
+        seen = np.zeros((2, BUCKETS + 1))
         for d, y in zip(docs, labels.tolist(), strict=True):
-            for f in np.unique(lists[np.unique(d)]).tolist():
-                seen.setdefault(f, [0, 0])[y] += 1
+            seen[y, np.unique(lists[np.unique(d)])] += 1
         n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-        for f, (clean, toxic) in seen.items():
-            if clean + toxic >= 3:
-                self.embed[f, 0] = np.clip(np.log((toxic + 0.5) / n1) - np.log((clean + 0.5) / n0), -2, 5) / 4
+        odds = np.clip(np.log((seen[1] + 0.5) / n1) - np.log((seen[0] + 0.5) / n0), -2, 5) / 4
+        self.embed[:, 0] = np.where(seen.sum(axis=0) >= 3, odds, self.embed[:, 0])
         self.embed[BUCKETS] = 0
         rng = np.random.default_rng(seed)
         dense = [self.bias, self.weight, *self.filters.values()]
@@ -216,7 +214,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: tuple[int, int] = (3500, 2500), cut: float = 0.3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: tuple[int, int] = (3000, 2000), cut: float = 0.3) -> Model:
     """A model from labelled documents. `per_class` bounds the sample: rows of label 0 and of label 1."""
     given = labels.select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and key is not null")
     counts = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
