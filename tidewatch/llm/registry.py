@@ -9,6 +9,7 @@ OPERATORS = {
     "op1_byte_bpe": "byte_bpe",
     "op4_toxicity": "toxicity",
     "op5_language_id": "language_id",
+    "op6_html_extract": "html_extract",
     "op7_fingerprints": "fingerprints",
     "op8_chat_format": "chat_format",
     "op9_packing": "packing",
