@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module that defines a function of that name, and perhaps ORACLE_SQL
 OPERATORS = {
     "op1_byte_bpe": "byte_bpe",
+    "op2_near_dedup": "near_dedup",
     "op4_toxicity": "toxicity",
     "op5_language_id": "language_id",
     "op6_html_extract": "html_extract",
