@@ -23,6 +23,8 @@ from .storage import materialize
 
 EXACT, BITS = 8, 64
 LANES = EXACT + BITS + 1
+#: rows of 16 bytes that may be broadcast
+BROADCAST_ROWS = 500_000
 _SPACE = "[\\x20\\x09-\\x0D]"
 
 
@@ -105,13 +107,16 @@ def edit_with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     The next document is that of the next greater id (after the last: the first); where rows share an id, it is
     the least of their texts. A null id has no next document but its own text. `copy` numbers the rows of one
     id from 1 by their texts. Rows meet their successor inside blocks of 2^8 consecutive ids, and the first row
-    of each block is also sent to the block before it, so whole texts are shuffled once.
+    of each block is also sent to the block before it, so whole texts are shuffled once, or twice if the first ids
+    of blocks are too many to broadcast.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     successor = next_ids(docs, id_col="id")
     block = lambda c: F.shiftright(c, block_bits)
     far = successor.where((block("id") != block("next_id")) | (F.col("next_id") <= F.col("id"))).select(F.col("next_id").alias("id"), block("id").alias("_block"))
-    sent = docs.join(far, "id").select("_block", F.lit(1 << block_bits).alias("_order"), "id", "text")
+    far = materialize(far, "first-of-blocks")
+    few = far.count() <= BROADCAST_ROWS  # beyond that, Spark sorts and merges
+    sent = docs.join(F.broadcast(far) if few else far, "id").select("_block", F.lit(1 << block_bits).alias("_order"), "id", "text")
     own = docs.select(block("id").alias("_block"), F.col("id").bitwiseAND(F.lit((1 << block_bits) - 1)).cast("int").alias("_order"), "id", "text")
     beyond = Window.partitionBy("_block").orderBy(F.desc("_order")).rangeBetween(Window.unboundedPreceding, -1)
     copies = Window.partitionBy("_block", "_order").orderBy("text")
