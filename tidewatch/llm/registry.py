@@ -8,6 +8,7 @@ from importlib import import_module
 OPERATORS = {
     "op1_byte_bpe": "byte_bpe",
     "op2_near_dedup": "near_dedup",
+    "op3_sharding": "sharding",
     "op4_toxicity": "toxicity",
     "op5_language_id": "language_id",
     "op6_html_extract": "html_extract",
