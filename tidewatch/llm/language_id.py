@@ -130,10 +130,10 @@ def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key_
     return LanguageModel(languages, [documents[x] for x in languages], [(r["lang"], r["entry"], r["n"], r["count"]) for r in kept if r["n"] >= 0])
 
 
-def predict(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, lang_pred string and score double, one row per row of `df`."""
+def predict(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep`, the language string and its score double under `names`, one row per row of `df`."""
     kept = df.select(*keep)
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + f", `{names[0]}` string, `{names[1]}` double"
     arrow = arrow_schema(schema)
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the entries kept
 

@@ -243,10 +243,10 @@ def train(docs: DataFrame, labels: DataFrame, *, key_col: str = "doc_id", text_c
     return model
 
 
-def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and score double (0 to 1; toxic from the model's cut on), one row per row of `df`."""
+def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """`keep` and a score double under `name` (0 to 1; toxic from the model's cut on), one row per row of `df`."""
     kept = df.select(*keep)
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + f", `{name}` double"
     arrow = arrow_schema(schema)
     sent = df.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the entries of the language model
 
