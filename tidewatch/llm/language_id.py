@@ -40,43 +40,61 @@ class LanguageModel:
         self.languages = languages
         at = {lang: i for i, lang in enumerate(languages)}
         self.prior = np.log(np.array(documents, float) / max(1, sum(documents))) if languages else np.zeros(0)
-        self.known: list[dict[str, np.ndarray]] = []
+        # entry -> row of `table`: log frequencies less their mean over the languages; those of n-grams by n, as the
+        # n-grams that a word is read by overlap in all but one of their characters
+        self.known: list[dict[str, int]] = []
+        table = [np.zeros((1, len(languages)))]
+        start = 1
         for n in range(LONGEST + 1):
             counts: dict[str, np.ndarray] = {}
             for lang, entry, length, count in rows:
                 if length == n:
                     counts.setdefault(entry, np.zeros(len(languages)))[at[lang]] = count
-            total = sum(counts.values()) if counts else np.zeros(len(languages))
-            log = {k: np.log((v + 0.5) / (total + 0.5 * len(counts))).astype(np.float32) for k, v in counts.items()}
-            self.known.append(log)
-
-    def word(self, word: str) -> np.ndarray:
-        """Log score of a word for each language, in nats, up to a constant."""
+            self.known.append({entry: start + i for i, entry in enumerate(counts)})
+            start += len(counts)
+            if counts:
+                c = np.array(list(counts.values()))
+                log = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * len(c)))
+                table.append((log - log.mean(axis=1, keepdims=True)) / max(n, 1))
+        self.table = np.vstack(table).astype(np.float32)
+
+    def rows_of(self, word: str) -> list[int]:
+        """Rows of the table that a word is scored by: its own, else those of the longest n-gram known at each place."""
         found = self.known[0].get(word)
         if found is not None:
-            return found - found.mean()
-        marked, at, score = f"^{word}$", 0, np.zeros(len(self.languages), np.float32)
-        while at < len(marked):
+            return [found]
+        marked, out = f"^{word}$", []
+        for at in range(len(marked)):
             for n in range(LONGEST, 0, -1):
                 found = self.known[n].get(marked[at : at + n]) if at + n <= len(marked) else None
                 if found is not None:
-                    score += (found - found.mean()) / n  # the grams read overlap in all but one of their n characters
+                    out.append(found)
                     break
-            at += 1
-        return score
+        return out
 
     def scores(self, texts: list[str], index: WordIndex) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log score for each text and language, and the number of words with letters; `index` keeps words' scores."""
+        """Summed log score for each text and language, and the number of words with letters.
+
+        `index.values` holds the number of words of each part of a text met so far, `index.scored` their scores.
+        """
         index.reset_if_over()
+        if not index.values:
+            index.scored = np.zeros((0, len(self.languages)), np.float32)
         docs = [index.number(t.lower().split()) for t in texts]
-        for part in index.unseen():
+        fresh, ends, flat = index.unseen(), [], []
+        for part in fresh:
             words = WORD.findall(part)
-            index.values.append((sum(map(self.word, words)) if words else np.zeros(len(self.languages), np.float32), len(words)))
-        if not index.values:
-            return np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        each = np.array([v for v, _ in index.values], np.float32).reshape(len(index.values), len(self.languages))
-        words = np.array([n for _, n in index.values])
-        return np.array([each[d].sum(axis=0, dtype=np.float64) for d in docs]).reshape(len(texts), len(self.languages)), np.array([words[d].sum() for d in docs], np.int64)
+            index.values.append(len(words))
+            for word in words:
+                flat += self.rows_of(word)
+            ends.append(len(flat))
+        if fresh:
+            summed = np.vstack([np.zeros((1, len(self.languages))), np.cumsum(self.table[flat], axis=0, dtype=np.float64)])
+            ends = np.array(ends)
+            index.scored = np.vstack([index.scored, (summed[ends] - summed[np.concatenate(([0], ends[:-1]))]).astype(np.float32)])
+        words = np.array(index.values, np.int64)
+        scores = np.array([index.scored[d].sum(axis=0, dtype=np.float64) for d in docs])
+        return scores.reshape(len(texts), len(self.languages)), np.array([words[d].sum() for d in docs], np.int64)
 
     def decide(self, score: np.ndarray, words: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and confidence (0 to 1) of each text."""
