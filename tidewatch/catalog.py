@@ -1,15 +1,17 @@
-"""Queries over the given tables, by name, each with its SQL twin where SQL can express it."""
+"""All queries over the given tables, by name, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from .plans import inputs, series
+
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return series.indicator_trends(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(inputs.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(inputs.ORACLES)
