@@ -60,25 +60,25 @@ def kappa(table: DataFrame, group: list[str]) -> DataFrame:
 
 
 def pairs_of_maps(long: DataFrame, cell: list[str], name: str, label: str, group: list[str] | None = None) -> DataFrame:
-    """For each cell the labels under each two names (a few), first < second: an equality join on the cell."""
+    """For each cell the labels under each two names (a few), map_a < map_b: an equality join on the cell."""
     g = group or []
-    a = long.select(*g, *cell, F.col(name).alias("first"), F.col(label).alias("a"))
-    b = long.select(*g, *cell, F.col(name).alias("second"), F.col(label).alias("b"))
-    return a.join(b, [*g, *cell]).where("first < second")
+    a = long.select(*g, *cell, F.col(name).alias("map_a"), F.col(label).alias("a"))
+    b = long.select(*g, *cell, F.col(name).alias("map_b"), F.col(label).alias("b"))
+    return a.join(b, [*g, *cell]).where("map_a < map_b")
 
 
 def kappa_pairs(long: DataFrame, cell: list[str], name: str, label: str, group: list[str] | None = None) -> DataFrame:
     """Agreement of every pair of maps, in one pass."""
-    by = [*(group or []), "first", "second"]
+    by = [*(group or []), "map_a", "map_b"]
     return kappa(contingency(pairs_of_maps(long, cell, name, label, group), by, "a", "b"), by)
 
 
 def kappa_matrix(pairs: DataFrame, names: list[str]) -> DataFrame:
     """H5: symmetric matrix with 1 on the diagonal."""
-    both = pairs.select("first", "second", "kappa").unionByName(pairs.select(F.col("second").alias("first"), F.col("first").alias("second"), "kappa"))
-    names_ = both.select("first").distinct()
-    both = both.unionByName(names_.select("first", F.col("first").alias("second"), F.lit(1.0).alias("kappa")))
-    return both.groupBy("first").pivot("second", names).agg(F.first("kappa"))
+    both = pairs.select("map_a", "map_b", "kappa").unionByName(pairs.select(F.col("map_b").alias("map_a"), F.col("map_a").alias("map_b"), "kappa"))
+    names_ = both.select("map_a").distinct()
+    both = both.unionByName(names_.select("map_a", F.col("map_a").alias("map_b"), F.lit(1.0).alias("kappa")))
+    return both.groupBy("map_a").pivot("map_b", names).agg(F.first("kappa"))
 
 
 def lights_kappa(pairs: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -93,22 +93,22 @@ def kappa_distribution(pairs: DataFrame, group: list[str] | None = None) -> Data
 
 def best_and_worst(pairs: DataFrame, top: int = 5) -> DataFrame:
     """H8: the top pairs of either end, with `rank` from 1."""
-    keyed = pairs.where(F.col("kappa").isNotNull()).select("first", "second", "kappa")
+    keyed = pairs.where(F.col("kappa").isNotNull()).select("map_a", "map_b", "kappa")
     end = lambda name, order: keyed.orderBy(*order).limit(top).withColumn("end", F.lit(name))
-    both = end("best", [F.desc("kappa"), "first", "second"]).unionByName(end("worst", ["kappa", "first", "second"]))
-    rank = F.row_number().over(Window.partitionBy("end").orderBy(F.when(F.col("end") == "best", -F.col("kappa")).otherwise(F.col("kappa")), "first", "second"))
+    both = end("best", [F.desc("kappa"), "map_a", "map_b"]).unionByName(end("worst", ["kappa", "map_a", "map_b"]))
+    rank = F.row_number().over(Window.partitionBy("end").orderBy(F.when(F.col("end") == "best", -F.col("kappa")).otherwise(F.col("kappa")), "map_a", "map_b"))
     return both.withColumn("rank", rank)
 
 
 def one_factor(pairs: DataFrame, settings: DataFrame, factors: list[str], name: str = "config", group: list[str] | None = None) -> DataFrame:
     """H9: mean kappa of pairs whose settings differ in exactly one factor, by that factor (and by `group`, common to both)."""
     side = lambda s: settings.select(F.col(name).alias(s), *(F.col(f).alias(f"{s}_{f}") for f in factors))
-    joined = pairs.join(F.broadcast(side("first")), "first").join(F.broadcast(side("second")), "second")
-    differs = [(F.col(f"first_{f}") != F.col(f"second_{f}")).cast("int") for f in factors]
+    joined = pairs.join(F.broadcast(side("map_a")), "map_a").join(F.broadcast(side("map_b")), "map_b")
+    differs = [(F.col(f"map_a_{f}") != F.col(f"map_b_{f}")).cast("int") for f in factors]
     which = F.lit(None).cast("string")
     for f, d in zip(factors, differs, strict=True):
         which = F.when(d == 1, F.lit(f)).otherwise(which)
-    kept = joined.where(sum(differs) == 1).withColumn("factor", which).withColumns({g: F.col(f"first_{g}") for g in group or []})
+    kept = joined.where(sum(differs) == 1).withColumn("factor", which).withColumns({g: F.col(f"map_a_{g}") for g in group or []})
     kept = kept.where("factor not in ({})".format(", ".join(f"'{g}'" for g in group))) if group else kept
     return kept.groupBy(*(group or []), "factor").agg(F.avg("kappa").alias("mean_kappa"), F.count("kappa").alias("n_pairs"))
 

@@ -64,16 +64,16 @@ def around(df: DataFrame, breaks: DataFrame, key: list[str], at: str, name: str,
 
 
 def pettitt(df: DataFrame, key: list[str], time: str = "t", value: str = "value") -> DataFrame:
-    """index of the largest |U|, K and p of Pettitt's test, on series without gaps."""
+    """index of the largest |U|, its size K (`k_stat`) and p of Pettitt's test, on series without gaps."""
     by_value, by_time = Window.partitionBy(*key).orderBy(value), Window.partitionBy(*key).orderBy(time)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*key, value))
     n = F.count(F.lit(1)).over(Window.partitionBy(*key))
     r = df.withColumn("_r", F.rank().over(by_value) + (ties - 1) / 2.0).withColumn("_n", n).withColumn("_i", F.row_number().over(by_time))
     u = 2 * F.sum("_r").over(by_time.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_i") * (F.col("_n") + 1)
     r = r.withColumn("_u", F.abs(u))
-    g = r.groupBy(*key).agg(F.max_by(time, F.struct("_u", -F.col("_i"))).alias("pettitt_cp"), F.max("_u").alias("k"), F.max("_n").cast("double").alias("_n"))
-    p = F.least(F.lit(1.0), 2 * F.exp(-6 * F.col("k") * F.col("k") / (F.pow("_n", F.lit(3)) + F.col("_n") * F.col("_n"))))
-    return g.select(*key, "pettitt_cp", "k", p.alias("pettitt_pval"))
+    g = r.groupBy(*key).agg(F.max_by(time, F.struct("_u", -F.col("_i"))).alias("pettitt_cp"), F.max("_u").alias("k_stat"), F.max("_n").cast("double").alias("_n"))
+    p = F.least(F.lit(1.0), 2 * F.exp(-6 * F.col("k_stat") * F.col("k_stat") / (F.pow("_n", F.lit(3)) + F.col("_n") * F.col("_n"))))
+    return g.select(*key, "pettitt_cp", "k_stat", p.alias("pettitt_pval"))
 
 
 def sup_f(df: DataFrame, key: list[str], trim: float = 0.15, time: str = "t", value: str = "value") -> DataFrame:
@@ -180,7 +180,7 @@ def all_tests(df: DataFrame, key: list[str], null: DataFrame, missing: int = 50)
     s = sup_f_p(sup_f(ready, key), null)
     v = variance_break(ready, key)
     found = df.select(*key).distinct()
-    parts = [p.drop("k"), around(ready, p, key, "pettitt_cp", "pettitt"), s, around(ready, s, key, "sc_bp", "stc"), v, variance_ratio(ready, v, key, "bp_var"), ready.select(*key).distinct().withColumn("_ok", F.lit(True))]
+    parts = [p.drop("k_stat"), around(ready, p, key, "pettitt_cp", "pettitt"), s, around(ready, s, key, "sc_bp", "stc"), v, variance_ratio(ready, v, key, "bp_var"), ready.select(*key).distinct().withColumn("_ok", F.lit(True))]
     for part in parts:
         found = found.join(part, key, "left")
     return found.withColumn("error", F.when(F.col("_ok").isNull(), "too many gaps or no variance")).drop("_ok")

@@ -18,7 +18,8 @@ def positive_cuts(breaks: DataFrame, key: list[str], tests: list[str]) -> DataFr
     the union of the positives cut at the earliest break of any test, significant or not."""
     rows = [F.struct(F.lit(t).alias("test"), F.when(F.col(f"{t}_pos"), F.col(f"{t}_date")).alias("cut_date")) for t in tests]
     anyone = reduce(lambda a, b: a | b, (F.col(f"{t}_pos") for t in tests))
-    rows.append(F.struct(F.lit("all").alias("test"), F.when(anyone, F.least(*(F.col(f"{t}_date") for t in tests))).alias("cut_date")))
+    dates = [F.col(f"{t}_date") for t in tests]
+    rows.append(F.struct(F.lit("all").alias("test"), F.when(anyone, F.least(*dates) if len(dates) > 1 else dates[0]).alias("cut_date")))
     return breaks.select(*key, F.explode(F.array(*rows)).alias("_r")).select(*key, "_r.*").where("cut_date is not null")
 
 

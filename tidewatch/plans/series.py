@@ -79,9 +79,9 @@ def weekly_resample(spark, d):
     return cal.time_slice(weekly, "1996-01-01", "1997-12-31")
 
 
-@query(f"with {S1} select k, cast(date_trunc('month', time) as date) as time, round(avg(value), 6) as value from s1 group by 1, 2")
+@query(f"with {S1} select k, cast(date_trunc('month', time) as date) as time, round(avg(value), 8) as value from s1 group by 1, 2")
 def monthly_resample(spark, d):
-    return rounded(cal.resample(s1(spark, d), ["k"], "MS", "mean"))
+    return rounded(cal.resample(s1(spark, d), ["k"], "MS", "mean"), 8)
 
 
 @query(f"with {S1} select k, cast(date_trunc('year', time) as date) as time, round(sum(value), 5) as value from s1 group by 1, 2")
@@ -98,9 +98,9 @@ def dense_calendar(spark, d):
     return cal.densify(s1(spark, d), ["k"], "7 days").withColumn("t", cal.position(["k"])).select("k", "time", "value", "t")
 
 
-@query(f"with {_DENSE1}, m as (select k, cast(date_trunc('month', time) as date) as time, round(avg(value), 6) as value from s1 group by 1, 2) select k, cast(date '2000-01-01' + to_months(cast(dense_rank() over (partition by k order by time) - 1 as integer)) as date) as time, value from m")
+@query(f"with {_DENSE1}, m as (select k, cast(date_trunc('month', time) as date) as time, round(avg(value), 8) as value from s1 group by 1, 2) select k, cast(date '2000-01-01' + to_months(cast(dense_rank() over (partition by k order by time) - 1 as integer)) as date) as time, value from m")
 def restamped_months(spark, d):
-    m = rounded(cal.resample(s1(spark, d), ["k"], "MS", "mean"))
+    m = rounded(cal.resample(s1(spark, d), ["k"], "MS", "mean"), 8)
     return cal.restamp_months(m, ["k"], F.lit("2000-01-01").cast("date")).select("k", "time", "value")
 
 
@@ -137,7 +137,7 @@ def time_by_step(spark, d):
     return cal.time_by_step(s2(spark, d), ["k"], F.lit(10))
 
 
-@query(f"with {S2} select k, t, cast(floor(2000 + t / cast(52.1775 as double)) as integer) as year, round(date_diff('day', date '1992-01-01', time) / cast(30.44 as double), 6) months, round(date_diff('day', date '1992-01-01', time) / cast(365.25 as double), 6) years from s2")
+@query(f"with {S2} select k, t, cast(floor(2000 + t / cast(52.1775 as double)) as integer) as year, round(date_diff('day', date '1992-01-01', time) / cast(30.44 as double), 6) as months, round(date_diff('day', date '1992-01-01', time) / cast(365.25 as double), 6) as years from s2")
 def numeric_axes(spark, d):
     first = F.lit("1992-01-01").cast("date")
     return rounded(s2(spark, d).select("k", "t", cal.year_of_index(F.col("t")).alias("year"), cal.months_since(F.col("time"), first).alias("months"), cal.years_since(F.col("time"), first).alias("years")))
@@ -307,9 +307,9 @@ def index_correlation(spark, d):
     return rounded(trend.index_correlation(s, index, ["k"]))
 
 
-@query(f"with {S3} select k, time, value from s3 where k in ('error', 'view')")
+@query(f"with {S3} select k, strftime(time, '%Y-%m-%d %H') as hour, value from s3 where k in ('error', 'view')")
 def qualifying_series(spark, d):
-    return trend.qualifying(s3(spark, d), ["error", "view"], "k")
+    return trend.qualifying(s3(spark, d), ["error", "view"], "k").select("k", F.date_format("time", "yyyy-MM-dd HH").alias("hour"), "value")
 
 
 _TREND = f"""{_ROLL}, i as (select k, t, 'std' indicator, case when n = {W} then round(sd, 9) end v from r union all select k, t, 'ac1', case when n = {W} and vp > 0 then round((sxy - m * sx + c1 * m * m) / ({W} * vp), 9) end from r)"""
