@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import breaks, inputs, maps, series  # noqa: F401  their queries register themselves
+from .plans import breaks, features, inputs, maps, series  # noqa: F401  their queries register themselves
 
 
 def flagship(spark, sf_dir: str):
