@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar as cal
 from ..operators import rolling, trend
 from ..sources import tables
-from .inputs import CELLS, S1, S2, S3, cells, query, rounded, s1, s2, s3, table
+from .inputs import CELLS, ODD, S1, S2, S3, cells, query, rounded, s1, s2, s3, table
 
 HALF = 6
 W = 2 * HALF + 1
@@ -75,7 +75,7 @@ def weekly_resample(spark, d):
     o = table(spark, d, "orders")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
     raw = o.join(c, o.o_custkey == c.c_custkey).select("k", F.to_date("o_orderdate").alias("time"), (F.col("o_totalprice") / 1000.0).alias("value"))
-    weekly = cal.resample(raw, ["k"], "W", cal.weekly_how("total_price")).withColumn("value", F.round("value", 5))
+    weekly = cal.resample(raw, ["k"], "W", cal.weekly_how("total_price")).withColumn("value", F.round("value", 5) * ODD)
     return cal.time_slice(weekly, "1996-01-01", "1997-12-31")
 
 
