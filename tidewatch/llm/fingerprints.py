@@ -28,28 +28,37 @@ BROADCAST_ROWS = 500_000
 _SPACE = "[\\x20\\x09-\\x0D]"
 
 
-def _sums(units: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of the vectors of `units` (keys, whole paragraph or null, run or null) by keys, as array<bigint> of LANES."""
+def _sums(units: DataFrame, keys: list[str], versions: list[str]) -> DataFrame:
+    """Sums of the vectors of `units` (keys, number of the version, whole paragraph or null, run or null) by keys, an array<bigint> of LANES for each version."""
     low, high = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32)
-    exact = [F.sum(F.when(F.col("_whole").isNotNull(), side(F.xxhash64(F.lit(k), "_whole")))) for k in range(EXACT // 2) for side in (low, high)]
+    exact = [F.when(F.col("_whole").isNotNull(), side(F.xxhash64(F.lit(k), "_whole"))) for k in range(EXACT // 2) for side in (low, high)]
     # two bits to each sum, 32 places apart: a text would need 2^31 runs to carry from one to the other
-    pair = [F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(0x100000001))) for k in range(BITS // 2)]
-    n = F.sum(F.when(F.col("_run").isNotNull(), F.lit(1)))
-    made = [x.alias(f"_s{i}") for i, x in enumerate([*exact, *pair, n])]
-    summed = units.withColumn("_h", F.when(F.col("_run").isNotNull(), F.xxhash64(F.lit(-1), "_run"))).groupBy(*keys).agg(*made)
-    of = lambda i: F.coalesce(F.col(f"_s{i}"), F.lit(0))
-    lanes = [low(of(i)) for i in range(EXACT)] + [side(of(EXACT + k)) for k in range(BITS // 2) for side in (low, high)] + [of(EXACT + BITS // 2)]
-    return summed.select(*keys, F.array(*lanes).alias("_lanes"))
-
-
-def fingerprint(df: DataFrame, *, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys and `lanes` array<bigint>, one row for each distinct key; rows of one key are one text, their paragraphs added."""
-    lines = F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    paragraphs = df.select(*keys, F.explode_outer(lines).alias("_whole"))
+    pair = [F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(0x100000001)) for k in range(BITS // 2)]
+    parts = [*exact, *pair, F.when(F.col("_run").isNotNull(), F.lit(1).cast("long"))]
+    hashed = units.withColumn("_h", F.when(F.col("_run").isNotNull(), F.xxhash64(F.lit(-1), "_run")))
+    summed = hashed.groupBy(*keys).agg(*(F.sum(x if len(versions) == 1 else F.when(F.col("_version") == v, x)).alias(f"_s{v}_{i}") for v in range(len(versions)) for i, x in enumerate(parts)))
+
+    def lanes(v: int) -> Column:
+        of = lambda i: F.coalesce(F.col(f"_s{v}_{i}"), F.lit(0))
+        return F.array(*(low(of(i)) for i in range(EXACT)), *(side(of(EXACT + k)) for k in range(BITS // 2) for side in (low, high)), of(EXACT + BITS // 2))
+
+    return summed.select(*keys, *(lanes(v).alias(name) for v, name in enumerate(versions)))
+
+
+def fingerprint(df: DataFrame, *, keys: list[str], texts: dict[str, str] | None = None) -> DataFrame:
+    """keys and an array<bigint> of lanes for each text column of `texts` (lanes column -> text column; `lanes` of `text`
+    if not given), one row for each distinct key; rows of one key are one text, their paragraphs added.
+
+    All versions of a key are summed in one aggregate, so that they cross one shuffle as one row.
+    """
+    texts = texts or {"lanes": "text"}
+    lines = lambda c: F.filter(F.split(F.coalesce(F.col(c).cast("string"), F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    versions = F.explode(F.array(*(F.struct(F.lit(v).alias("_version"), lines(c).alias("_lines")) for v, c in enumerate(texts.values())))).alias("_v")
+    paragraphs = df.select(*keys, versions).select(*keys, "_v._version", F.explode_outer("_v._lines").alias("_whole"))
     runs = F.regexp_extract_all("_whole", F.lit(f"(?:[^\\x20\\x09-\\x0D]+(?:{_SPACE}+|$)){{1,8}}"), 0)
-    units = paragraphs.select(*keys, "_whole", F.posexplode_outer(runs).alias("_at", "_run"))
-    units = units.select(*keys, F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, F.col("_whole")).alias("_whole"), F.rtrim("_run").alias("_run"))
-    return _sums(units, keys).withColumnRenamed("_lanes", "lanes")
+    units = paragraphs.select(*keys, "_version", "_whole", F.posexplode_outer(runs).alias("_at", "_run"))
+    units = units.select(*keys, "_version", F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, F.col("_whole")).alias("_whole"), F.rtrim("_run").alias("_run"))
+    return _sums(units, keys, list(texts))
 
 
 def _modulo(lanes: Column) -> Column:
@@ -129,10 +138,9 @@ def edit_with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text of `documents` and of its edited text, and how alike they and the next one's are."""
     rows = edit_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rows = rows.select("id", "copy", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("_v"))
     keys = ["id", "copy", "next_id", "n_chars", "edited_sha256"]
-    made = fingerprint(rows.select(*keys, "_v.which", "_v.text"), keys=[*keys, "which"])
-    lanes = made.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("lanes"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("lanes"))).alias("edited"))
+    rows = rows.select("id", "copy", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", F.col("edited").alias("_edited"))
+    lanes = fingerprint(rows, keys=keys, texts={"own": "text", "edited": "_edited"})
     lanes = materialize(lanes, "fingerprints")
     following = lanes.where("copy = 1").select(F.col("id").alias("next_id"), F.col("own").alias("next"))
     found = lanes.join(following, "next_id", "left")
