@@ -21,7 +21,7 @@ from .storage import materialize
 
 WINDOW = 8
 #: rate -> how far beyond the fence is still accepted (letters x 100 a word, per 1000 word characters, per 1000 lines, per 1000 words)
-TOLERANCE = {"word_length": 200, "symbol_rate": 60, "dup_line_rate": 250, "repeat_rate": 100}
+TOLERANCE = {"word_length": 200, "symbol_rate": 60, "dup_line_rate": 400, "repeat_rate": 250}
 
 
 def quality_counts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -145,7 +145,7 @@ q as (
   select lvl, k, rate, max(a) docs, min(v) filter (cum * 4 >= a) q1, min(v) filter (cum * 4 >= a * 3) q3 from cum group by lvl, k, rate),
 f as (
   select lvl, k, rate, docs, q1 - 3 * (q3 - q1) - tol lo, q3 + 3 * (q3 - q1) + tol hi
-  from q join (values (1, 200), (2, 60), (3, 250), (4, 100)) t(rate, tol) using (rate)),
+  from q join (values (1, 200), (2, 60), (3, 400), (4, 250)) t(rate, tol) using (rate)),
 p as (
   select lvl, k, max(docs) docs, max(lo) filter (rate = 1) l1, max(hi) filter (rate = 1) h1, max(lo) filter (rate = 2) l2, max(hi) filter (rate = 2) h2,
     max(lo) filter (rate = 3) l3, max(hi) filter (rate = 3) h3, max(lo) filter (rate = 4) l4, max(hi) filter (rate = 4) h4 from f group by lvl, k)
