@@ -97,17 +97,15 @@ def theil_sen(df: DataFrame, key: list[str], per_year: float = 52.0, alpha: floa
 def mean_change(df: DataFrame, key: list[str], alpha: float = 0.05, time: str = "t", value: str = "value", with_p: bool = True) -> DataFrame:
     """Second less first of the two equal halves around the middle row, and Welch's t with its p."""
     whole = Window.partitionBy(*key)
-    df = df.withColumn("_i", F.row_number().over(whole.orderBy(time)) - 1).withColumn("_half", F.expr("cast(count(1) over (partition by {}) as int) div 2".format(", ".join(f"`{k}`" for k in key))))
-    n = F.count(F.lit(1)).over(whole)
-    df = df.withColumn("_m", n)
-    first, second = F.when(F.col("_i") < F.col("_half"), F.col(value)), F.when(F.col("_i") >= F.col("_m") - F.col("_half"), F.col(value))
-    g = df.groupBy(*key).agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate((first, second), 1) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
-    e1, e2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
+    df = df.withColumn("_i", F.row_number().over(whole.orderBy(time)) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
+    half = F.floor(F.col("_n") / 2)
+    first, second = F.when(F.col("_i") < half, F.col(value)), F.when(F.col("_i") >= F.col("_n") - half, F.col(value))
+    g = df.groupBy(*key).agg(*(f(c).alias(f"{name}{i}") for i, c in enumerate((first, second), 1) for name, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
     enough = (F.col("n1") >= 2) & (F.col("n2") >= 2)
-    t = F.when(enough, F.try_divide(F.col("m2") - F.col("m1"), F.sqrt(e1 + e2)))
-    free = F.when(enough, F.try_divide((e1 + e2) * (e1 + e2), e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1)))
-    safe = g.select(*key, (F.col("m2") - F.col("m1")).alias("mean_change"), *(F.col(c) for c in ("m1", "v1", "n1", "m2", "v2", "n2"))).where(F.lit(True))
-    found = safe.select(*key, "mean_change", F.when(enough, t).alias("t_stat"), free.alias("dof"))
+    e1, e2 = (F.when(enough, F.try_divide(F.col(f"v{i}"), F.col(f"n{i}"))) for i in (1, 2))
+    free = F.try_divide((e1 + e2) * (e1 + e2), F.try_divide(e1 * e1, F.col("n1") - 1) + F.try_divide(e2 * e2, F.col("n2") - 1))
+    change = F.col("m2") - F.col("m1")
+    found = g.select(*key, change.alias("mean_change"), F.try_divide(change, F.sqrt(e1 + e2)).alias("t_stat"), free.alias("dof"))
     if with_p:
         found = found.withColumn("t_pval", student_two_sided(F.col("t_stat"), F.col("dof"))).withColumn("sig", F.col("t_pval") < alpha)
     return found
