@@ -148,7 +148,7 @@ def _replay_of(path: str) -> MergeReplay:
 
 @lru_cache(maxsize=2)
 def _index_of(path: str, pattern: str) -> WordIndex:
-    return WordIndex()
+    return WordIndex(owner="byte_bpe")
 
 
 @lru_cache(maxsize=4)

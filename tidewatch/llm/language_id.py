@@ -156,7 +156,7 @@ def predict(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the entries kept
 
     def task(batches):
-        index = vars(sent.value).setdefault("index", WordIndex())  # the tasks of a worker share the model and the index
+        index = vars(sent.value).setdefault("index", WordIndex(owner="language_id"))  # the tasks of a worker share the model and the index
         for batch in batches:
             named, score = sent.value.decide(*sent.value.scores(texts_of(batch.column(len(keep))), index))
             yield columns_of(arrow, dict(zip(arrow.names, [*batch.columns[: len(keep)], named, score], strict=True)))

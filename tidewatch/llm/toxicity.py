@@ -192,10 +192,10 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.network is None:
             return np.zeros(len(texts))
-        state = vars(self).setdefault("state", {"index": WordIndex(150_000), "embedded": np.zeros((0, DIM), np.float32), "languages": WordIndex(150_000)})
+        state = vars(self).setdefault("state", {"index": WordIndex(150_000, "toxicity"), "embedded": np.zeros((0, DIM), np.float32), "languages": WordIndex(150_000, "toxicity")})
         index: WordIndex = state["index"]
-        if len(index.ids) > index.limit:
-            index.clear()
+        index.reset_if_over()
+        if not index.values:
             state["embedded"] = np.zeros((0, DIM), np.float32)
         docs = [index.number(t.lower().split()) for t in texts]
         fresh = index.unseen()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from itertools import count
+from weakref import WeakSet
 
 import numpy as np
 
@@ -16,15 +17,22 @@ class WordIndex:
     changes no result.
     """
 
-    def __init__(self, limit: int = 250_000):
-        self.limit = limit
+    _live: WeakSet = WeakSet()
+
+    def __init__(self, limit: int = 250_000, owner: str = ""):
+        """Indexes of one owner are used together; where another owner's tasks begin, they are emptied."""
+        self.limit, self.owner = limit, owner
         self.clear()
+        WordIndex._live.add(self)
 
     def clear(self) -> None:
         self.ids: defaultdict[str, int] = defaultdict(count().__next__)
         self.values: list = []
 
     def reset_if_over(self) -> None:
+        for other in list(WordIndex._live):
+            if other.owner != self.owner and other.ids:
+                other.clear()
         if len(self.ids) > self.limit:
             self.clear()
 
