@@ -279,6 +279,35 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("few", "block"), [(1000, 2048), (4, 16)])
+def test_texts_of_a_family_meet_in_every_bucket(spark, monkeypatch, few, block):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(150):
+        words = [f"w{i}" for i in range(120)]
+        for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+            words[at] = f"x{rng.integers(0, 3)}"
+        texts.append(" ".join(words))
+    df = docs(spark, texts)
+    found = near_dedup.texts(df, len(texts), sum(map(len, texts))).persist()
+    vectors = {r["unit"]: r for r in found.where("hashes is not null").collect()}
+    bands = {r["unit"]: set(r["bands"]) for r in near_dedup.signatures(found.where("hashes is not null").select("unit", "alone", "hashes", "weights")).collect()}
+    sets = {u: dict(zip(np.frombuffer(r["hashes"], "<u8").tolist(), np.frombuffer(r["weights"], "<f4").tolist(), strict=True)) for u, r in vectors.items()}
+    total = {u: sum(x.values()) + vectors[u]["alone"] for u, x in sets.items()}
+    unit = {r["doc_id"]: r["unit"] for r in found.where("doc_id is not null").collect()}
+    label = {u: min(d for d, v in unit.items() if v == u) for u in unit.values()}
+    for u in sets:
+        for v in sets:
+            if bands[u] & bands[v]:
+                low = sum(min(w, sets[v].get(h, 0)) for h, w in sets[u].items())
+                if low >= 0.8 * (total[u] + total[v] - low):
+                    a, b = sorted((label[u], label[v]))
+                    label = {k: a if x == b else x for k, x in label.items()}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == {d: label[u] for d, u in unit.items()}
+
+
 def test_weighted_samples_agree_as_often_as_sets_do():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -17,9 +17,12 @@ components, named by the least doc_id in them.
    agree in far too few places are dropped (a similarity of 0.8 would be more than four standard deviations
    off), the others are verified by their exact weighted Jaccard similarity. In a second round the texts of a
    bucket that are not yet in one class are paired with another of them, chosen at random.
-5. `components` joins links into classes by minimum labels.
+5. `apart` takes the buckets that still hold more than one class and compares every pair of texts of different
+   classes in them, so all candidates are in one class or refuted.
+6. `components` joins links into classes by minimum labels.
 
-Every table here grows in proportion to the input or slower, and no bucket is expanded into pairs. A shingle
+Tables up to the head rounds grow in proportion to the input or slower. `apart` compares in blocks of texts and puts
+out likely pairs only; a bucket of many texts that are all different takes a time that grows with its square. A shingle
 that a third of all texts share is one entry for each text in one bucket's arrays. Null and wordless texts have
 no shingles and form classes of their own; equal word sequences are one text; repeated rows fall in one class.
 An empty table gives an empty result.
@@ -43,6 +46,8 @@ WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 5
 BUCKET, FLUSH = 2_000_000, 1_500_000
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: texts of a bucket that are paired by a join, and texts to a block in larger ones
+FEW, BLOCK = 32, 2048
 _INDEX = WordIndex(200_000, "near_dedup")
 
 
@@ -278,11 +283,16 @@ def signatures(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(task, schema)
 
 
+def _least_agreement() -> float:
+    """Samples in which two texts of similarity SIMILAR agree at least, but for one pair in some hundred thousand."""
+    count = BANDS * ROWS
+    return SIMILAR * count - 4.5 * math.sqrt(SIMILAR * (1 - SIMILAR) * count)
+
+
 def links(pairs: DataFrame, signed: DataFrame, vectors: DataFrame) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is SIMILAR or more."""
     samples = lambda c: signed.select(F.col("unit").alias(c), F.col("samples").alias(f"s{c}"))
-    count = BANDS * ROWS
-    least = SIMILAR * count - 4.5 * math.sqrt(SIMILAR * (1 - SIMILAR) * count)
+    least = _least_agreement()
     arrow = arrow_schema("a long, b long")
 
     def likely(batches):
@@ -326,6 +336,62 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stepped.select("node", "label")
 
 
+def apart(bands: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different classes in a common bucket, all but those whose samples agree in too few places.
+
+    Texts outside the largest class of a bucket are compared with all of other classes, those in it not with each
+    other. In a bucket of more than FEW texts both kinds are dealt to blocks by their hashes, and each pair of blocks
+    is a group of its own; a text goes there with the last byte of each sample, which can only add to the agreement.
+    """
+    named = bands.join(label, bands.unit == label.node, "left").select("band", "unit", F.coalesce("label", "unit").alias("label"))
+    named = materialize(named, "named")
+    classes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = classes.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("classes > 1")
+    open_ = materialize(most.select("band", "n", F.col("most.label").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mains")), "open")
+    member = named.join(open_, "band")
+
+    small = materialize(member.where(F.col("n") <= FEW).select("band", "unit", "label"), "small")
+    second = small.select("band", F.col("unit").alias("b"), F.col("label").alias("label_b"))
+    by_join = small.join(second, "band").where("unit < b and label != label_b").select(F.col("unit").alias("a"), "b")
+
+    salt, column = F.xxhash64(F.lit(3), "unit", "band"), F.col("_x")
+    large = member.where(F.col("n") > FEW).withColumn("_main", F.col("label") == F.col("main"))
+    large = large.withColumn("_own", F.when(F.col("_main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int"))
+    facing = F.when(F.col("_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    cells = large.withColumn("_x", F.explode(facing)).select("band", F.least(column, "_own").alias("i"), F.greatest(column, "_own").alias("j"), (F.col("_own") <= column).alias("_low"), "unit", "label")
+    cells = cells.join(signed.select("unit", "samples"), "unit")
+
+    arrow, least, count = arrow_schema("a long, b long"), _least_agreement(), BANDS * ROWS
+
+    def thin(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("samples")
+            short = pa.array([x[::4] for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], short], schema=batch.schema)
+
+    def cell(table):
+        import pyarrow as pa
+
+        unit, label, low = (table.column(c).to_numpy() for c in ("unit", "label", "_low"))
+        codes = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint8).reshape(-1, count)
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        left, right = (np.arange(len(unit)),) * 2 if same else (np.flatnonzero(low), np.flatnonzero(~low))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, k in enumerate(left):
+            against = right[n + 1 :] if same else right
+            against = against[label[against] != label[k]]
+            found = against[(codes[against] == codes[k]).sum(axis=1) >= least]
+            a.append(np.minimum(unit[found], unit[k]))
+            b.append(np.maximum(unit[found], unit[k]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}).cast(arrow)
+
+    shape = "band long, i int, j int, _low boolean, unit long, label long, samples binary"
+    by_block = cells.select("band", "i", "j", "_low", "unit", "label", "samples").mapInArrow(thin, shape).groupBy("band", "i", "j").applyInArrow(cell, "a long, b long")
+    return by_join.unionByName(by_block).distinct()
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """doc_id and class_id, one row per row of `df`; class_id is the least doc_id of the class."""
     small_batches(df.sparkSession, 1000)
@@ -351,6 +417,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         new = materialize(links(pairs, signed, vector), "links")
         edges = new if edges is None else edges.unionByName(new)
         label = components(edges)
+    new = materialize(links(apart(bands, label, signed), signed, vector), "links")
+    if new.limit(1).count():
+        label = components(edges.unionByName(new))
     of_unit = units.join(label, units.unit == label.node, "left").select("unit", "least", F.coalesce("label", "unit").alias("label"))
     names = of_unit.groupBy("label").agg(F.min("least").alias("class_id"))
     by_unit = of_unit.join(names, "label").select("unit", "class_id")
