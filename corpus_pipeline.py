@@ -1,7 +1,8 @@
 """A training corpus from `documents`, in four stages that filter whole documents and then pack what is left.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. Null and empty texts have no
-language and go in the first stage. Repeated rows of one doc_id are one document to the third. Extra columns
+language and go in the first stage. Rows equal in doc_id and text are one document to the third, and it leaves rows
+without doc_id alone. Extra columns
 stay until the last stage; an empty table passes through.
 """
 
@@ -14,7 +15,7 @@ from tidewatch.llm import language_id, near_dedup, packing, toxicity
 from tidewatch.llm.storage import materialize
 from tidewatch.llm.words import small_batches
 
-#: rows of one id that may be broadcast
+#: rows of one key that may be broadcast
 BROADCAST_ROWS = 1_000_000
 
 
@@ -34,13 +35,21 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near duplicates."""
-    classes = materialize(near_dedup.near_duplicates(docs), "classes")
-    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id"])
-    gone = classes.where("doc_id != class_id").select("doc_id").distinct()
+    """One row of each class of near duplicates: that of the least doc_id, and of its texts the one of the least hash.
+
+    Texts of one doc_id are judged apart; rows equal in doc_id and text are one. Rows without doc_id all stay.
+    """
+    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
+    known = keyed.where("_row is not null")
+    classes = materialize(near_dedup.near_duplicates(known, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id"), "classes")
+    members = classes.distinct().join(known.select("_row", "doc_id").distinct(), "_row")
+    first = members.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
+    gone = materialize(members.join(first, "class_id").where("_row != _first._row").select("_row").distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS  # beyond that, Spark sorts and merges
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = known.join(F.broadcast(gone) if few else gone, "_row", "left_anti")
+    if classes.groupBy("_row").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.select(*docs.columns).unionByName(keyed.where("_row is null").select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

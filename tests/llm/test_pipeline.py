@@ -40,6 +40,16 @@ def test_odd_rows(spark):
     assert sorted(str(r["doc_id"]) for r in found.collect()) == ["3", "None"]
 
 
+def test_distinct_judges_rows_not_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, c), (None, a), (4, c), (5, None), (6, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.distinct(spark, df, SF)
+    assert found.columns == df.columns
+    expected = [(1, a), (2, b), (3, c), (None, d), (None, c), (None, a), (5, None), (6, "")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in found.collect()))) == sorted(map(str, expected))
+
+
 def test_no_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
