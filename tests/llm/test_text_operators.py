@@ -168,6 +168,15 @@ def test_chat_spans_of_other_templates():
     assert [s.rewrote for s in chat_format.locate(turns[:4], last_only)] == [False, True, True, True]
 
 
+def test_chat_renders_whole_prefixes_of_long_conversations():
+    turns = [chat_format.Turn("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(100)]
+    plain = lambda ts: "<s>" + "".join(f"[{t.role}]{t.text}" for t in ts)
+    spans = list(chat_format.locate(turns, plain))
+    assert "".join(s.added for s in spans) == plain(turns) and not any(s.rewrote for s in spans)
+    late = lambda ts: "".join(f"[{'...' if i == 3 and len(ts) > 60 else t.text}]" for i, t in enumerate(ts))
+    assert [i for i, s in enumerate(chat_format.locate(turns, late)) if s.rewrote] == [60]
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><article><h1>A &amp; b</h1><p>one <b>two\n three<p>four<div class='ad'>buy</div></article><footer>f</footer>"
     rows = [(1, "http://h.example/1", page, "x"), (2, None, None, "x"), (3, "http://h.example/1", page, "x"), (4, "u", "", "x"), (5, "http://h.example/5", "a < b &lt; c", "x")]

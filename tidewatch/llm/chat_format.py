@@ -3,10 +3,11 @@ r"""Operator 8: chat formatting with spans located by incremental black-box rend
 A template is any function from a list of turns to a string. `locate` renders successive prefixes of a
 conversation and compares consecutive outputs: what a prefix adds is the span of its last turn. A template
 that rewrites what it rendered before shows as an output that does not begin with the previous one; `locate`
-then reports the turn, and spans begin after the common beginning. A conversation of many turns is rendered in
-stretches of at most STRETCH turns, each after the turn before it, so the work grows in proportion to the turns;
-where a stretch does not begin with what its first turn gave as last turn of the stretch before, that counts
-as a rewrite too.
+then reports the turn, and spans begin after the common beginning. Whole prefixes are rendered, so the work grows
+with the square of the turns. Only a template whose attribute `local` says that it renders each turn by itself is
+rendered in stretches of at most STRETCH turns, each after the turn before it, which gives the same spans in a time
+that grows in proportion to the turns; where a stretch does not begin with what its first turn gave as last turn of
+the stretch before, that counts as a rewrite too.
 
 `FencedTemplate` marks turns with control strings and escapes the characters they are made of inside texts
 and roles, reversibly: no text, not even one that holds control strings or escapes, can pose as a mark.
@@ -50,6 +51,8 @@ class FencedTemplate:
     _escapes = {"\\": "\\b", "#": "\\h", "<": "\\l", ":": "\\c", "\n": "\\n"}
     _back = {v[1]: k for k, v in _escapes.items()}
     _turn = re.compile(r"### ([^\n:]*):\n(.*?)</turn>\n", re.S)
+    #: the rendering of turns is that of each turn by itself, joined
+    local = True
 
     def escape(self, text: str, marks: str = "\\#<") -> str:
         return re.sub(f"[{re.escape(marks)}]", lambda m: self._escapes[m[0]], text) if any(c in text for c in marks) else text
@@ -73,12 +76,13 @@ class FencedTemplate:
 
 
 def locate(turns: Iterable[Turn], render: Callable[[list[Turn]], str], stretch: int = STRETCH) -> Iterator[Span]:
-    """Spans of a conversation's turns in order. Holds `stretch` turns at most."""
+    """Spans of a conversation's turns in order. Holds `stretch` turns at most of a local template, all of any other."""
+    local = getattr(render, "local", False)
     seen: list[Turn] = []
     output = last = ""
     for turn in turns:
         moved = False
-        if len(seen) == stretch:
+        if local and len(seen) == stretch:
             seen = seen[-1:]
             output = render(seen)
             moved = output != last
