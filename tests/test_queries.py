@@ -61,3 +61,24 @@ def test_contract_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_residuals_are_robust(spark):
+    from tidewatch.operators import rolling
+    from tidewatch.plans import series
+
+    robust = series.rounded(rolling.stl_residual(series.s2(spark, SF), ["k"], 52, robust=True).select("k", "t", "resid"))
+    assert sorted(map(tuple, catalog.queries()["stl_residual"](spark, SF).collect())) == sorted(map(tuple, robust.collect()))
+    signals, _ = rolling.early_warning(series.s2(spark, SF).select("k", "t", "value"), ["k"], 53, period=52, robust=True)
+    found = catalog.queries()["early_warning_job"](spark, SF)
+    assert canonical(found.columns, found.collect()) == canonical(signals.columns, series.rounded(signals).collect())
+
+
+def test_sup_f_uses_the_default_simulations(spark, monkeypatch):
+    from tidewatch.functions import stats
+
+    asked, null = [], stats.sup_f_null
+    monkeypatch.setattr(stats, "sup_f_null", lambda spark, **given: asked.append(given) or null(spark, **given))
+    for name in ("sup_f_p_value", "all_break_tests"):
+        catalog.queries()[name](spark, SF)
+    assert asked == [{}, {}]

@@ -91,13 +91,13 @@ def spline_gaps(spark, d):
 @query()
 def all_break_tests(spark, d):
     dense = cal.densify(s2(spark, d).select("k", "time", "value"), ["k"], "7 days").withColumn("t", cal.position(["k"]))
-    return rounded(cp.all_tests(dense, ["k"], stats.sup_f_null(spark, sims=2000)))
+    return rounded(cp.all_tests(dense, ["k"], stats.sup_f_null(spark)))
 
 
 @query()
 def sup_f_p_value(spark, d):
     """Null quantiles are simulated; the statistics they are held against come from the tables."""
-    return rounded(stats.sup_f_p(cp.sup_f(s2(spark, d), ["k"]), stats.sup_f_null(spark, sims=4000)))
+    return rounded(stats.sup_f_p(cp.sup_f(s2(spark, d), ["k"]), stats.sup_f_null(spark)))
 
 
 def _break_table(spark, d):

@@ -246,12 +246,12 @@ def gaps_by_line(spark, d):
 
 @query()
 def stl_residual(spark, d):
-    return rounded(rolling.stl_residual(s2(spark, d), ["k"], 52, robust=False).select("k", "t", "resid"))
+    return rounded(rolling.stl_residual(s2(spark, d), ["k"], 52).select("k", "t", "resid"))
 
 
 @query()
 def early_warning_job(spark, d):
-    indicators, _ = rolling.early_warning(s2(spark, d).select("k", "t", "value"), ["k"], 53, period=52, robust=False)
+    indicators, _ = rolling.early_warning(s2(spark, d).select("k", "t", "value"), ["k"], 53, period=52)
     return rounded(indicators)
 
 
