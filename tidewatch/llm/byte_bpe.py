@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordIndex, arrow_schema, columns_of, small_batches, texts_of
+from .words import WordIndex, arrow_schema, bounded, columns_of, texts_of
 
 SPACED = re.compile(r"\s ")
 
@@ -179,7 +179,7 @@ def encoding(ranks_path: str, pattern: str, arrow):
 
         find = regex.compile(pattern).findall
         replay, index = _replay_of(ranks_path), _index_of(ranks_path, pattern)
-        for batch in batches:
+        for batch in bounded(batches):
             index.reset_if_over()
             docs = [index.number(_cut(t, find)) for t in texts_of(batch.column(1))]
             parts = [find(x[0] if isinstance(x, tuple) else f" {x}") for x in index.unseen()]
@@ -235,5 +235,4 @@ def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
         for batch in decode_task(encode_task(batches)):  # one Python worker a task, and neither ids nor bytes cross to the JVM
             yield columns_of(digests, {"doc_id": batch.column(0), "n_tokens": batch.column(1), "ids_sha256": sha(batch.column(2)), "decoded_sha256": sha(batch.column(3))})
 
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text").mapInArrow(task, schema)

@@ -27,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import arrow_schema, columns_of, small_batches
+from .words import arrow_schema, bounded, columns_of
 
 STRETCH = 32
 
@@ -104,7 +104,7 @@ def format_turns(df: DataFrame, template=None, *, conv_col: str = "conv_id", tur
 
     def task(batches):
         def rows():
-            for batch in batches:
+            for batch in bounded(batches, 2):
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         out, size = [], 0
@@ -148,7 +148,7 @@ def digests(df: DataFrame, template=None, *, target: str = "assistant") -> DataF
 
     def task(batches):
         def rows():
-            for batch in batches:
+            for batch in bounded(batches, 2):
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         out = []
@@ -175,7 +175,6 @@ def digests(df: DataFrame, template=None, *, target: str = "assistant") -> DataF
 
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
     """All `conversations` and the one numbered -7, formatted and read back."""
-    small_batches(spark)
     hard = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")

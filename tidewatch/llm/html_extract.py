@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .words import arrow_schema, columns_of, small_batches, texts_of
+from .words import arrow_schema, columns_of, texts_of
 
 # fixed values: element names of HTML
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
@@ -197,6 +197,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
 def op6_html_extract(spark, sf_dir: str) -> DataFrame:
     """Main text of every whole page of `pages`."""
-    small_batches(spark)
     found = extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -39,25 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .words import WordIndex, arrow_schema, columns_of, small_batches, texts_of
+from .words import MULTIPLIER as _MULTIPLIER
+from .words import WordIndex, arrow_schema, bounded, columns_of, mix, texts_of
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 5
 #: postings to a bucket, and postings that a task holds before it sends them
 BUCKET, FLUSH = 2_000_000, 1_500_000
 _NOT_ALNUM = re.compile(r"[\W_]+")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: texts of a bucket that are paired by a join, and texts to a block in larger ones
 FEW, BLOCK = 32, 2048
 _INDEX = WordIndex(200_000, "near_dedup")
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finalizer of a 64-bit hash (splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _word_hash(part: str) -> int:
     word = _NOT_ALNUM.sub("", part)
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") | 1 if word else 0
@@ -119,7 +112,7 @@ def _packed(df: DataFrame, buckets: int) -> DataFrame:
                         out[n].append(v)
             return columns_of(arrow, out)
 
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(bounded(batches)):
             ids, units, totals = [], [], []
             for doc, words in zip(batch.column(0).to_pylist(), word_hashes(texts_of(batch.column(1))), strict=True):
                 if not len(words):
@@ -266,7 +259,7 @@ def signatures(vectors: DataFrame) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def task(batches):
-        for batch in batches:
+        for batch in bounded(batches, 2, rows=1000):
             out = {"unit": batch.column(0), "samples": [], "bands": []}
             for unit, alone, h, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes, weights = np.frombuffer(h, "<u8"), np.frombuffer(w, "<f4")
@@ -303,7 +296,7 @@ def links(pairs: DataFrame, signed: DataFrame, vectors: DataFrame) -> DataFrame:
             yield columns_of(arrow, {"a": [a[i] for i in keep], "b": [b[i] for i in keep]})
 
     def similar(batches):
-        for batch in batches:
+        for batch in bounded(batches, 3, rows=1000):
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             keep = []
             for a, b, alone_a, ha, wa, alone_b, hb, wb in rows:
@@ -394,7 +387,6 @@ def apart(bands: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """doc_id and class_id, one row per row of `df`; class_id is the least doc_id of the class."""
-    small_batches(df.sparkSession, 1000)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     found = materialize(texts(docs.where("doc_id is not null"), max(2, size["n"]), size["chars"]), "texts")
