@@ -1,7 +1,8 @@
 """Operator 9: packing documents into sequences of fixed length by cutting-stock column generation.
 
 1. `token_pieces` tokenizes every whole text inside Arrow batches and cuts a document at multiples of the
-   sequence length. A task keeps the ids of the words it has met, so a word is tokenized once per task.
+   sequence length. A task keeps the ids of the words it has met, so a word is tokenized once per task; batches are
+   bounded by bytes, so that very long texts are read a few at a time.
 2. Short pieces are strung together into bundles, so that rounding lengths up to classes costs little.
 3. The histogram of item lengths, by classes of 16 tokens, goes to the driver: at most 256 numbers whatever
    the input. `cutting_stock` solves the linear program over patterns by column generation: the duals of the
@@ -16,7 +17,9 @@ empty table gives an empty result. A sequence never holds more than the sequence
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .words import WordIndex, arrow_schema, columns_of, small_batches, texts_of
+from .words import WordIndex, arrow_schema, bounded, columns_of, texts_of
 
 #: Texts of these characters only are cut at white space before tokenizing, which changes no id.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ–—‘-”…€]*")
@@ -44,33 +47,60 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def _splitter(path: str):
+    """What cuts a normalized word of PLAIN characters into the pieces that the tokenizer's model reads one by one; None
+    if the tokenizer does not lower-case, drop white space, split by a pattern and read bytes in this order."""
+    import regex
+
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    steps = [x.get("type") for x in (given.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (given.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"] or not cuts[0].get("invert") or cuts[1].get("use_regex"):
+        return None
+    return regex.compile(cuts[0]["pattern"]["Regex"]).findall
+
+
 @lru_cache(maxsize=2)
 def _index(path: str) -> WordIndex:
-    return WordIndex(owner="packing")
+    return WordIndex(300_000, owner="packing")
+
+
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, int]:
+    """The printable character that byte-level tokenizers write for each byte: itself, or the next from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in own} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+def _ids_of_words(path: str, words: list[str]) -> list[bytes]:
+    """Ids of each word as little-endian unsigned 32-bit integers; words hold no white space. Pieces are read once."""
+    tokenize, split, letters = _tokenizer(path).model.tokenize, _splitter(path), _byte_letters()
+    known: dict[str, bytes] = {}
 
+    def ids(piece: str) -> bytes:
+        found = known.get(piece)
+        if found is None:
+            coded = [t.id for t in tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters))]
+            found = known[piece] = struct.pack(f"<{len(coded)}I", *coded)
+        return found
 
-def _ids_of_words(tokenizer, words: list[str]) -> list[bytes]:
-    """Ids of each word as little-endian unsigned 32-bit integers; words hold no white space."""
-    coded = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-    ids = np.array(coded.ids, "<u4")
-    ends = np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(words))) * 4 if len(ids) else np.zeros(len(words), np.int64)
-    flat = ids.tobytes()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return [ids(w) if w.isalpha() else b"".join(map(ids, split(w))) for w in words]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, equal to those of the tokenizer on the whole text."""
-    tokenizer, index = _tokenizer(path), _index(path)
+    index = _index(path)
     index.reset_if_over()
+    apart = _splitter(path) is not None
     docs: list = []
     for text in texts:
-        if PLAIN.fullmatch(text):
+        if apart and PLAIN.fullmatch(text):
             docs.append(index.number(unicodedata.normalize("NFC", text).lower().split()))
         else:
-            docs.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-    fresh = index.unseen()
-    for at in range(0, len(fresh), 20_000):
-        index.values += _ids_of_words(tokenizer, fresh[at : at + 20_000])
+            docs.append(np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+    index.values += _ids_of_words(path, index.unseen())
     value = index.values.__getitem__
     return [d if isinstance(d, bytes) else b"".join(map(value, d.tolist())) for d in docs]
 
@@ -82,7 +112,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     arrow = arrow_schema(schema)
 
     def task(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             keys = batch.column(0).to_pylist()
             out: dict[str, list] = {k: [] for k in (id_col, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] * keep_ids))}
             texts = texts_of(batch.column(1))
@@ -241,5 +271,4 @@ def op9_packing(spark, sf_dir: str) -> DataFrame:
     """All `documents`, packed into sequences of 4096 tokens."""
     import public_tokenizers as P
 
-    small_batches(spark)
     return pack(token_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("word_bpe_49k.json")))
