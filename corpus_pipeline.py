@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import language_id, near_dedup, packing, toxicity
 from tidewatch.llm.storage import materialize
-from tidewatch.llm.words import small_batches
 
 #: rows of one key that may be broadcast
 BROADCAST_ROWS = 1_000_000
@@ -21,7 +20,6 @@ BROADCAST_ROWS = 1_000_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the labelled documents teach."""
-    small_batches(spark)
     model = language_id.train(docs)
     found = language_id.predict(docs, model, keep=tuple(docs.columns), names=("_language", "_sure"))
     return found.where("_language != 'und' and _sure >= 0.5").select(*docs.columns)
@@ -29,7 +27,6 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic."""
-    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, keep=tuple(docs.columns), name="_toxic").where(F.col("_toxic") < model.cut).select(*docs.columns)
 
@@ -56,7 +53,6 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 tokens."""
     import public_tokenizers as P
 
-    small_batches(spark)
     return packing.pack(packing.token_pieces(docs, P.path("word_bpe_49k.json")))
 
 
