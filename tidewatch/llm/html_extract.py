@@ -1,36 +1,49 @@
 """Operator 6: main text of web pages with a site style tree.
 
-The pages of a host are merged into a style tree: a node is a path of element names with their classes. Pages
-that are exact copies count once. For each node found on enough pages, `style_nodes` computes
-
-* presentation importance: entropy of the sequences of elements inside it, over its pages, and
-* content importance: one less the mean entropy of its texts over its pages (a text that every page shows says
-  nothing about any of them, one found on a single page says most),
-
-and `extract` cuts the branches whose importance is low from every page of the host, before reading the page's
-blocks. Elements that by name, role or class are no part of an article (menus, headers outside the article, footers, side
-bars, notices, adverts, forms, scripts, styles, reader comments) have no importance from the start; an article or main
-element has full importance, and where a page has one, its text is taken from there alone.
-
-The statistics are counted by Spark under (host, node, text), so that a host with a third of all pages is
-combined before it is shuffled. The host's cut nodes come to its pages by a join.
+The pages of a host are merged into a style tree, all their branches, those inside articles too; the pages of all hosts
+are merged into one more. An element node is a path of element names with their classes; a style node is one of the
+sequences of children that it has on different pages; its own text is a leaf under it. `style_tree` computes
+
+* presentation importance of an element: the entropy of its style nodes over its pages, relative to that of as many
+  styles as pages,
+* content importance of a leaf: one less the mean entropy, over its pages, of its different texts (a text that every page
+  shows says nothing about any of them, one found on a single page says most); texts are cut at the marks that menus and
+  footers put between their parts,
+* composite importance, bottom up: an element's own importance and the mean of its children's, weighted by how often its
+  styles occur; the more styles it has, the more its own counts (weight 1 - 0.9^styles).
+
+Importances count for m pages and a prior for `prior_pages` (1 inside an article by element or role, 0.9 elsewhere), so
+that a few pages decide nothing. A branch is noise if it and all branches in it have a composite importance below
+`least_importance` in the host's tree or in that of all hosts. `extract` cuts these branches from every page and reads
+the blocks that are left. Entropy cannot tell an advert or a reader's comment that is new on each page from an article, so
+of these blocks it drops those inside elements that by name, role or class are no part of an article, and where
+a page has an article or main element it takes the text from there. `cut_by_tree` and `cut_by_name` tell how many
+characters went either way; `names=False` leaves the tree alone to decide.
+
+A task sums the statistics of its pages by host, node and text before they are shuffled, so that a host with a third
+of all pages sends no more rows than it has different texts. Pages that are exact copies count as one. The noise of a
+host comes to its pages by a broadcast behind a size check; beyond it by a join that deals a host's pages to 32 salts.
 
 Null and empty pages give an empty text, a null url the host ''. Repeated rows give repeated results; an
-empty table an empty one. Markup that breaks off is closed at the end; a tag that is none is text.
+empty table an empty one. Markup that breaks off is closed at the end; a tag that is none is text. Batches are
+bounded by bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import math
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .words import arrow_schema, columns_of, texts_of
+from .words import arrow_schema, bounded, columns_of, texts_of
 
 # fixed values: element names of HTML
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
@@ -55,30 +68,39 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text.strip() else {}
 
 
-def blocks(page: str, cut: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, bool, tuple[str, ...]]]:
-    """(node, text, inside article or main, names of the elements in it) of each block outside the branches that are cut."""
-    stack: list[tuple[str, str, bool, bool]] = []  # element, node, cut, main
-    gone, main, article_seen = False, False, False
+#: between the parts of menus and footers
+SEPARATOR = re.compile(r"\s*[|\u00b7\u2022\u00bb\u203a\u00a9]+\s*")
+#: host of the tree of all hosts, leaf of a node's own text
+ALL, TEXT = "*", "#"
+#: hosts' noise rows that may be broadcast, salts beyond that
+BROADCAST_ROWS, SALTS = 500_000, 32
+GAMMA = 0.9
+
+
+def blocks(page: str, cut: frozenset[str] = frozenset(), styles: dict[str, list[str]] | None = None) -> Iterator[tuple[str, str, bool, bool, bool]]:
+    """(node, text, in a branch that is cut, in an element that is no part of an article, inside article or main) of each
+    block. `styles` receives the children of each node."""
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # element, node, cut, no part, main
+    away, gone, main, article_seen = False, False, False, False
     parts: list[str] = []
-    inside: list[str] = []
     node, at, end = "", 0, len(page)
 
     def flush():
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
-        names = tuple(inside)
-        inside.clear()
-        return (node, text, main, names) if text else None
+        if text and styles is not None:
+            styles.setdefault(node, []).append(TEXT)
+        return (node, text, away or f"{node}/{TEXT}" in cut, gone, main) if text else None
 
     def close(k: int) -> None:
-        nonlocal gone, main, node
+        nonlocal away, gone, main, node
         del stack[k:]
-        _, node, gone, main = stack[-1] if stack else ("", "", False, False)
+        _, node, away, gone, main = stack[-1] if stack else ("", "", False, False, False)
 
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not gone:
+        if stop > at:
             parts.append(page[at:stop])
         if not m:
             break
@@ -103,7 +125,7 @@ def blocks(page: str, cut: frozenset[str] = frozenset()) -> Iterator[tuple[str,
         if name in VOID:
             if name == "hr" and (found := flush()):
                 yield found
-            elif name in INLINE_GAP and not gone:
+            elif name in INLINE_GAP:
                 parts.append(" ")
             continue
         block = name in BLOCKS
@@ -123,25 +145,38 @@ def blocks(page: str, cut: frozenset[str] = frozenset()) -> Iterator[tuple[str,
         content = name in ("article", "main") or role == "main" or attributes.get("itemprop") == "articleBody"
         if content and gone and not article_seen and not NO_PART.search(style):
             close(0)  # an unclosed advert or menu does not swallow the article
-        node = f"{node}/{name}" + (f".{'.'.join(attributes['class'].split())}" if attributes.get("class", "").strip() else "")
+        if block:
+            named = name + (f".{'.'.join(attributes['class'].split())}" if attributes.get("class", "").strip() else "")
+            if styles is not None:
+                styles.setdefault(node, []).append(named)
+            node = f"{node}/{named}"
+            away = away or node in cut
         article_seen |= content
         bare = not main and name == "header"
-        gone = gone or name in REMOVED or bare or role in NO_PART_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or node in cut or (style != " " and name not in ("body", "html") and bool(NO_PART.search(style) or not main and not content and NO_PART_OUTSIDE.search(style)))
+        gone = gone or name in REMOVED or bare or role in NO_PART_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or (style != " " and name not in ("body", "html") and bool(NO_PART.search(style) or not main and not content and NO_PART_OUTSIDE.search(style)))
         main = main or content
         if block or gone or stack or name == "html":
-            stack.append((name, node, gone, main))
-        if not block and not gone:
-            inside.append(name)
-            if name in INLINE_GAP:
-                parts.append(" ")
+            stack.append((name, node, away, gone, main))
+        if not block and name in INLINE_GAP:
+            parts.append(" ")
     if found := flush():
         yield found
 
 
-def main_text(page: str, cut: frozenset[str] = frozenset()) -> str:
-    found = list(blocks(page, cut))
-    of_article = [b[1] for b in found if b[2]]
-    return "\n\n".join(of_article or [b[1] for b in found])
+def main_text(page: str, cut: frozenset[str] = frozenset(), names: bool = True) -> tuple[str, int, int]:
+    """Main text of a page, and how many characters of other blocks the tree cut and names then dropped."""
+    kept, by_tree, by_name = [], 0, 0
+    for _, text, away, gone, main in blocks(page, cut):
+        if away:
+            by_tree += len(text)
+        elif names and gone:
+            by_name += len(text)
+        else:
+            kept.append((main, text))
+    if names and any(main for main, _ in kept):
+        by_name += sum(len(text) for main, text in kept if not main)
+        kept = [x for x in kept if x[0]]
+    return "\n\n".join(text for _, text in kept), by_tree, by_name
 
 
 def host_of(url):
@@ -149,48 +184,131 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^:/?#]*:?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def style_nodes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, node, pages, presentation and content importance (0 to 1) of the nodes that have no importance by name or by being in an article."""
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
-    schema = "host string, page long, node string, style long, content long"
+@lru_cache(maxsize=100_000)
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _page_statistics(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """Sums by host, node, kind (0: the node itself, 1: a style, 2: a text, 3: a child) and feature over the pages of a task."""
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    copies = materialize(rows.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    few = copies.count() <= BROADCAST_ROWS  # beyond that, Spark sorts and merges
+    rows = rows.join(F.broadcast(copies) if few else copies, ["host", "page"], "left").select("host", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
+    schema = "host string, node string, main int, kind int, feature long, n double, log double, child string, share double"
     arrow = arrow_schema(schema)
 
     def task(batches):
-        for batch in batches:
-            out = []
-            for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
-                found = list(blocks(text))
-                if not any(b[2] for b in found):  # else the page's text is its article's
-                    out += [(host, page, node, zlib.crc32(" ".join(names).encode()), zlib.crc32(block.encode()) << 32 | zlib.crc32(block[::-1].encode())) for node, block, _, names in found]
-            if out:
-                yield columns_of(arrow, {n: [r[i] if n != "content" else r[i] - (1 << 63) for r in out] for i, n in enumerate(arrow.names)})
-
-    seen = rows.mapInArrow(task, schema).groupBy("host", "node", "page", "style", "content").agg(F.lit(1).alias("one"))
-    totals = seen.groupBy("host", "node").agg(F.approx_count_distinct("page").alias("pages"))
-
-    def entropy(feature: str, alias: str):
-        # of a feature on n of m pages, evenly: log n / log m; a node's is the mean over its blocks
-        n = seen.groupBy("host", "node", feature).agg(F.count("*").alias("n"), F.approx_count_distinct("page").alias("on"))
-        return n.join(totals, ["host", "node"]).groupBy("host", "node").agg((F.sum(F.col("n") * F.log(F.greatest("on", F.lit(1)))) / F.sum("n") / F.log(F.greatest(F.max("pages"), F.lit(2)))).alias(alias))
-
-    both = totals.join(entropy("content", "_content"), ["host", "node"]).join(entropy("style", "_style"), ["host", "node"])
-    return both.select("host", "node", "pages", (1 - F.least("_style", F.lit(1.0))).alias("presentation"), (1 - F.least("_content", F.lit(1.0))).alias("content"))
-
-
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 8, least_importance: float = 0.2) -> DataFrame:
-    """id, url and text string of each page, its host's branches of low importance removed."""
-    nodes = style_nodes(pages, url_col=url_col, html_col=html_col).where(F.col("pages") >= least_pages)
-    low = nodes.where((F.col("content") + F.col("presentation")) / 2 < least_importance)
-    low = materialize(low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("_cut")), "style-nodes")  # nodes on many pages of a host: few
-    kept = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("_html"))
-    joined = kept.join(low, "host", "left").select(id_col, url_col, "_html", "_cut")
-    schema = ", ".join(f"`{n}` {t}" for n, t in joined.select(id_col, url_col).dtypes) + ", text string"
+        held: dict[tuple, list[float]] = {}
+
+        def add(key: tuple, n: float, log: float = 0.0, share: float = 0.0) -> None:
+            found = held.get(key)
+            if found is None:
+                held[key] = [n, log, share]
+            else:
+                found[0] += n
+                found[1] += log
+                found[2] += share
+
+        def out():
+            columns = {c: [k[i] for k in held] for i, c in enumerate(("host", "node", "main", "kind", "feature", "child"))}
+            columns |= {c: [v[i] for v in held.values()] for i, c in enumerate(("n", "log", "share"))}
+            batch = columns_of(arrow, columns)
+            held.clear()
+            return batch
+
+        for batch in bounded(batches, 2):
+            for host, copies, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                weight, styles, inside = 1.0 / copies, {}, {}
+                texts: dict[str, Counter] = {}
+                for node, text, _, _, main in blocks(page, styles=styles):
+                    inside[node] = max(inside.get(node, 0), int(main))
+                    texts.setdefault(node, Counter()).update(x for x in SEPARATOR.split(text) if x)
+                for node, children in styles.items():
+                    add((host, node, 0, 0, 0, ""), weight)
+                    add((host, node, 0, 1, _hash(" ".join(children)), ""), weight)
+                    for child, k in Counter(children).items():
+                        add((host, node, 0, 3, 0, child), 0.0, 0.0, weight * k / len(children))
+                for node, found in texts.items():
+                    add((host, f"{node}/{TEXT}", inside[node], 0, 0, ""), weight)
+                    for text, k in found.items():
+                        add((host, f"{node}/{TEXT}", inside[node], 2, _hash(text), ""), weight * k, weight * k * math.log(k))
+            if len(held) > 200_000:
+                yield out()
+        if held:
+            yield out()
+
+    keys = ["host", "node", "kind", "feature", "child"]
+    sums = [F.max("main").alias("main"), *(F.sum(c).alias(c) for c in ("n", "log", "share"))]
+    own = materialize(rows.mapInArrow(task, schema).groupBy(*keys).agg(*sums), "statistics")
+    every = own.withColumn("host", F.lit(ALL)).groupBy(*keys).agg(*sums)
+    return own.unionByName(every)
+
+
+def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", prior_pages: int = 32) -> DataFrame:
+    """host, node, depth, leaf, pages, own (presentation or content) importance, composite and best (highest composite in
+    the branch) of every node of every host's tree, and of the tree of all hosts (host '*')."""
+    seen = materialize(_page_statistics(pages, url_col, html_col), "node-statistics")
+    pages_of = seen.where("kind = 0").select("host", "node", "main", F.col("n").alias("pages"))
+    # a feature's entropy over pages is log n - (sum of c log c) / n for counts c; a style's share of the pages is n / pages
+    text = seen.where("kind = 2").groupBy("host", "node").agg(F.avg(F.log("n") - F.col("log") / F.col("n")).alias("text"))
+    style = seen.where("kind = 1").groupBy("host", "node").agg(F.sum(F.col("n") * F.log("n")).alias("style"), F.count(F.lit(1)).alias("styles"))
+    m = F.log(F.greatest("pages", F.lit(2.0)))
+    entropy = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("text").isNotNull(), F.col("text") / m).otherwise((F.log("pages") - F.col("style") / F.col("pages")) / m)))
+    own = F.when(F.col("pages") <= 1, F.lit(1.0)).when(F.col("text").isNotNull(), 1 - entropy).otherwise(entropy)
+    nodes = pages_of.join(text, ["host", "node"], "left").join(style, ["host", "node"], "left").withColumn("own", own)
+    prior = F.when(F.col("main") == 1, F.lit(1.0)).otherwise(F.lit(0.9))
+    nodes = nodes.withColumn("leaf", F.col("styles").isNull()).withColumn("own", F.when(F.col("leaf"), (F.col("pages") * F.col("own") + prior_pages * prior) / (F.col("pages") + prior_pages)).otherwise(F.col("own")))
+    nodes = nodes.select("host", "node", (F.size(F.split("node", "/")) - 1).alias("depth"), "leaf", "pages", "own", "styles")
+    nodes = materialize(nodes, "nodes")
+    shares = seen.where("kind = 3").select("host", F.col("node").alias("parent"), F.concat("node", F.lit("/"), "child").alias("node"), "share")
+    levels = sorted((r["depth"] for r in nodes.select("depth").distinct().collect()), reverse=True)  # as many as the deepest page has levels
+    done = below = None
+    for depth in levels:
+        here = nodes.where(F.col("depth") == depth)
+        if below is None:
+            here = here.withColumn("of", F.lit(None).cast("double")).withColumn("top", F.lit(None).cast("double"))
+        else:
+            inside = shares.join(below.select("host", "node", "composite", "best"), ["host", "node"]).groupBy("host", F.col("parent").alias("node")).agg((F.sum(F.col("share") * F.col("composite")) / F.sum("share")).alias("of"), F.max("best").alias("top"))
+            here = here.join(inside, ["host", "node"], "left")
+        power = F.pow(F.lit(GAMMA), F.coalesce(F.col("styles"), F.lit(0)).cast("double"))
+        composite = F.when(F.col("leaf") | F.col("of").isNull(), F.col("own")).otherwise((1 - power) * F.col("own") + power * F.col("of"))
+        here = here.withColumn("composite", composite).withColumn("best", F.greatest("composite", "top"))
+        below = materialize(here.select("host", "node", "depth", "leaf", "pages", "own", "composite", "best"), f"level-{depth}")
+        done = below if done is None else done.unionByName(below)
+    return done if done is not None else nodes.select("host", "node", "depth", "leaf", "pages", "own", F.col("own").alias("composite"), F.col("own").alias("best"))
+
+
+def noise(tree: DataFrame, least_importance: float) -> DataFrame:
+    """host, node of the branches that are noise and lie in no other such branch."""
+    low = tree.where((F.col("best") < least_importance) & (F.col("node") != "")).select("host", "node")
+    parent = tree.where(F.col("best") >= least_importance).select("host", F.col("node").alias("_above"))
+    return low.withColumn("_above", F.regexp_replace("node", "/[^/]*$", "")).join(parent, ["host", "_above"], "left_semi").select("host", "node")
+
+
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_importance: float = 0.8, prior_pages: int = 32, names: bool = True) -> DataFrame:
+    """id, url, text string, cut_by_tree and cut_by_name long of each page."""
+    low = noise(style_tree(pages, url_col=url_col, html_col=html_col, prior_pages=prior_pages), least_importance)
+    low = materialize(low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("_cut")), "noise")  # branches of one tree, not pages
+    common = [x for r in low.where(F.col("host") == ALL).collect() for x in r["_cut"]]
+    low = low.where(F.col("host") != ALL)
+    kept = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
+    low = low.withColumnRenamed("host", "_host")
+    if low.count() <= BROADCAST_ROWS:
+        joined = kept.join(F.broadcast(low), "_host", "left")
+    else:
+        salted = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = kept.withColumn("_salt", F.pmod(F.xxhash64("_html", id_col), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
+    joined = joined.select(id_col, url_col, "_html", "_cut")
+    schema = ", ".join(f"`{n}` {t}" for n, t in joined.select(id_col, url_col).dtypes) + ", text string, cut_by_tree long, cut_by_name long"
     arrow = arrow_schema(schema)
+    sent = pages.sparkSession.sparkContext.broadcast(frozenset(common))
 
     def task(batches):
-        for batch in batches:
-            texts = [main_text(page, frozenset(cut or ())) for page, cut in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
-            yield columns_of(arrow, dict(zip(arrow.names, [batch.column(0), batch.column(1), texts], strict=True)))
+        for batch in bounded(batches, 2):
+            found = [main_text(page, sent.value.union(cut or ()), names) for page, cut in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
+            texts, by_tree, by_name = zip(*found, strict=True)
+            yield columns_of(arrow, dict(zip(arrow.names, [batch.column(0), batch.column(1), texts, by_tree, by_name], strict=True)))
 
     return joined.mapInArrow(task, schema)
 
@@ -198,4 +316,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 def op6_html_extract(spark, sf_dir: str) -> DataFrame:
     """Main text of every whole page of `pages`."""
     found = extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    return found.withColumn("n_chars", F.length("text").cast("long"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "cut_by_tree", "cut_by_name")
