@@ -2,11 +2,15 @@ r"""Operator 10: quality rules with adaptive thresholds, in DataFrame functions
 
 `quality_counts` counts words, symbols, repeated lines and repeated passages of every whole text inside its
 row. `rates` turns them into four whole-number rates. `sketches` builds a quantile sketch of each rate for
-each language and source: counts by log-linear bins (exact below 32, then sixteen bins to each power of two),
+each language and source: counts by log-linear bins (exact below 128, then 64 bins to each power of two),
 which merge by addition, so that Spark combines them before it shuffles and a hot source costs no more rows
-than bins. `fences` reads from each sketch the far-out fences q1 - 3 (q3 - q1) and q3 + 3 (q3 - q1), widened by
-a tolerance; a group of fewer than `least` documents takes the merged sketch of its language, and that of all
-documents when the language is as small. `apply_rules` joins the fences to the documents and gives the verdict.
+than bins. `fences` reads thresholds from each sketch. The high fence lies beyond the 90th percentile by five times the
+distance between it and the third quartile, that of word length has a low counterpart. A rate that is 0 in nine of ten
+documents has no spread there; its fence is the median of its values above 0, so that at most half of the exceptions, a
+twentieth of the documents, go. A group of fewer than `least` documents, or with fewer than `least_tail` such exceptions,
+takes the fence from the merged sketch of its language, and that of all documents when the language is as small; without
+any such sketch nothing is judged. No threshold is a constant. `apply_rules` joins the fences to the documents (a broadcast
+behind a size check) and gives the verdict.
 
 Null and empty texts have no words and fail the base rule. Null lang or source counts as ''. Equal rows get
 equal verdicts; an empty table gives an empty result. Only named columns are read.
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 WINDOW = 8
-#: rate -> how far beyond the fence is still accepted (letters x 100 a word, per 1000 word characters, per 1000 lines, per 1000 words)
-TOLERANCE = {"word_length": 200, "symbol_rate": 60, "dup_line_rate": 400, "repeat_rate": 250}
+#: letters x 100 a word, per 1000 word characters, per 1000 lines, per 1000 words; only the first has a low fence
+RATES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
+#: groups whose fences may be broadcast
+BROADCAST_ROWS = 500_000
 
 
 def quality_counts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -62,47 +68,48 @@ def rates() -> dict[str, Column]:
 
 def sketches(df: DataFrame) -> DataFrame:
     """Mergeable sketches: lang, source, rate, v (lower end of the bin), n. Rows that fail the base rule stay out."""
-    names = list(TOLERANCE)
-    long = df.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("rate"), F.col(n).alias("x")) for n in names))).alias("r")).select("lang", "source", "r.rate", "r.x")
-    v = F.expr("if(x < 32, x, shiftleft(shiftright(x, length(bin(x)) - 5), length(bin(x)) - 5))")
+    long = df.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("rate"), F.col(n).alias("x")) for n in RATES))).alias("r")).select("lang", "source", "r.rate", "r.x")
+    v = F.expr("if(x < 128, x, shiftleft(shiftright(x, length(bin(x)) - 7), length(bin(x)) - 7))")
     return long.groupBy("lang", "source", "rate", v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, level: list[str]) -> DataFrame:
-    """Docs, low and high fence of each rate for each group of `level`, from sketches merged to that level."""
+def fences(sketch: DataFrame, level: list[str], least: int, least_tail: int) -> DataFrame:
+    """`level` and the low and high fence of each rate, null where the group's merged sketch is too small for one."""
     merged = sketch.groupBy(*level, "rate", "v").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*level, "rate")
     run = merged.withColumn("_cum", F.sum("n").over(group.orderBy("v"))).withColumn("_all", F.sum("n").over(group))
-    quartile = lambda k: F.min(F.when(F.col("_cum") * 4 >= F.col("_all") * k, F.col("v")))
-    found = run.groupBy(*level, "rate").agg(F.max("_all").alias("docs"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    slack = F.lit(None).cast("long")
-    for name, more in TOLERANCE.items():
-        slack = F.when(F.col("rate") == name, F.lit(more).cast("long")).otherwise(slack)
-    spread = 3 * (F.col("q3") - F.col("q1")) + slack
-    found = found.select(*level, "rate", "docs", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
-    both = [x for n in TOLERANCE for x in (F.max(F.when(F.col("rate") == n, F.col("low"))).alias(f"{n}_low"), F.max(F.when(F.col("rate") == n, F.col("high"))).alias(f"{n}_high"))]
-    return found.groupBy(*level).agg(F.max("docs").alias("docs"), *both)
-
-
-def apply_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, least: int = 100) -> DataFrame:
+    run = run.withColumn("_zero", F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("n"))).over(group), F.lit(0)))
+    percentile = lambda k: F.min(F.when(F.col("_cum") * 100 >= F.col("_all") * k, F.col("v")))
+    middle = F.min(F.when((F.col("v") > 0) & ((F.col("_cum") - F.col("_zero")) * 2 >= F.col("_all") - F.col("_zero")), F.col("v")))
+    found = run.groupBy(*level, "rate").agg(
+        F.max("_all").alias("docs"), (F.max("_all") - F.max("_zero")).alias("tail"), percentile(10).alias("p10"), percentile(25).alias("p25"), percentile(75).alias("p75"), percentile(90).alias("p90"), middle.alias("middle")
+    )
+    top = lambda c: F.expr(f"if({c} < 128, {c}, {c} + shiftleft(1L, length(bin({c})) - 7) - 1)")
+    high = F.when(F.col("p90") > 0, top("p90") + 5 * (top("p90") - F.col("p75"))).when(F.col("tail") >= least_tail, top("middle"))
+    low = F.when(F.col("rate") == RATES[0], F.col("p10") - 5 * (top("p25") - F.col("p10"))).otherwise(F.lit(0))
+    enough = (F.col("docs") >= least) & high.isNotNull()
+    found = found.select(*level, "rate", F.when(enough, low).alias("low"), F.when(enough, high).alias("high"))
+    return found.groupBy(*level).agg(*(F.max(F.when(F.col("rate") == n, F.col(side))).alias(f"{n}_{side}") for n in RATES for side in ("low", "high")))
+
+
+def apply_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, least: int = 100, least_tail: int = 20) -> DataFrame:
     """One row per row of `df`: its counts, base_failed and kept."""
     rows = df.select(F.col(id_col), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     counted = quality_counts(rows)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     counted = materialize(counted.select("*", *(c.alias(n) for n, c in rates().items()), failed.alias("base_failed")), "quality-counts")
     sketch = materialize(sketches(counted), "quality-sketches")
-    names = [f"{n}_{side}" for n in TOLERANCE for side in ("low", "high")]
-    everything = fences(sketch.withColumn("_one", F.lit(1)), ["_one"]).select(*(F.col(n).alias(f"a_{n}") for n in names))
-    by_lang = fences(sketch, ["lang"]).select("lang", F.col("docs").alias("l_docs"), *(F.col(n).alias(f"l_{n}") for n in names))
-    by_source = fences(sketch, ["lang", "source"])
-    chosen = by_source.join(by_lang, "lang").crossJoin(everything).select(  # one row holds the fences of all documents
-        "lang", "source", *(F.when(F.col("docs") >= least, F.col(n)).when(F.col("l_docs") >= least, F.col(f"l_{n}")).otherwise(F.col(f"a_{n}")).alias(n) for n in names)
-    )
+    names = [f"{n}_{side}" for n in RATES for side in ("low", "high")]
+    of = lambda level, prefix, rows: fences(rows, level, least, least_tail).select(*level, *(F.col(n).alias(f"{prefix}_{n}") for n in names))
+    everything = of(["_one"], "a", sketch.withColumn("_one", F.lit(1))).drop("_one")
+    chosen = of(["lang", "source"], "s", sketch).join(of(["lang"], "l", sketch), "lang").crossJoin(everything)  # one row holds the fences of all documents
+    chosen = materialize(chosen.select("lang", "source", *(F.coalesce(f"s_{n}", f"l_{n}", f"a_{n}").alias(n) for n in names)), "fences")
     inside = F.lit(True)
-    for n in TOLERANCE:
-        inside = inside & F.col(n).between(F.col(f"{n}_low"), F.col(f"{n}_high"))
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(True)))
-    return counted.join(chosen, ["lang", "source"], "left").withColumn("kept", kept).select(*counted.columns, "kept")
+    for n in RATES:
+        inside = inside & F.coalesce(F.col(n).between(F.col(f"{n}_low"), F.col(f"{n}_high")), F.lit(True))
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(inside)
+    few = chosen.count() <= BROADCAST_ROWS  # beyond that, Spark sorts and merges
+    return counted.join(F.broadcast(chosen) if few else chosen, ["lang", "source"], "left").withColumn("kept", kept).select(*counted.columns, "kept")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -134,25 +141,32 @@ m as (
     coalesce(word_chars * 100 // nullif(n_words, 0), 0) r1, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) r2,
     coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) r3, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) r4 from c),
 l as (
-  select lang, source, rate, case when x < 32 then x else (x >> (length(bin(x)) - 5)::bigint) << (length(bin(x)) - 5)::bigint end v
+  select lang, source, rate, case when x < 128 then x else (x >> (length(bin(x)) - 7)::bigint) << (length(bin(x)) - 7)::bigint end v
   from (select lang, source, unnest([1, 2, 3, 4]) rate, unnest([r1, r2, r3, r4]) x from m where not base_failed)),
 lv as (
   select lang || chr(1) || source k, rate, v, 1 lvl from l union all select lang, rate, v, 2 from l union all select '', rate, v, 3 from l),
+bins as (
+  select lvl, k, rate, v, count(*) n, v + case when v < 128 then 0 else (1::bigint << (length(bin(v)) - 7)::bigint) - 1 end top from lv group by lvl, k, rate, v),
 cum as (
-  select lvl, k, rate, v, sum(count(*)) over (partition by lvl, k, rate order by v) cum, sum(count(*)) over (partition by lvl, k, rate) a
-  from lv group by lvl, k, rate, v),
+  select *, sum(n) over (partition by lvl, k, rate order by v) cum, sum(n) over (partition by lvl, k, rate) a,
+    coalesce(sum(n) filter (v = 0) over (partition by lvl, k, rate), 0) z from bins),
 q as (
-  select lvl, k, rate, max(a) docs, min(v) filter (cum * 4 >= a) q1, min(v) filter (cum * 4 >= a * 3) q3 from cum group by lvl, k, rate),
+  select lvl, k, rate, max(a) docs, max(a) - max(z) tail, min(v) filter (cum * 100 >= a * 10) p10, min(top) filter (cum * 100 >= a * 25) t25,
+    min(v) filter (cum * 100 >= a * 75) p75, min(v) filter (cum * 100 >= a * 90) p90, min(top) filter (cum * 100 >= a * 90) t90,
+    min(top) filter (v > 0 and (cum - z) * 2 >= a - z) mid from cum group by lvl, k, rate),
 f as (
-  select lvl, k, rate, docs, q1 - 3 * (q3 - q1) - tol lo, q3 + 3 * (q3 - q1) + tol hi
-  from q join (values (1, 200), (2, 60), (3, 400), (4, 250)) t(rate, tol) using (rate)),
+  select lvl, k, rate, lo, hi from (
+    select *, case when rate = 1 then p10 - 5 * (t25 - p10) else 0 end lo, case when p90 > 0 then t90 + 5 * (t90 - p75) when tail >= 20 then mid end hi from q)
+  where docs >= 100 and hi is not null),
+g as (
+  select lang, source, r.rate rate, coalesce(s.lo, l.lo, e.lo) lo, coalesce(s.hi, l.hi, e.hi) hi
+  from (select distinct lang, source from m) cross join (select unnest([1, 2, 3, 4]) rate) r
+  left join f s on s.lvl = 1 and s.k = lang || chr(1) || source and s.rate = r.rate
+  left join f l on l.lvl = 2 and l.k = lang and l.rate = r.rate left join f e on e.lvl = 3 and e.rate = r.rate),
 p as (
-  select lvl, k, max(docs) docs, max(lo) filter (rate = 1) l1, max(hi) filter (rate = 1) h1, max(lo) filter (rate = 2) l2, max(hi) filter (rate = 2) h2,
-    max(lo) filter (rate = 3) l3, max(hi) filter (rate = 3) h3, max(lo) filter (rate = 4) l4, max(hi) filter (rate = 4) h4 from f group by lvl, k)
+  select lang, source, max(lo) filter (rate = 1) l1, max(hi) filter (rate = 1) h1, max(hi) filter (rate = 2) h2, max(hi) filter (rate = 3) h3,
+    max(hi) filter (rate = 4) h4 from g group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(r1 between l1 and h1 and r2 between l2 and h2 and r3 between l3 and h3 and r4 between l4 and h4, true) kept
-from (
-  select m.*, case when s.docs >= 100 then 1 when g.docs >= 100 then 2 else 3 end use_lvl from m
-  left join p s on s.lvl = 1 and s.k = m.lang || chr(1) || m.source left join p g on g.lvl = 2 and g.k = m.lang) m
-left join p on p.lvl = m.use_lvl and p.k = case m.use_lvl when 1 then m.lang || chr(1) || m.source when 2 then m.lang else '' end
+  not base_failed and coalesce(r1 between l1 and h1, true) and coalesce(r2 <= h2, true) and coalesce(r3 <= h3, true) and coalesce(r4 <= h4, true) kept
+from m join p using (lang, source)
 """
