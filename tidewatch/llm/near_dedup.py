@@ -7,7 +7,8 @@ near duplicates if the weighted Jaccard similarity of their shingles is 0.8 or m
 components, named by the least doc_id in them.
 
 1. `texts`: tasks hash the shingles of whole texts and send them, packed into arrays, to buckets of hashes.
-   Copies that meet in a task are one text there. A bucket counts in how many distinct texts each shingle
+   Copies that meet in a task are one text there. Beyond DIRECT buckets rows are dealt in two steps, so that a row still
+   holds hundreds of postings. A bucket counts in how many distinct texts each shingle
    lies and sends the shingles found in more than one, packed again, to groups of texts. The others can match nothing.
 2. A text less than 0.8 of whose weight lies in shared shingles cannot have a partner: it is dropped from the
    search, by proof. Of the rest, all shingles of df 1 are replaced by one element of their total weight,
@@ -24,7 +25,9 @@ components, named by the least doc_id in them.
 Tables up to the head rounds grow in proportion to the input or slower. `apart` compares in blocks of texts and puts
 out likely pairs only; a bucket of many texts that are all different takes a time that grows with its square. A shingle
 that a third of all texts share is one entry for each text in one bucket's arrays. Null and wordless texts have
-no shingles and form classes of their own; equal word sequences are one text; repeated rows fall in one class.
+no shingles and form classes of their own; equal word sequences are one text; repeated rows fall in one class, and
+every row of an id has a row in the result. Rows without id are not searched and have no class (null). 1 + ln tf
+is rounded to 16 bits. Batches are bounded by bytes.
 An empty table gives an empty result.
 """
 
@@ -80,70 +83,125 @@ def inverse_df(df, n: float):
     return 1 + np.log((n + 1) / (df + 1.0)) / math.log(n + 1)
 
 
-_POSTINGS = "bucket int, keys binary, low binary, high binary, at binary, tf binary, ids binary, units binary, totals binary"
-_SHARED = "texts int, ids binary, units binary, totals binary, owners binary, counts binary, hashes binary, weights binary, shares binary"
+_POSTINGS = "bucket long, keys binary, low binary, high binary, at binary, shares binary, ids binary, units binary, totals binary"
+_SHARED = "texts long, ids binary, units binary, totals binary, owners binary, counts binary, hashes binary, weights binary, shares binary"
 _TEXTS = "doc_id long, unit long, alone double, hashes binary, weights binary"
 
 
+#: unit of a document without words
+WORDLESS = -(1 << 63)
+#: numbers up to which rows are dealt at once; more take a second step, each of the square root of the number
+DIRECT = 8192
+
+
+def levels(number: int) -> tuple[int, int]:
+    """How many ways rows are dealt in the first and in the second step, so that there are at least `number` ways."""
+    if number <= DIRECT:
+        return number, 1
+    first = math.isqrt(number - 1) + 1
+    return first, -(-number // first)
+
+
+def _cut(groups: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(group, places) of each group that has any, in order."""
+    if not len(groups):
+        return []
+    order = np.argsort(groups, kind="stable")
+    found, starts = np.unique(groups[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, starts[1:]), strict=True))
+
+
+def _posting_rows(arrow, bucket: np.ndarray, unit: np.ndarray, rest: np.ndarray, share: np.ndarray):
+    """A batch with a row for each bucket that has postings (key of the text, rest of the hash, 1 + ln tf)."""
+    out = {n: [] for n in arrow.names}
+    for b, part in _cut(bucket):
+        keys, place = np.unique(unit[part], return_inverse=True)
+        r = rest[part]
+        for n, v in zip(arrow.names, (b, keys.astype("<i8").tobytes(), r.astype("<u4").tobytes(), (r >> np.uint64(32)).astype("<u2").tobytes(), place.astype("<i4").tobytes(), share[part].tobytes(), None, None, None), strict=True):
+            out[n].append(v)
+    return columns_of(arrow, out)
+
+
+def _read(table, name: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist() if x is not None]
+
+
+def _joined(parts: list[np.ndarray], kind: str) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _postings(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, rests and shares of the postings of some rows."""
+    unit = _joined([k[a] for k, a in zip(_read(table, "keys", "<i8"), _read(table, "at", "<i4"), strict=True)], "<i8")
+    rest = _joined(_read(table, "low", "<u4"), "<u4").astype(np.uint64) | _joined(_read(table, "high", "<u2"), "<u2").astype(np.uint64) << np.uint64(32)
+    return unit, rest, _joined(_read(table, "shares", "<f2"), "<f2")
+
+
 def _packed(df: DataFrame, buckets: int) -> DataFrame:
-    """Rows for buckets: either postings (keys of texts, hashes, place of the text in keys, tf) or documents (ids, keys, sums of 1 + ln tf)."""
+    """Rows for buckets: either postings (keys of texts, hashes, place of the text in keys, 1 + ln tf) or documents (ids, keys, sums of 1 + ln tf)."""
     arrow = arrow_schema(_POSTINGS)
+    first, second = levels(buckets)
 
     def task(batches):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         size = 0
 
         def rows():
-            keys = np.array(list(held), np.int64)
             hashes = np.concatenate([h for h, _ in held.values()])
-            tf = np.concatenate([t for _, t in held.values()])
-            at = np.repeat(np.arange(len(keys), dtype=np.int32), [len(h) for h, _ in held.values()])
-            bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rest = hashes // np.uint64(buckets)
-            out = {n: [] for n in arrow.names}
-            for b in range(buckets):
-                part = order[cuts[b] : cuts[b + 1]]
-                if len(part):
-                    used, place = np.unique(at[part], return_inverse=True)
-                    r = rest[part]
-                    for n, v in zip(arrow.names, (b, keys[used].tobytes(), r.astype("<u4").tobytes(), (r >> np.uint64(32)).astype("<u2").tobytes(), place.astype("<i4").tobytes(), tf[part].tobytes(), None, None, None), strict=True):
-                        out[n].append(v)
-            return columns_of(arrow, out)
+            unit = np.repeat(np.array(list(held), np.int64), [len(h) for h, _ in held.values()])
+            share = np.concatenate([t for _, t in held.values()])
+            return _posting_rows(arrow, (hashes % np.uint64(first)).astype(np.int64), unit, hashes // np.uint64(first) & np.uint64((1 << 48) - 1), share)
 
         for k, batch in enumerate(bounded(batches)):
-            ids, units, totals = [], [], []
-            for doc, words in zip(batch.column(0).to_pylist(), word_hashes(texts_of(batch.column(1))), strict=True):
-                if not len(words):
-                    unit, total = None, None
-                else:
+            ids, units, totals = batch.column(0).to_pylist(), [], []
+            for words in word_hashes(texts_of(batch.column(1))):
+                unit, total = WORDLESS, 0.0
+                if len(words):
                     unit = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
                     h, tf = np.unique(shingles(words), return_counts=True)
-                    h = h & np.uint64((1 << 48) * buckets - 1) if buckets < 1 << 15 else h
-                    total = float((1 + np.log(tf)).sum())
+                    share = (1 + np.log(tf)).astype("<f2")
+                    total = float(share.sum(dtype=float))
                     if unit not in held:
-                        held[unit] = (h, np.minimum(tf, 65535).astype("<u2"))
+                        held[unit] = (h, share)
                         size += len(h)
-                    ids.append(doc if doc is not None else -(1 << 63))
-                    units.append(unit)
-                    totals.append(total)
+                units.append(unit)
+                totals.append(total)
             if ids:
-                yield columns_of(arrow, {n: [None] for n in arrow.names} | {"bucket": [(k * 31 + ids[0]) % buckets], "ids": [np.array(ids, "<i8").tobytes()], "units": [np.array(units, "<i8").tobytes()], "totals": [np.array(totals, "<f8").tobytes()]})
+                yield columns_of(arrow, {n: [None] for n in arrow.names} | {"bucket": [(k * 31 + ids[0]) % first], "ids": [np.array(ids, "<i8").tobytes()], "units": [np.array(units, "<i8").tobytes()], "totals": [np.array(totals, "<f8").tobytes()]})
             if size > FLUSH:
                 yield rows()
                 held, size = {}, 0
         if held:
             yield rows()
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, _POSTINGS)
+    def deal(batches):
+        """Postings of first-step buckets to those of the second step."""
+        import pyarrow as pa
 
+        held, size = [], 0
 
-def _cut(groups: np.ndarray, of: int):
-    """(group, places) of each group that has any."""
-    order = np.argsort(groups, kind="stable")
-    ends = np.searchsorted(groups[order], np.arange(of + 1))
-    return [(g, order[ends[g] : ends[g + 1]]) for g in range(of) if ends[g] < ends[g + 1]]
+        def rows():
+            bucket, unit, rest, share = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _posting_rows(arrow, bucket, unit, rest, share)
+
+        for batch in batches:
+            documents = batch.filter(batch.column(batch.schema.get_field_index("ids")).is_valid())
+            if documents.num_rows:
+                yield columns_of(arrow, {n: documents.column(i) for i, n in enumerate(arrow.names)} | {"bucket": [b * second for b in documents.column(0).to_pylist()]})
+            for i in range(batch.num_rows):
+                one = pa.Table.from_batches([batch.slice(i, 1)])
+                unit, rest, share = _postings(one)
+                if len(unit):
+                    held.append((one.column(0)[0].as_py() * second + (rest % np.uint64(second)).astype(np.int64), unit, rest // np.uint64(second), share))
+                    size += len(unit)
+                if size > FLUSH:
+                    yield rows()
+                    held, size = [], 0
+        if held:
+            yield rows()
+
+    packed = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, _POSTINGS)
+    return packed if second == 1 else packed.repartition("bucket").mapInArrow(deal, _POSTINGS)
 
 
 def texts(df: DataFrame, documents: int, characters: int) -> DataFrame:
@@ -151,16 +209,20 @@ def texts(df: DataFrame, documents: int, characters: int) -> DataFrame:
     (unit, alone, hashes, weights) for each text that can have a partner: its shared shingles in ascending order
     of their hashes, and the total weight of the others."""
     buckets = max(8, characters // 6 // BUCKET)
-    groups = max(8, buckets // 2)
+    first, second = levels(max(8, buckets // 2))
     n = float(documents)
     shared_schema, texts_schema = arrow_schema(_SHARED), arrow_schema(_TEXTS)
-    read = lambda table, name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist() if x is not None]
-    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
 
-    def bucket(table):
-        """Postings of a bucket of hashes to its shared shingles, for groups of texts."""
-        import pyarrow as pa
+    def shared_rows(add, group_of, ids, units, totals, unit, hashes, weight, share):
+        """Documents and shared shingles, a row for each group of texts that has any."""
+        for g, at in _cut(group_of(units)):
+            add(texts=g, ids=ids[at], units=units[at], totals=totals[at])
+        for g, at in _cut(group_of(unit)):
+            at = at[np.argsort(unit[at], kind="stable")]
+            owners, counts = np.unique(unit[at], return_counts=True)
+            add(texts=g, owners=owners.astype("<i8"), counts=counts.astype("<i4"), hashes=hashes[at].astype("<u8"), weights=weight[at], shares=share[at])
 
+    def collector():
         out: dict[str, list] = {c: [] for c in shared_schema.names}
 
         def add(**values):
@@ -168,50 +230,67 @@ def texts(df: DataFrame, documents: int, characters: int) -> DataFrame:
                 v = values.get(c)
                 out[c].append(v.tobytes() if isinstance(v, np.ndarray) else v)
 
-        b = table.column("bucket")[0].as_py()
-        ids, units, totals = joined(read(table, "ids", "<i8"), "<i8"), joined(read(table, "units", "<i8"), "<i8"), joined(read(table, "totals", "<f8"), "<f8")
-        for g, at in _cut((units.view(np.uint64) % np.uint64(groups)).astype(np.int64), groups):
-            add(texts=g, ids=ids[at], units=units[at], totals=totals[at])
-        keys = read(table, "keys", "<i8")
-        if keys:
-            unit = np.concatenate([k[a] for k, a in zip(keys, read(table, "at", "<i4"), strict=True)])
-            rest = np.concatenate(read(table, "low", "<u4")).astype(np.uint64) | np.concatenate(read(table, "high", "<u2")).astype(np.uint64) << np.uint64(32)
-            tf = np.concatenate(read(table, "tf", "<u2"))
-            order = np.argsort(rest, kind="stable")
-            rest, unit, tf = rest[order], unit[order], tf[order]
-            same = rest[1:] == rest[:-1]
-            kept = np.concatenate((same, [False])) | np.concatenate(([False], same))  # others stand alone
-            rest, unit, tf = rest[kept], unit[kept], tf[kept]
-            order = np.lexsort((unit, rest))
-            rest, unit, tf = rest[order], unit[order], tf[order]
-            first = np.ones(len(rest), bool)
-            first[1:] = (rest[1:] != rest[:-1]) | (unit[1:] != unit[:-1])  # a text that came from two tasks counts once
-            rest, unit, tf = rest[first], unit[first], tf[first]
-            _, inverse, count = np.unique(rest, return_inverse=True, return_counts=True)
-            df_ = count[inverse]
-            rest, unit, tf, df_ = rest[df_ > 1], unit[df_ > 1], tf[df_ > 1], df_[df_ > 1]
-            share = (1 + np.log(tf)).astype("<f4")
-            weight = (share * inverse_df(df_, n)).astype("<f4")
-            hashes = rest * np.uint64(buckets) + np.uint64(b)
-            for g, at in _cut((unit.view(np.uint64) % np.uint64(groups)).astype(np.int64), groups):
-                at = at[np.argsort(unit[at], kind="stable")]
-                owners, counts = np.unique(unit[at], return_counts=True)
-                add(texts=g, owners=owners.astype("<i8"), counts=counts.astype("<i4"), hashes=hashes[at].astype("<u8"), weights=weight[at], shares=share[at])
+        return out, add
+
+    def bucket(table):
+        """Postings of a bucket of hashes to its shared shingles, for groups of texts."""
+        import pyarrow as pa
+
+        out, add = collector()
+        ids, units, totals = _joined(_read(table, "ids", "<i8"), "<i8"), _joined(_read(table, "units", "<i8"), "<i8"), _joined(_read(table, "totals", "<f8"), "<f8")
+        unit, rest, share = _postings(table)
+        order = np.argsort(rest, kind="stable")
+        rest, unit, share = rest[order], unit[order], share[order]
+        same = rest[1:] == rest[:-1]
+        kept = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(rest) else np.zeros(0, bool)  # others stand alone
+        rest, unit, share = rest[kept], unit[kept], share[kept]
+        order = np.lexsort((unit, rest))
+        rest, unit, share = rest[order], unit[order], share[order]
+        fresh = np.ones(len(rest), bool)
+        fresh[1:] = (rest[1:] != rest[:-1]) | (unit[1:] != unit[:-1])  # a text that came from two tasks counts once
+        rest, unit, share = rest[fresh], unit[fresh], share[fresh]
+        _, inverse, count = np.unique(rest, return_inverse=True, return_counts=True)
+        df_ = count[inverse]
+        rest, unit, share, df_ = rest[df_ > 1], unit[df_ > 1], share[df_ > 1].astype("<f4"), df_[df_ > 1]
+        weight = (share * inverse_df(df_, n)).astype("<f4")
+        hashes = mix(rest * _MULTIPLIER + np.uint64(table.column("bucket")[0].as_py()))
+        shared_rows(add, lambda u: (u.view(np.uint64) % np.uint64(first)).astype(np.int64), ids, units, totals, unit, hashes, weight, share)
         return pa.table({c.name: pa.array(out[c.name], c.type) for c in shared_schema})
 
+    def deal(batches):
+        """Rows of first-step groups of texts to those of the second step."""
+        import pyarrow as pa
+
+        out, add = collector()
+        held = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = pa.Table.from_batches([batch.slice(i, 1)])
+                g = one.column("texts")[0].as_py()
+                of = lambda u, g=g: g * second + (u.view(np.uint64) // np.uint64(first) % np.uint64(second)).astype(np.int64)
+                get = lambda c, kind, one=one: _joined(_read(one, c, kind), kind)
+                owner = np.repeat(get("owners", "<i8"), get("counts", "<i4"))
+                shared_rows(add, of, get("ids", "<i8"), get("units", "<i8"), get("totals", "<f8"), owner, get("hashes", "<u8"), get("weights", "<f4"), get("shares", "<f4"))
+                held += len(owner)
+            if held > FLUSH:
+                yield columns_of(shared_schema, out)
+                out, add = collector()
+                held = 0
+        yield columns_of(shared_schema, out)
+
     single = float(inverse_df(1, n))
 
     def assemble(table):
         """All that buckets have found of a group of texts to its texts that can have a partner."""
         import pyarrow as pa
 
-        ids, units, totals = joined(read(table, "ids", "<i8"), "<i8"), joined(read(table, "units", "<i8"), "<i8"), joined(read(table, "totals", "<f8"), "<f8")
+        ids, units, totals = _joined(_read(table, "ids", "<i8"), "<i8"), _joined(_read(table, "units", "<i8"), "<i8"), _joined(_read(table, "totals", "<f8"), "<f8")
         documents_part = pa.table({"doc_id": pa.array(ids), "unit": pa.array(units)} | {c.name: pa.nulls(len(ids), c.type) for c in list(texts_schema)[2:]}).cast(texts_schema)
-        owners = read(table, "owners", "<i8")
+        owners = _read(table, "owners", "<i8")
         if not owners:
             return documents_part
-        owner = np.concatenate([np.repeat(o, c) for o, c in zip(owners, read(table, "counts", "<i4"), strict=True)])
-        hashes, weights, shares = (np.concatenate(read(table, c, k)) for c, k in (("hashes", "<u8"), ("weights", "<f4"), ("shares", "<f4")))
+        owner = np.concatenate([np.repeat(o, c) for o, c in zip(owners, _read(table, "counts", "<i4"), strict=True)])
+        hashes, weights, shares = (np.concatenate(_read(table, c, k)) for c, k in (("hashes", "<u8"), ("weights", "<f4"), ("shares", "<f4")))
         order = np.lexsort((hashes, owner))
         owner, hashes, weights, shares = owner[order], hashes[order], weights[order], shares[order]
         text, starts = np.unique(owner, return_index=True)
@@ -228,7 +307,9 @@ def texts(df: DataFrame, documents: int, characters: int) -> DataFrame:
         }
         return pa.concat_tables([documents_part, pa.table(rows).cast(texts_schema)])
 
-    return _packed(df, buckets).groupBy("bucket").applyInArrow(bucket, _SHARED).groupBy("texts").applyInArrow(assemble, _TEXTS)
+    shared = _packed(df, buckets).groupBy("bucket").applyInArrow(bucket, _SHARED)
+    shared = shared if second == 1 else shared.repartition("texts").mapInArrow(deal, _SHARED)
+    return shared.groupBy("texts").applyInArrow(assemble, _TEXTS)
 
 
 def sample(hashes: np.ndarray, weights: np.ndarray, count: int, seed: int = 2) -> np.ndarray:
@@ -390,7 +471,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     found = materialize(texts(docs.where("doc_id is not null"), max(2, size["n"]), size["chars"]), "texts")
-    of_doc = found.where("doc_id is not null").select("doc_id", "unit")
+    wordless = found.where(f"doc_id is not null and unit = {WORDLESS}").select("doc_id", F.col("doc_id").alias("class_id"))
+    of_doc = found.where(f"doc_id is not null and unit != {WORDLESS}").select("doc_id", "unit")
     units = materialize(of_doc.groupBy("unit").agg(F.min("doc_id").alias("least")), "units")
     vector = found.where("hashes is not null").select("unit", "alone", "hashes", "weights")
     signed = materialize(signatures(vector), "signatures")
@@ -416,8 +498,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     names = of_unit.groupBy("label").agg(F.min("least").alias("class_id"))
     by_unit = of_unit.join(names, "label").select("unit", "class_id")
     by_doc = of_doc.join(by_unit, "unit").select("doc_id", "class_id")
-    wordless = docs.join(by_doc.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"))
-    return by_doc.unionByName(wordless)
+    nameless = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    return by_doc.unionByName(wordless).unionByName(nameless)
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
