@@ -19,11 +19,10 @@ components, named by the least doc_id in them.
    off), the others are verified by their exact weighted Jaccard similarity. In a second round the texts of a
    bucket that are not yet in one class are paired with another of them, chosen at random.
 5. `apart` takes the buckets that still hold more than one class and compares every pair of texts of different
-   classes in them, so all candidates are in one class or refuted.
+   classes in them, in cells of bounded size, so all candidates are in one class or refuted.
 6. `components` joins links into classes by minimum labels.
 
-Tables up to the head rounds grow in proportion to the input or slower. `apart` compares in blocks of texts and puts
-out likely pairs only; a bucket of many texts that are all different takes a time that grows with its square. A shingle
+Tables grow in proportion to the input or slower. A bucket of many texts that are all different takes a time that grows with its square. A shingle
 that a third of all texts share is one entry for each text in one bucket's arrays. Null and wordless texts have
 no shingles and form classes of their own; equal word sequences are one text; repeated rows fall in one class, and
 every row of an id has a row in the result. Rows without id are not searched and have no class (null). 1 + ln tf
@@ -49,8 +48,8 @@ WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 5
 #: postings to a bucket, and postings that a task holds before it sends them
 BUCKET, FLUSH = 2_000_000, 1_500_000
 _NOT_ALNUM = re.compile(r"[\W_]+")
-#: texts of a bucket that are paired by a join, and texts to a block in larger ones
-FEW, BLOCK = 32, 2048
+#: texts of a bucket that shares its cell with others, texts of such a cell, and texts to a block of larger buckets
+FEW, CELL, BLOCK = 32, 20_000, 1024
 _INDEX = WordIndex(200_000, "near_dedup")
 
 
@@ -363,6 +362,13 @@ def _least_agreement() -> float:
     return SIMILAR * count - 4.5 * math.sqrt(SIMILAR * (1 - SIMILAR) * count)
 
 
+def _similar(alone_a: float, x: np.ndarray, v: np.ndarray, alone_b: float, y: np.ndarray, w: np.ndarray) -> bool:
+    """Whether the weighted Jaccard similarity of two texts is SIMILAR or more."""
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = float(np.minimum(v[i], w[j]).sum(dtype=float))
+    return both >= (SIMILAR - 1e-9) * (alone_a + alone_b + float(v.sum(dtype=float)) + float(w.sum(dtype=float)) - both)
+
+
 def links(pairs: DataFrame, signed: DataFrame, vectors: DataFrame) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is SIMILAR or more."""
     samples = lambda c: signed.select(F.col("unit").alias(c), F.col("samples").alias(f"s{c}"))
@@ -381,12 +387,7 @@ def links(pairs: DataFrame, signed: DataFrame, vectors: DataFrame) -> DataFrame:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             keep = []
             for a, b, alone_a, ha, wa, alone_b, hb, wb in rows:
-                x, y = np.frombuffer(ha, "<u8"), np.frombuffer(hb, "<u8")
-                v, w = np.frombuffer(wa, "<f4"), np.frombuffer(wb, "<f4")
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                both = float(np.minimum(v[i], w[j]).sum(dtype=float))
-                union = alone_a + alone_b + float(v.sum(dtype=float)) + float(w.sum(dtype=float)) - both
-                if both >= (SIMILAR - 1e-9) * union:
+                if _similar(alone_a, np.frombuffer(ha, "<u8"), np.frombuffer(wa, "<f4"), alone_b, np.frombuffer(hb, "<u8"), np.frombuffer(wb, "<f4")):
                     keep.append((a, b))
             yield columns_of(arrow, {"a": [k[0] for k in keep], "b": [k[1] for k in keep]})
 
@@ -410,12 +411,30 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stepped.select("node", "label")
 
 
-def apart(bands: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of different classes in a common bucket, all but those whose samples agree in too few places.
+def _likely_pairs(table, least: float):
+    """(place, places of the texts that it may be similar to) within each band of a cell, texts of one class left out."""
+    band, label, side = (table.column(c).to_numpy() for c in ("band", "label", "side"))
+    codes = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint8).reshape(len(band), -1)
+    for _, rows in _cut(band):
+        for n, k in enumerate(rows):
+            if side[k] == 1:
+                continue
+            against = rows[n + 1 :] if side[k] == 2 else rows[side[rows] == 1]
+            against = against[label[against] != label[k]]
+            agree = (codes[against] == codes[k]).sum(axis=1)
+            found = np.flatnonzero(agree >= least)
+            if len(found):
+                yield k, against[found[np.argsort(-agree[found], kind="stable")]]
+
+
+def apart(bands: DataFrame, label: DataFrame, signed: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Links (a, b) between texts of different classes in a common bucket, enough of them to join all classes that any pair joins.
 
     Texts outside the largest class of a bucket are compared with all of other classes, those in it not with each
-    other. In a bucket of more than FEW texts both kinds are dealt to blocks by their hashes, and each pair of blocks
-    is a group of its own; a text goes there with the last byte of each sample, which can only add to the agreement.
+    other. Buckets of up to FEW texts go to cells of many buckets. In a larger one both kinds are dealt to blocks by their
+    hashes, and each pair of blocks is a cell of its own. A cell first compares the last byte of each sample, which
+    can only add to the agreement, and names the texts that have a likely partner; to these their vectors are
+    sent, and the cell verifies pairs of classes that it has not joined yet. So no table holds pairs that are merely likely.
     """
     named = bands.join(label, bands.unit == label.node, "left").select("band", "unit", F.coalesce("label", "unit").alias("label"))
     named = materialize(named, "named")
@@ -424,46 +443,57 @@ def apart(bands: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
     open_ = materialize(most.select("band", "n", F.col("most.label").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mains")), "open")
     member = named.join(open_, "band")
 
-    small = materialize(member.where(F.col("n") <= FEW).select("band", "unit", "label"), "small")
-    second = small.select("band", F.col("unit").alias("b"), F.col("label").alias("label_b"))
-    by_join = small.join(second, "band").where("unit < b and label != label_b").select(F.col("unit").alias("a"), "b")
-
+    packs = max(8, (open_.where(F.col("n") <= FEW).agg(F.sum("n")).first()[0] or 0) // CELL)
+    small = member.where(F.col("n") <= FEW).select(F.pmod(F.xxhash64("band"), F.lit(packs)).alias("cell"), "band", F.lit(2).alias("side"), "unit", "label")
     salt, column = F.xxhash64(F.lit(3), "unit", "band"), F.col("_x")
     large = member.where(F.col("n") > FEW).withColumn("_main", F.col("label") == F.col("main"))
     large = large.withColumn("_own", F.when(F.col("_main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int"))
     facing = F.when(F.col("_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
-    cells = large.withColumn("_x", F.explode(facing)).select("band", F.least(column, "_own").alias("i"), F.greatest(column, "_own").alias("j"), (F.col("_own") <= column).alias("_low"), "unit", "label")
-    cells = cells.join(signed.select("unit", "samples"), "unit")
+    side = F.when(column == F.col("_own"), 2).when(F.col("_own") < column, 0).otherwise(1)
+    large = large.withColumn("_x", F.explode(facing)).select(F.xxhash64("band", F.least(column, "_own"), F.greatest(column, "_own")).alias("cell"), "band", side.alias("side"), "unit", "label")
 
-    arrow, least, count = arrow_schema("a long, b long"), _least_agreement(), BANDS * ROWS
+    least, shape = _least_agreement(), "cell long, band long, side int, unit long, label long"
+    arrow, rows, links_ = arrow_schema(f"{shape}, samples binary"), arrow_schema(shape), arrow_schema("a long, b long")
 
     def thin(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.get_field_index("samples")
-            short = pa.array([x[::4] for x in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], short], schema=batch.schema)
+            short = pa.array([x[::4] for x in batch.column(5).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], short], schema=arrow)
 
-    def cell(table):
+    def likely(table):
         import pyarrow as pa
 
-        unit, label, low = (table.column(c).to_numpy() for c in ("unit", "label", "_low"))
-        codes = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint8).reshape(-1, count)
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        left, right = (np.arange(len(unit)),) * 2 if same else (np.flatnonzero(low), np.flatnonzero(~low))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n, k in enumerate(left):
-            against = right[n + 1 :] if same else right
-            against = against[label[against] != label[k]]
-            found = against[(codes[against] == codes[k]).sum(axis=1) >= least]
-            a.append(np.minimum(unit[found], unit[k]))
-            b.append(np.maximum(unit[found], unit[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}).cast(arrow)
+        found = {int(i) for k, others in _likely_pairs(table, least) for i in (k, *others)}
+        return table.take(pa.array(sorted(found), pa.int64())).select(rows.names)
+
+    def verified(table):
+        import pyarrow as pa
+
+        unit, label, alone = (table.column(c).to_numpy() for c in ("unit", "label", "alone"))
+        hashes, weights = _read(table, "hashes", "<u8"), _read(table, "weights", "<f4")
+        into = {x: x for x in label.tolist()}
+
+        def root(x):
+            while into[x] != x:
+                into[x] = into[into[x]]
+                x = into[x]
+            return x
+
+        out = []
+        for k, others in _likely_pairs(table, least):
+            for i in others.tolist():
+                x, y = root(int(label[k])), root(int(label[i]))
+                if x != y and _similar(alone[k], hashes[k], weights[k], alone[i], hashes[i], weights[i]):
+                    into[x] = y
+                    out.append((min(unit[k], unit[i]), max(unit[k], unit[i])))
+        return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}).cast(links_)
 
-    shape = "band long, i int, j int, _low boolean, unit long, label long, samples binary"
-    by_block = cells.select("band", "i", "j", "_low", "unit", "label", "samples").mapInArrow(thin, shape).groupBy("band", "i", "j").applyInArrow(cell, "a long, b long")
-    return by_join.unionByName(by_block).distinct()
+    cells = small.unionByName(large).join(signed.select("unit", "samples"), "unit").select(*rows.names, "samples").mapInArrow(thin, f"{shape}, samples binary")
+    involved = materialize(cells.groupBy("cell").applyInArrow(likely, shape), "involved")
+    whole = involved.join(signed.select("unit", "samples"), "unit").select(*rows.names, "samples").mapInArrow(thin, f"{shape}, samples binary").join(vectors, "unit")
+    return whole.select(*rows.names, "samples", "alone", "hashes", "weights").groupBy("cell").applyInArrow(verified, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
@@ -491,7 +521,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         new = materialize(links(pairs, signed, vector), "links")
         edges = new if edges is None else edges.unionByName(new)
         label = components(edges)
-    new = materialize(links(apart(bands, label, signed), signed, vector), "links")
+    new = materialize(apart(bands, label, signed, vector), "links")
     if new.limit(1).count():
         label = components(edges.unionByName(new))
     of_unit = units.join(label, units.unit == label.node, "left").select("unit", "least", F.coalesce("label", "unit").alias("label"))
