@@ -269,3 +269,44 @@ def test_folds(spark):
     blocks = s.groupBy(F.floor(F.col("lat") / 10), F.floor(F.col("lon") / 10)).agg(F.count_distinct("fold").alias("n"))
     assert blocks.agg(F.max("n")).first()[0] == 1 and s.count() == 500
     assert {r["count"] for r in model.balanced_sample(df, ["key"], 20).groupBy("target").count().collect()} == {20}
+
+
+def test_variances_of_every_break_but_p_of_inner_ones(spark):
+    s = spark.createDataFrame([(k, t, float((t * 7) % 5)) for k in range(4) for t in range(8)], "k int, t int, value double")
+    at = spark.createDataFrame([(0, 1), (1, 2), (2, 5), (3, 6)], "k int, at int")
+    found = {r["k"]: r for r in changepoint.variance_ratio(s, at, ["k"], "at").collect()}
+    assert [found[k]["var_pval"] is None for k in range(4)] == [True, False, False, True]
+    assert found[3]["v1"] is not None and found[1]["v1"] is not None and found[0]["v2"] is not None
+
+
+def test_the_first_point_can_be_a_break(spark):
+    df = spark.createDataFrame([(0.01, 0), (0.01, None), (0.2, 3), (None, 3)], "p double, cp int")
+    assert [r[0] for r in df.select(changepoint.significant(F.col("p"), F.col("cp"))).collect()] == [True, False, False, False]
+
+
+def test_examples_are_of_breaks_that_count(spark):
+    df = spark.createDataFrame([(1, 9.0, 0.01), (2, 8.0, 0.5), (3, 30.0, 0.01)], "k int, score double, p double")
+    assert [r["k"] for r in changepoint.top_examples(df, 2, "score", 20.0, ["k"], F.col("p") < 0.05).collect()] == [1]
+
+
+def test_absurd_years_are_left_out_of_the_aridity_index(spark):
+    import datetime
+
+    from tidewatch.operators import drivers, zonal
+
+    month = lambda y, m: datetime.date(y, m, 1)
+    tp = spark.createDataFrame([(1, month(y, m), 2.0) for y in (2000, 2001, 2002) for m in (1, 2)], "k int, time date, value double")
+    pet = spark.createDataFrame([(1, month(y, m), 0.0 if y == 2001 else 4.0) for y in (2000, 2001, 2002) for m in (1, 2)], "k int, time date, value double")
+    assert zonal.aridity_index(tp, pet, ["k"]).first()["aridity"] == 0.5
+    assert zonal.aridity_index(tp, pet, ["k"], method="monthly_ratio").first()["aridity"] > 1e5
+    found = drivers.aridity_driver(tp, pet, ["k"]).first()
+    assert found["mean"] == 5.0 and abs(found["trend"]) < 1e-12
+
+
+def test_importance_sums_the_columns_of_a_category(spark):
+    from tidewatch.operators import model
+
+    rows_ = [(i, i % 3 == 0, float(i % 7), "abc"[i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows_, "key int, target boolean, x double, soil string")
+    found = {r["feature"]: r["importance"] for r in model.importance(model.fit(df, ["x"], ["soil"], trees=2, depth=2), df).collect()}
+    assert set(found) == {"x", "soil"} and found["soil"] > 0.5 and abs(sum(found.values()) - 1) < 1e-6

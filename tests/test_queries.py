@@ -50,7 +50,7 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - SLOW))
 def test_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).columns
+    assert catalog.queries()[name](spark, SF).collect() is not None
 
 
 def test_entry(spark):

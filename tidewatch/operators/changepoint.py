@@ -159,13 +159,14 @@ def single_variance_split(df: DataFrame, key: list[str], least: int = 2, time: s
 
 
 def variance_ratio(df: DataFrame, breaks: DataFrame, key: list[str], at: str, time: str = "t", value: str = "value", with_p: bool = True) -> DataFrame:
-    """F8: variances around the break, their ratio and F with its two-sided p (N3); NULL unless the index is > 2 and < n - 1."""
+    """F8: variances before and after every break, their ratio and difference; F and its two-sided p (N3) of breaks that are
+    neither among the first two points nor among the last two."""
     whole = Window.partitionBy(*key)
     d = df.join(breaks.select(*key, F.col(at).alias("_at")), key).withColumn("_n", F.count(F.lit(1)).over(whole))
-    ok = (F.col("_at") > 2) & (F.col("_at") < F.col("_n") - 1)
-    first, second = F.when(ok & (F.col(time) < F.col("_at")), F.col(value)), F.when(ok & (F.col(time) > F.col("_at")), F.col(value))
-    g = d.groupBy(*key).agg(F.var_samp(first).alias("v1"), F.var_samp(second).alias("v2"), F.count(first).alias("_n1"), F.count(second).alias("_n2"))
-    found = g.select(*key, "v1", "v2", F.try_divide(F.col("v2"), F.col("v1")).alias("prop_var"), (F.col("v2") - F.col("v1")).alias("diff_var"), F.try_divide(F.col("v1"), F.col("v2")).alias("f_var"), "_n1", "_n2")
+    first, second = F.when(F.col(time) < F.col("_at"), F.col(value)), F.when(F.col(time) > F.col("_at"), F.col(value))
+    inner = F.max((F.col("_at") > 1) & (F.col("_at") < F.col("_n") - 2)).alias("_inner")
+    g = d.groupBy(*key).agg(F.var_samp(first).alias("v1"), F.var_samp(second).alias("v2"), F.count(first).alias("_n1"), F.count(second).alias("_n2"), inner)
+    found = g.select(*key, "v1", "v2", F.try_divide(F.col("v2"), F.col("v1")).alias("prop_var"), (F.col("v2") - F.col("v1")).alias("diff_var"), F.when(F.col("_inner"), F.try_divide(F.col("v1"), F.col("v2"))).alias("f_var"), "_n1", "_n2")
     if with_p:
         found = found.withColumn("var_pval", fisher_two_sided(F.col("f_var"), F.col("_n1") - 1, F.col("_n2") - 1))
     return found.drop("_n1", "_n2")
@@ -187,12 +188,14 @@ def all_tests(df: DataFrame, key: list[str], null: DataFrame, missing: int = 50)
 
 
 def significant(p: Column, cp: Column, alpha: float = 0.05) -> Column:
-    """the break counts; false where anything is missing."""
-    return F.coalesce((p < alpha) & (cp > 0), F.lit(False))
+    """the break counts; false where anything is missing. Indices count from 0, so the first point can be a break."""
+    return F.coalesce((p < alpha) & (cp >= 0), F.lit(False))
 
 
-def top_examples(df: DataFrame, n: int, score: str, cap: float, order: list[str]) -> DataFrame:
-    """the n highest scores up to the cap, or of all if none is within it. One aggregate and one top-n, no full sort."""
+def top_examples(df: DataFrame, n: int, score: str, cap: float, order: list[str], counts: Column | None = None) -> DataFrame:
+    """of the rows whose break `counts` (F10; all if not given), the n highest scores up to the cap, or of all if none
+    is within it. One aggregate and one top-n, no full sort."""
+    df = df if counts is None else df.where(F.coalesce(counts, F.lit(False)))
     within = df.agg(F.max(F.coalesce(F.col(score) <= cap, F.lit(False))).alias("_any"))
     marked = df.join(F.broadcast(within)).where((F.col(score) <= cap) | ~F.col("_any")).drop("_any")
     return marked.orderBy(F.desc(score), *order).limit(n)

@@ -33,12 +33,16 @@ def groundwater(regions: list[DataFrame], factor: int, step: float, first: str,
     return regrid.merge_maps(each, ["lat", "lon"])
 
 
-def aridity_driver(tp: DataFrame, pet: DataFrame, key: list[str], scale: float = 10.0) -> DataFrame:
-    """Annual index times `scale`, its mean, std and slope per year."""
+def aridity_driver(tp: DataFrame, pet: DataFrame, key: list[str], scale: float = 10.0, cap: float = 100.0) -> DataFrame:
+    """Annual index (zeros of both guarded month by month, ratios above `cap` left out) times `scale`: its mean, std and
+    slope per 365.25 days."""
     both = tp.select(*key, "time", F.col("value").alias("tp")).join(pet.select(*key, "time", F.col("value").alias("pet")), [*key, "time"])
-    annual = both.groupBy(*key, F.year("time").alias("year")).agg(F.sum("tp").alias("tp"), F.sum("pet").alias("pet"))
-    annual = annual.withColumn("value", scale * F.try_divide(F.col("tp"), F.when(F.col("pet") == 0, 1e-6).otherwise(F.col("pet"))))
-    return trend.trend_stats(annual, key, F.col("year").cast("double"))
+    guard = lambda c: F.when(c == 0, F.lit(1e-6)).otherwise(c)
+    annual = both.withColumns({c: guard(F.col(c)) for c in ("tp", "pet")}).groupBy(*key, F.year("time").alias("year")).agg(F.sum("tp").alias("tp"), F.sum("pet").alias("pet"))
+    ratio = F.try_divide(F.col("tp"), guard(F.col("pet")))
+    annual = annual.withColumn("value", F.when(ratio <= cap, scale * ratio))
+    days = F.datediff(F.make_date("year", F.lit(1), F.lit(1)), F.lit("2000-01-01").cast("date"))
+    return trend.trend_stats(annual, key, days / F.lit(365.25).cast("double"))
 
 
 def index_driver(cube: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:

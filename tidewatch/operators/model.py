@@ -122,10 +122,17 @@ def calibration(df: DataFrame, group: list[str], bins: int = 10, y: str = "y", p
     return df.groupBy(*group, b.alias("bin")).agg(F.avg(p).alias("mean_p"), F.avg((F.col(y) == 1).cast("int")).alias("observed"), F.count(F.lit(1)).alias("n"))
 
 
-def importance(spark, model, names: list[str], top: int | None = None) -> DataFrame:
-    """Features by importance; `names` in the order of the assembled vector."""
+def importance(model, df: DataFrame, names: list[str] | None = None, top: int | None = None) -> DataFrame:
+    """Features by importance, of those named only if `names` is given. Columns of the assembled vector are named by its
+    metadata; those of a category count for their feature together."""
     values = model.stages[-1].featureImportances.toArray().tolist()
-    table = spark.createDataFrame(list(zip(names, values, strict=False)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    kinds = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
+    found: dict[str, float] = {}
+    for column in (c for kind in kinds.values() for c in kind):
+        feature = column["name"].split("__", 1)[0]
+        found[feature] = found.get(feature, 0.0) + values[column["idx"]]
+    rows = [(f, v) for f, v in found.items() if names is None or f in names]
+    table = df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
     return table.limit(top) if top else table
 
 

@@ -71,14 +71,17 @@ def tidy(df: DataFrame, group: list[str], names: list[str]) -> DataFrame:
 
 
 def aridity_index(tp: DataFrame, pet: DataFrame, key: list[str], method: str = "annual", scale: float = 1.0, cap: float = 100.0, time: str = "time") -> DataFrame:
-    """Mean over years of annual sums of precipitation over evaporation (`annual`), or mean of monthly ratios (`monthly_ratio`); zeros guarded, capped."""
+    """Mean over years of annual sums of precipitation over evaporation, ratios above `cap` left out (`annual`), or
+    mean of all monthly ratios (`monthly_ratio`). Zeros of both are guarded month by month."""
     both = tp.select(*key, time, F.col("value").alias("tp")).join(pet.select(*key, time, F.col("value").alias("pet")), [*key, time])
     guard = lambda c: F.when(c == 0, F.lit(1e-6)).otherwise(c)
+    both = both.withColumns({c: guard(F.col(c)) for c in ("tp", "pet")})
     if method == "annual":
         both = both.groupBy(*key, F.year(time).alias("_y")).agg(F.sum("tp").alias("tp"), F.sum("pet").alias("pet"))
     elif method != "monthly_ratio":
         raise ValueError(f"unknown method {method!r}")
-    return both.groupBy(*key).agg(F.least(F.avg(F.try_divide(F.col("tp"), guard(F.col("pet")))) * scale, F.lit(cap)).alias("aridity"))
+    ratio = F.try_divide(F.col("tp"), guard(F.col("pet")))
+    return both.groupBy(*key).agg((F.avg(F.when(ratio <= cap, ratio) if method == "annual" else ratio) * scale).alias("aridity"))
 
 
 def warning(indicator: Column, tau: Column, p: Column, alpha: float = 0.05) -> Column:

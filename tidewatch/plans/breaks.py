@@ -64,7 +64,7 @@ def variance_split(spark, d):
 
 
 @query(f"""with {_SPLIT}, g as (select sp.k, split, count(*) n, var_samp(value) filter (t < split) v1, var_samp(value) filter (t > split) v2 from sp join s2 on s2.k = sp.k group by 1, 2)
-select k, round(v1 / 1000, 6) v1, round(v2 / 1000, 6) v2, round(v2 / v1, 6) prop_var, round((v2 - v1) / 1000, 6) diff_var, round(v1 / v2, 6) f_var from (select k, case when split > 2 and split < n - 1 then v1 end v1, case when split > 2 and split < n - 1 then v2 end v2 from g)""")
+select k, round(v1 / 1000, 6) v1, round(v2 / 1000, 6) v2, round(v2 / v1, 6) prop_var, round((v2 - v1) / 1000, 6) diff_var, round(case when split > 1 and split < n - 2 then v1 / v2 end, 6) f_var from g""")
 def variance_ratio(spark, d):
     s = s2(spark, d)
     r = cp.variance_ratio(s, cp.single_variance_split(s, ["k"]), ["k"], "split", with_p=False)
@@ -114,7 +114,7 @@ def _break_table(spark, d):
 
 
 _BREAKS = f"""{_PETTITT}, peak as (select k, min(t) peak from (select *, max(value) over (partition by k) m from s2) where value = m group by 1), ends as (select k, min(time) t0, max(time) t1 from s2 group by 1),
-bt as (select b.k, t0, t1, x.time a_date, y.time b_date, coalesce(least(1, 2 * exp(-6 * kk * kk / (cast(n as double) ** 3 + cast(n as double) ** 2))) < 0.9 and cp > 0, false) and x.time >= t0 + interval 12 month a_pos, b.k % 3 = 0 and y.time >= t0 + interval 12 month b_pos
+bt as (select b.k, t0, t1, x.time a_date, y.time b_date, coalesce(least(1, 2 * exp(-6 * kk * kk / (cast(n as double) ** 3 + cast(n as double) ** 2))) < 0.9 and cp >= 0, false) and x.time >= t0 + interval 12 month a_pos, b.k % 3 = 0 and y.time >= t0 + interval 12 month b_pos
   from b join peak using (k) join ends using (k) join s2 x on x.k = b.k and x.t = cp join s2 y on y.k = b.k and y.t = peak),
 cuts as (select k, 'a' test, a_date cut_date from bt where a_pos union all select k, 'b', b_date from bt where b_pos union all select k, 'all', least(a_date, b_date) from bt where a_pos or b_pos)"""
 
@@ -151,9 +151,11 @@ def three_passes(spark, d):
     return rounded(masking.runs(s, positive, negative, ["k"]).groupBy("run", "k").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), 8)
 
 
-@query(f"with {_SUPF}, within as (select exists (select 1 from s where f_stat <= 20) a) select k, round(f_stat, 6) f_stat from s, within where f_stat <= 20 or not a order by s.f_stat desc, k limit 5")
+@query(f"""with {_PETTITT}, c as (select k, kk from b where least(1, 2 * exp(-6 * kk * kk / (cast(n as double) ** 3 + cast(n as double) ** 2))) < 0.9 and cp >= 0), within as (select exists (select 1 from c where kk <= 4000) a)
+select k, kk k_stat from c, within where kk <= 4000 or not a order by kk desc, k limit 5""")
 def top_examples(spark, d):
-    return rounded(cp.top_examples(cp.sup_f(s2(spark, d), ["k"]).select("k", "f_stat"), 5, "f_stat", 20.0, ["k"]))
+    found = cp.pettitt(s2(spark, d), ["k"])
+    return cp.top_examples(found, 5, "k_stat", 4000.0, ["k"], cp.significant(F.col("pettitt_pval"), F.col("pettitt_cp"), 0.9)).select("k", "k_stat")
 
 
 @query(f"with {_SUPF}, b as (select k from s order by f_stat desc, k limit 3) select k, t, value from s2 where k in (select k from b)")

@@ -30,7 +30,8 @@ def groundwater_driver(spark, d):
 
 
 @query("""with m as (select c_nationkey k, cast(date_trunc('month', o_orderdate) as date) as time, round(sum(o_totalprice), 2) / 1e6 tp, cast(count(*) as double) pet from orders join customer on o_custkey = c_custkey group by 1, 2),
-y as (select k, year(time) as y, 10 * sum(tp) / case when sum(pet) = 0 then 1e-6 else sum(pet) end v from m group by 1, 2) select k, round(avg(v), 6) mean, round(stddev_pop(v), 6) std, round(regr_slope(v, cast(y as double)), 6) trend from y group by 1""")
+y as (select k, year(time) as y, sum(case when tp = 0 then 1e-6 else tp end) / sum(case when pet = 0 then 1e-6 else pet end) r from m group by 1, 2), z as (select k, y, case when r <= 100 then 10 * r end v from y)
+select k, round(avg(v), 6) mean, round(stddev_pop(v), 6) std, round(regr_slope(v, (make_date(y, 1, 1) - date '2000-01-01') / 365.25::double), 6) trend from z group by 1""")
 def aridity_driver(spark, d):
     from .maps import _arid
 
@@ -184,8 +185,8 @@ def out_of_fold_scores(spark, d):
 
 @query()
 def feature_importance(spark, d):
-    fitted = model.fit(_features(spark, d), _X, [], **_SMALL)
-    return rounded(model.importance(spark, fitted, _X, 5))
+    f = _features(spark, d)
+    return rounded(model.importance(model.fit(f, _X, ["soil"], **_SMALL), f, top=5))
 
 
 @query()

@@ -317,7 +317,7 @@ def _arid(spark, d):
     return m.select("k", "time", F.col("tp").alias("value")), m.select("k", "time", F.col("pet").alias("value"))
 
 
-@query(f"""with {_ARID}, y as (select k, year(time) y, sum(tp) tp, sum(pet) pet from m group by 1, 2), a as (select k, least(avg(tp / case when pet = 0 then 1e-6 else pet end) * 10, 100) aridity from y group by 1)
+@query(f"""with {_ARID}, y as (select k, year(time) y, sum(case when tp = 0 then 1e-6 else tp end) / sum(case when pet = 0 then 1e-6 else pet end) r from m group by 1, 2), a as (select k, avg(r) filter (r <= 100) * 10 aridity from y group by 1)
 select k, round(aridity, 6) aridity, case when aridity < 1.45 then 'dry' when aridity < 1.55 then 'middle' else 'wet' end as class from a""")
 def aridity_class(spark, d):
     from ..operators.drivers import aridity_class as classed
@@ -326,7 +326,7 @@ def aridity_class(spark, d):
     return rounded(classed(zonal.aridity_index(tp, pet, ["k"], scale=10.0), [1.45, 1.55], ["dry", "middle", "wet"]))
 
 
-@query(f"with {_ARID} select k, round(least(avg(tp / case when pet = 0 then 1e-6 else pet end), 100), 6) aridity from m group by 1")
+@query(f"with {_ARID} select k, round(avg(case when tp = 0 then 1e-6 else tp end / case when pet = 0 then 1e-6 else pet end), 6) aridity from m group by 1")
 def aridity_by_month(spark, d):
     tp, pet = _arid(spark, d)
     return rounded(zonal.aridity_index(tp, pet, ["k"], method="monthly_ratio"))
