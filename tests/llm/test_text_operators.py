@@ -187,11 +187,59 @@ def test_html(spark):
 
 
 def test_site_style_tree_cuts_what_a_host_repeats(spark):
-    page = lambda i: f"<body><div class=top>Welcome to our site</div><div class=text><p>Story {i} of its own</p><p>More {i * 7}</p></div></body>"
-    rows = [(i, f"http://Site.example/{i}", page(i)) for i in range(20)] + [(100, "http://other.example/", page(100))]
+    page = lambda i, top: f"<body><div class=top>{top}</div><div class=text><p>Story {i} of its own</p><p>More {i * 7}</p></div></body>"
+    rows = [(i, f"http://Site.example/{i}", page(i, "Welcome to our site")) for i in range(40)] + [(100, "http://other.example/", page(100, "Hello"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
-    assert found[3] == "Story 3 of its own\n\nMore 21" and found[100].startswith("Welcome")
+    for names in (True, False):
+        found = {r["page_id"]: (r["text"], r["cut_by_tree"], r["cut_by_name"]) for r in html_extract.extract(df, names=names).collect()}
+        assert found[3] == ("Story 3 of its own\n\nMore 21", 19, 0)
+    assert html_extract.extract(df.where("page_id = 100")).first()["text"].startswith("Hello")
+
+
+def test_style_tree_cuts_inside_articles_and_keeps_copies_as_one(spark):
+    page = lambda i: f"<article><p>Text {i} and {i * 3}</p><p class=s>Send this to a friend</p></article>"
+    rows = [(i, "http://h.example/x", page(i % 200)) for i in range(400)]
+    found = [r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert found == [f"Text {i % 200} and {i % 200 * 3}" for i in range(400)]
+
+
+def test_style_tree_against_a_plain_one(spark):
+    rng = np.random.default_rng(2)
+    pages = []
+    for i in range(60):
+        items = "".join(f"<li>{rng.choice(['a', 'b', 'c'])}</li>" for _ in range(rng.integers(1, 4)))
+        pages.append(f"<body><ul>{items}</ul><p>Own {i}</p><div class=n>Note | {i % 5}</div></body>")
+    pages += pages[:10]
+    df = spark.createDataFrame([(i, "http://h.example/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    found = {r["node"]: r for r in html_extract.style_tree(df, prior_pages=8).where("host = 'h.example'").collect()}
+
+    styles, texts = {}, {}
+    for x in dict.fromkeys(pages):
+        of_page, of_text = {}, {}
+        for node, text, *_ in html_extract.blocks(x, styles=of_page):
+            of_text.setdefault(node + "/#", Counter()).update(t for t in re.split(r"\s*\|\s*", text) if t)
+        for node, children in of_page.items():
+            styles.setdefault(node, []).append(tuple(children))
+        for node, counts in of_text.items():
+            texts.setdefault(node, []).append(counts)
+
+    def entropy(counts):
+        p = np.array(counts, float) / sum(counts)
+        return float(-(p * np.log(p)).sum())
+
+    def importance(node):
+        if node in texts:
+            m = len(texts[node])
+            each = [entropy([c[t] for c in texts[node] if c[t]]) for t in set().union(*texts[node])]
+            return (m * (1 - np.mean(each) / np.log(m)) + 8 * 0.9) / (m + 8)
+        m, kinds = len(styles[node]), Counter(styles[node])
+        own, power = entropy(list(kinds.values())) / np.log(m), 0.9 ** len(kinds)
+        inside = sum(k / m * np.mean([importance(f"{node}/{c}") for c in style]) for style, k in kinds.items())
+        return (1 - power) * own + power * inside
+
+    assert set(found) == set(styles) | set(texts)
+    for node in found:
+        assert abs(found[node]["composite"] - importance(node)) < 1e-6, node
 
 
 def test_shards_fit(spark):
@@ -334,3 +382,97 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r["node"]: r["label"] for r in near_dedup.components(edges).collect()}
     assert all(found[i] == 0 for i in range(41)) and found[101] == 100 and len(found) == 43
+
+
+def test_parts_and_batches_are_bounded():
+    import pyarrow as pa
+
+    from tidewatch.llm import words
+
+    long = "x" * 70 + "," + "y" * 40
+    assert words.parts(f"A {long} b") == ["a", "x" * 32, "x" * 32, "x" * 12, "y" * 32, "y" * 11, "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["ab" * 600, "c", None, "d" * 3000, "", "e", "f"])], ["i", "t"])
+    found = list(words.bounded([batch], 1, most=1500, rows=3))
+    assert [x for b in found for x in b.column(0).to_pylist()] == list(range(7))
+    assert all(b.num_rows <= 3 and (b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 1500) for b in found)
+
+
+def test_all_grams_of_a_word_count():
+    a, b = "q" * 20 + "abcdefghij", "q" * 20 + "abcdefghik"
+    flat, starts = toxicity.features([a, b, "..."])
+    assert set(flat[starts[0] : starts[1]]) != set(flat[starts[1] : starts[2]]) and starts[1] == 1 + len(a) - 1
+    assert flat[starts[2] :].tolist() == [toxicity.BUCKETS]
+
+
+def test_long_texts_go_through_the_filters_in_stretches():
+    network = toxicity.Network()
+    rng = np.random.default_rng(0)
+    embedded = np.vstack([np.zeros((1, toxicity.DIM)), rng.normal(size=(50, toxicity.DIM))]).astype(np.float32)
+    docs = [rng.integers(1, 51, n).astype(np.int32) for n in (0, 1, 7, 300, 40)]
+    assert np.allclose(network.logits(docs, embedded, budget=10), network.logits(docs, embedded), atol=1e-5)
+
+
+def test_samples_at_any_size():
+    from tidewatch.llm.words import share_of
+
+    assert share_of(10, 5) == 1 << 60 and abs(share_of(3000, 10**13) / 2**60 * 10**13 - 3000) < 1
+
+
+def test_language_needs_letters(spark):
+    model = language_id.train(docs(spark, ["the house and the garden", "a town"] * 5))
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs(spark, ["\u00bd \u00b2", "\u2167 \u2460", "12", "a\u00bd", "x" * 500]), model).collect()}
+    assert found == {0: "und", 1: "und", 2: "und", 3: "en", 4: "en"}
+
+
+def test_rows_go_two_steps_beyond_the_direct_limit(spark, monkeypatch):
+    texts = [" ".join(f"w{i}_{k % 3}" for i in range(40)) for k in range(6)] + ["", None]
+    df = docs(spark, texts).unionByName(docs(spark, ["alone"]).withColumn("doc_id", F.lit(None).cast("long")))
+    expected = sorted(map(str, near_dedup.near_duplicates(df).collect()))
+    monkeypatch.setattr(near_dedup, "DIRECT", 4)
+    assert sorted(map(str, near_dedup.near_duplicates(df).collect())) == expected and len(expected) == 9
+    assert all(a * b >= n and a * b < n + 2 * a for n in (5, 10_000, 8_000_000) for a, b in [near_dedup.levels(n)])
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="tables are not here")
+def test_queries_hold_their_contracts(spark):
+    import tiktoken
+
+    from tidewatch.llm import registry
+
+    found = {name: query(spark, SF).toPandas() for name, query in registry.queries().items()}
+    table = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id")
+    text = table["text"].map(lambda t: t or "")
+    for name, rows in found.items():
+        if name not in ("op6_html_extract", "op8_chat_format", "op9_packing"):
+            assert sorted(rows["doc_id"]) == sorted(table.index), name
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    for r in found["op1_byte_bpe"].itertuples():
+        ids = library.encode_ordinary(text[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+    classes = found["op2_near_dedup"].set_index("doc_id")["class_id"]
+    assert all(classes[c] == c and c <= d for d, c in classes.items())
+    assert found["op3_sharding"].groupby("shard")["bytes"].sum().max() <= 16 << 20
+    for name, mod, rest in (("op4_toxicity", 4, 2), ("op5_language_id", 3, 1)):
+        rows = found[name]
+        assert rows["score"].between(0, 1).all() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) for r in rows.itertuples())
+    assert ((found["op4_toxicity"]["score"] >= 0.3) == (found["op4_toxicity"]["predicted"] == 1)).all()
+    for r in found["op5_language_id"].itertuples():
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text[r.doc_id]))
+    assert (found["op6_html_extract"]["text"].str.len() == found["op6_html_extract"]["n_chars"]).all()
+    order = sorted(table.index)
+    following = dict(zip(order, [*order[1:], order[0]], strict=True))
+    for r in found["op7_fingerprints"].itertuples():
+        own, other = text[r.doc_id], text[following[r.doc_id]]
+        quarter = len(own) // 4
+        assert r.n_chars == len(own) and r.edited_sha256 == hashlib.sha256((own[: len(own) - quarter] + other[:quarter]).encode()).hexdigest()
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_next == 1 or own != other)
+    assert -7 in set(found["op8_chat_format"]["conv_id"])
+    pieces = found["op9_packing"]
+    assert (pieces.groupby("doc_id")["length"].sum() == pieces.groupby("doc_id")["doc_tokens"].first()).all()
+    assert pieces.groupby("sequence_id")["length"].sum().max() <= 4096
+    for r in found["op10_quality_rules"].itertuples():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(text[r.doc_id])
