@@ -476,3 +476,18 @@ def test_queries_hold_their_contracts(spark):
     assert pieces.groupby("sequence_id")["length"].sum().max() <= 4096
     for r in found["op10_quality_rules"].itertuples():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(text[r.doc_id])
+
+
+def test_fingerprints_stay_alike_when_a_word_is_put_in_front(spark):
+    """One paragraph of distinct words, a word more at its start, middle and end; runs of words are cut by their words alone."""
+    words = [f"w{i * 7919 % 1000}" for i in range(300)]
+    rows = {1: words, 2: ["new", *words], 3: [*words[:150], "new", *words[150:]], 4: [*words, "new"], 5: [f"v{i}" for i in range(300)]}
+    df = spark.createDataFrame([(k, " \t".join(v)) for k, v in rows.items()] + [(6, "a"), (7, "\n \n"), (8, None), (9, "x  " * 50)], "doc_id long, text string")
+    f = fingerprints.fingerprint(df, keys=["doc_id"])
+    lanes = {r["doc_id"]: r["lanes"] for r in f.collect()}
+    ends = {w for w, h in spark.createDataFrame([(w,) for v in rows.values() for w in v], "w string").distinct().selectExpr("w", "pmod(xxhash64(w), 6) h").collect() if h == 0}
+    assert lanes[1][-1] == sum(w in ends for w in words[:-1]) + 1
+    assert lanes[6][-1] == 1 and lanes[7] == lanes[8] and lanes[9][-1] in (1, 50)
+    first = f.where("doc_id = 1").select(F.col("lanes").alias("first"))
+    near = {r["doc_id"]: r["near"] for r in f.join(first).select("doc_id", fingerprints.likeness(F.col("first"), F.col("lanes")).alias("near")).collect()}
+    assert near[1] == 1.0 and min(near[2], near[3], near[4]) > 0.9 and near[5] < 0.5

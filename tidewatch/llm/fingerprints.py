@@ -5,8 +5,9 @@ space) of a text, taken lane by lane modulo 2^32. So the order of paragraphs doe
 `add` and `subtract` insert or delete paragraphs without the rest of the text. Two kinds of lanes:
 
 * EXACT lanes hold halves of 64-bit hashes of the whole paragraph. Equal multisets have equal sums.
-* LIKENESS lanes hold one hash bit for each run of up to eight words of the paragraph, counted from its start;
-  the last of them holds the number of runs. With the bits read as -1 and 1, the scalar product of two sums
+* LIKENESS lanes hold one hash bit for each run of words of the paragraph; the last of them holds the number of runs.
+  A run ends where the hash of its last word says so, every CUT words on average, so an inserted, changed or deleted
+  word touches the runs beside it only. With the bits read as -1 and 1, the scalar product of two sums
   estimates the number of runs in common, and `likeness` is its cosine.
 
 Every run becomes a row, and the sums are combined before the shuffle, so a long text is no long row of
@@ -21,11 +22,10 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-EXACT, BITS = 8, 64
+EXACT, BITS, CUT = 8, 64, 6
 LANES = EXACT + BITS + 1
 #: rows of 16 bytes that may be broadcast
 BROADCAST_ROWS = 500_000
-_SPACE = "[\\x20\\x09-\\x0D]"
 
 
 def _sums(units: DataFrame, keys: list[str], versions: list[str]) -> DataFrame:
@@ -55,9 +55,11 @@ def fingerprint(df: DataFrame, *, keys: list[str], texts: dict[str, str] | None
     lines = lambda c: F.filter(F.split(F.coalesce(F.col(c).cast("string"), F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     versions = F.explode(F.array(*(F.struct(F.lit(v).alias("_version"), lines(c).alias("_lines")) for v, c in enumerate(texts.values())))).alias("_v")
     paragraphs = df.select(*keys, versions).select(*keys, "_v._version", F.explode_outer("_v._lines").alias("_whole"))
-    runs = F.regexp_extract_all("_whole", F.lit(f"(?:[^\\x20\\x09-\\x0D]+(?:{_SPACE}+|$)){{1,8}}"), 0)
+    words = F.regexp_extract_all("_whole", F.lit("[^\\x20\\x09-\\x0D]+"), 0)
+    ended = F.transform(words, lambda w: F.concat(w, F.when(F.pmod(F.xxhash64(w), F.lit(CUT)) == 0, "\n").otherwise(" ")))  # a paragraph holds no \n
+    runs = F.split(F.regexp_replace(F.array_join(ended, ""), "[\\x20\\n]$", ""), "\n")
     units = paragraphs.select(*keys, "_version", "_whole", F.posexplode_outer(runs).alias("_at", "_run"))
-    units = units.select(*keys, "_version", F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, F.col("_whole")).alias("_whole"), F.rtrim("_run").alias("_run"))
+    units = units.select(*keys, "_version", F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, F.col("_whole")).alias("_whole"), "_run")
     return _sums(units, keys, list(texts))
 
 
