@@ -310,3 +310,79 @@ def test_importance_sums_the_columns_of_a_category(spark):
     df = spark.createDataFrame(rows_, "key int, target boolean, x double, soil string")
     found = {r["feature"]: r["importance"] for r in model.importance(model.fit(df, ["x"], ["soil"], trees=2, depth=2), df).collect()}
     assert set(found) == {"x", "soil"} and found["soil"] > 0.5 and abs(sum(found.values()) - 1) < 1e-6
+
+
+def test_exact_p_of_short_series(spark):
+    """Against all orders of six values; ties and long series take the normal approximation."""
+    import itertools
+
+    from tidewatch.operators import trend
+
+    score = lambda y: sum((b > a) - (b < a) for i, a in enumerate(y) for b in y[i + 1 :])
+    orders = [abs(score(o)) for o in itertools.permutations(range(6))]
+    series = {"a": [1, 2, 3, 4, 5, 6], "b": [2, 1, 3, 6, 4, 5], "c": [6, 5, 3, 4, 2, 1], "d": [3, 6, 1, 4, 5, 2], "tied": [1, 1, 2, 3, 4, 5], "long": list(range(40))}
+    df = spark.createDataFrame([(k, t, float(v)) for k, y in series.items() for t, v in enumerate(y)], "k string, t int, value double")
+    found = {r["k"]: r["pval"] for r in trend.kendall(df, ["k"]).collect()}
+    for k in "abcd":
+        assert found[k] == pytest.approx(sum(o >= abs(score(series[k])) for o in orders) / len(orders))
+    assert 0 < found["tied"] < 0.05 and 0 <= found["long"] < 1e-9
+
+
+def test_ranges_by_bands(spark):
+    """Ranges of very different widths, gaps between them, ends, missing values and an axis of one point."""
+    from tidewatch.operators import regrid
+
+    edges = [-1000.0, -3.5, -3.25, 0.0, 0.001, 7.0, 5000.0]
+    points = [(float(x),) for x in [*edges, -2000, -999.5, -3.3, 0.0005, 3, 6999, 4999.9]] + [(None,)]
+    near = {r["x"]: r["near"] for r in regrid.nearest_on_axis(spark.createDataFrame(points, "x double"), spark.createDataFrame([(e,) for e in edges], "x double").withColumnRenamed("x", "x"), "x", "near").collect()}
+    for (x,) in points:
+        inside = x is not None and edges[0] <= x <= edges[-1]
+        assert near[x] == (min(edges, key=lambda e: (abs(e - x), e)) if inside else None)
+    one = regrid.nearest_on_axis(spark.createDataFrame([(4.0,), (5.0,)], "x double"), spark.createDataFrame([(4.0,)], "x double"), "x", "near").collect()
+    assert {r["x"]: r["near"] for r in one} == {4.0: 4.0, 5.0: None}
+    none = regrid.nearest_on_axis(spark.createDataFrame([(4.0,)], "x double"), spark.createDataFrame([], "x double"), "x", "near").collect()
+    assert [r["near"] for r in none] == [None]
+
+
+def test_series_onto_another_axis(spark):
+    from tidewatch.operators import rolling
+
+    df = spark.createDataFrame([("a", 0, 0.0), ("a", 10, 5.0), ("a", 12, None), ("a", 20, 25.0)], "k string, t int, value double")
+    axis = spark.createDataFrame([("a", t) for t in (-1, 0, 4, 10, 15, 20, 21)] + [("b", 3)], "k string, t int")
+    found = {(r["k"], r["t"]): r["value"] for r in rolling.interpolate_onto(df, axis, ["k"], "t").collect()}
+    assert found == {("a", -1): None, ("a", 0): 0.0, ("a", 4): 2.0, ("a", 10): 5.0, ("a", 15): 15.0, ("a", 20): 25.0, ("a", 21): None, ("b", 3): None}
+
+
+def test_holes_on_land_only(spark):
+    from tidewatch.operators import regrid
+
+    ring = [(i, j) for i in range(1, 4) for j in range(1, 4) if (i, j) != (2, 2)] + [(i, j) for i in range(5, 8) for j in range(1, 4) if (i, j) != (6, 2)]
+    cells = spark.createDataFrame(ring, "i long, j long")
+    holes = lambda **more: sorted(map(tuple, regrid.holes(cells, 10, 6, **more).collect()))
+    assert holes() == [(2, 2), (6, 2)]
+    assert holes(land=spark.createDataFrame([(6, 2), (0, 0)], "i long, j long")) == [(6, 2)]
+
+
+def test_counts_of_attributions(spark):
+    from tidewatch.operators import model
+
+    phi = spark.createDataFrame([("x", "a", 1.0), ("x", "b", -3.0), ("y", "a", 2.0)], "soil string, feature string, phi double")
+    rows = spark.createDataFrame([("x",), ("x",), ("y",)], "soil string")
+    found = {(r["soil"], r["feature"]): (r["n_used"], r["n_available"], r["rank"]) for r in model.attribution_summary(phi, ["soil"], available=rows).collect()}
+    assert found == {("x", "a"): (1, 2, 2), ("x", "b"): (1, 2, 1), ("y", "a"): (1, 1, 1)}
+    assert {r["n_available"] for r in model.attribution_summary(phi.drop("soil"), [], available=rows).collect()} == {3}
+
+
+def test_sweep_with_residuals(spark):
+    """Two settings of a noisy seasonal series: one row each, and the robust one differs from the plain."""
+    import datetime
+    import random
+
+    from tidewatch.operators import agreement
+
+    rng = random.Random(3)
+    first = datetime.date(2000, 1, 2)
+    df = spark.createDataFrame([("a", first + datetime.timedelta(days=7 * i), float(i % 52) + rng.gauss(0, 1 + i / 300) + (50 if i % 97 == 0 else 0)) for i in range(300)], "k string, time date, value double")
+    found = agreement.sweep(df, ["k"], freqs=("W",), windows=(1,), differences=(1,), names=("std",)).collect()
+    assert sorted(r["tag"] for r in found) == ["freq-W_win-1_diff-1_stl-plain", "freq-W_win-1_diff-1_stl-robust"]
+    assert len({r["tau"] for r in found}) == 2 and all(r["n"] == 299 - 52 for r in found)

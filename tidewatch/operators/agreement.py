@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .calendar import densify, first_difference, make_tag, position, resample
+from .rolling import INDICATORS, indicators, odd_window, stl_residual
+from .trend import kendall
+
 CLASSES = (-1, 0, 1)
 
 
@@ -17,6 +23,28 @@ def configurations(spark, axes: dict[str, list]) -> DataFrame:
     return out
 
 
+def sweep(series: DataFrame, key: list[str], freqs: tuple[str, ...] = ("W", "MS"), windows: tuple[float, ...] = (3, 5, 10), differences: tuple[int, ...] = (0, 1), stl: tuple[str, ...] = ("robust", "plain"), how: str = "mean", mode: str = "strict", names: tuple[str, ...] = INDICATORS, digits: int | None = None) -> DataFrame:
+    """H1: the whole job under every combination of settings: key, tag, indicator, n, tau, pval.
+
+    `series` (key, time, value) is resampled to each frequency, put on its full calendar, freed of season and trend (`stl`:
+    robust, plain or none), differenced or not, and its indicators over windows of so many years are tested for trend. All
+    settings are one table, so that all series of all settings are tested in one job. Indicators are rounded to `digits` first, if given.
+    """
+    found = []
+    for freq in freqs:
+        per_year, step = {"W": (52, "7 days"), "MS": (12, "1 month")}[freq]
+        dense = densify(resample(series, key, freq, how), key, step).withColumn("t", position(key))
+        for rest in stl:
+            ready = dense if rest == "none" else stl_residual(dense, key, per_year, rest == "robust").withColumn("value", F.col("resid")).drop("resid")
+            for difference in differences:
+                one = ready.withColumn("value", first_difference(key)) if difference else ready
+                for years in windows:
+                    tag = make_tag(F.lit(freq), F.lit(years), F.lit(difference), F.lit(rest))
+                    signals = indicators(one, key, odd_window(years, per_year), mode).select(*key, "t", *(F.round(n, digits).alias(n) if digits is not None else n for n in names))
+                    found.append(signals.unpivot([*key, "t"], list(names), "indicator", "value").withColumn("tag", tag))
+    return kendall(reduce(lambda a, b: a.unionByName(b), found), [*key, "tag", "indicator"])
+
+
 def tau_summary(df: DataFrame, group: list[str], eps: float = 0.1, alpha: float = 0.05) -> DataFrame:
     """H2: centre and spread of tau and shares (%) over all cells; a comparison with what is missing counts as false."""
     share = lambda c: (100 * F.avg(F.coalesce(c, F.lit(False)).cast("int")))
@@ -67,10 +95,16 @@ def pairs_of_maps(long: DataFrame, cell: list[str], name: str, label: str, group
     return a.join(b, [*g, *cell]).where("map_a < map_b")
 
 
-def kappa_pairs(long: DataFrame, cell: list[str], name: str, label: str, group: list[str] | None = None) -> DataFrame:
-    """Agreement of every pair of maps, in one pass."""
+def kappa_pairs(long: DataFrame, cell: list[str], name: str, label: str, group: list[str] | None = None, directed: bool = False) -> DataFrame:
+    """Agreement of every pair of maps, in one pass; of cells with a direction in either map only, if `directed`."""
     by = [*(group or []), "map_a", "map_b"]
-    return kappa(contingency(pairs_of_maps(long, cell, name, label, group), by, "a", "b"), by)
+    pairs = pairs_of_maps(long, cell, name, label, group)
+    return kappa(contingency(non_neutral(pairs, "a", "b") if directed else pairs, by, "a", "b"), by)
+
+
+def pair_table(pairs: DataFrame, group: str, names: list[str], measure: str = "kappa_weighted") -> DataFrame:
+    """A measure of every pair of maps (one column <a>_<b> for each two of `names`), by group (as the indicator)."""
+    return pairs.withColumn("_pair", F.concat_ws("_", "map_a", "map_b")).groupBy(group).pivot("_pair", [f"{a}_{b}" for a in names for b in names if a < b]).agg(F.first(measure))
 
 
 def kappa_matrix(pairs: DataFrame, names: list[str]) -> DataFrame:

@@ -22,6 +22,12 @@ def time_slice(df: DataFrame, first: str, last: str, time: str = "time") -> Data
     return df.where(F.col(time).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
+def index_slice(df: DataFrame, axis: str, first: int, last: int) -> DataFrame:
+    """Rows whose place among the distinct points of an axis lies between two, both included."""
+    places = df.select(axis).distinct().withColumn("_i", F.row_number().over(Window.orderBy(axis)) - 1)  # the distinct points of one axis
+    return df.join(places.where(F.col("_i").between(first, last)).select(axis), axis, "left_semi")
+
+
 def weekly_how(variable: str) -> str:
     """Sums for amounts of water, means otherwise."""
     return "sum" if any(s in variable.lower() for s in SUM_NAMES) else "mean"

@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .regrid import within
+from .rolling import INDICATORS, indicators
+from .trend import kendall
+
 
 def late_enough(when: Column, start: Column, years: int = 12) -> Column:
     """G1: false where a date is missing."""
@@ -50,7 +54,7 @@ def pseudo_breaks(keys: DataFrame, pool: DataFrame, key: list[str], fallback: Co
     ranges = counts.withColumn("_to", F.sum("_n").over(run)).withColumn("_from", F.col("_to") - F.col("_n")).drop("_n")
     size = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_size"))
     drawn = keys.join(F.broadcast(size)).withColumn("_draw", F.when(F.col("_size") > 0, F.pmod(F.xxhash64(F.lit(seed), *key), F.col("_size"))))
-    found = drawn.join(F.broadcast(ranges), (F.col("_draw") >= F.col("_from")) & (F.col("_draw") < F.col("_to")), "left")
+    found = within(drawn, ranges, "_draw", "_from", "_to")
     return found.select(*keys.columns, F.coalesce("cut_date", fallback).alias("cut_date"))
 
 
@@ -64,3 +68,13 @@ def runs(series: DataFrame, positive: DataFrame, negative: DataFrame, key: list[
     full = series.withColumn("run", F.lit("full"))
     part = lambda cuts, name: cut(series, cuts, key, time).select(*series.columns, F.concat(F.lit(f"{name}_"), "test").alias("run"))
     return full.unionByName(part(positive, "pos")).unionByName(part(negative, "neg"))
+
+
+def trends_by_run(passes: DataFrame, key: list[str], window: int, mode: str = "strict", digits: int | None = None, names: tuple[str, ...] = INDICATORS) -> DataFrame:
+    """Indicators and their Kendall's tau again for each pass: key, run, indicator, n, tau, pval. The three passes are one job.
+
+    `passes` is what `runs` returns, with `t`. Indicators are rounded to `digits` first, if given.
+    """
+    found = indicators(passes, [*key, "run"], window, mode)
+    found = found.withColumns({n: F.round(n, digits) for n in names}) if digits is not None else found
+    return kendall(found.unpivot([*key, "run", "t"], list(names), "indicator", "value"), [*key, "run", "indicator"])

@@ -189,9 +189,20 @@ def attribution(df: DataFrame, background: DataFrame, model, features: list[str]
     return step.groupBy(*key, F.get(F.array(*map(F.lit, features)), F.col("_f")).alias("feature")).agg(F.avg("_d").alias("phi"))
 
 
-def attribution_summary(phi: DataFrame, group: list[str], top: int | None = None) -> DataFrame:
-    """Mean size and mean of the attributions by feature (and class), with how many rows were used."""
+def base_value(background: DataFrame, model) -> DataFrame:
+    """One row with the mean log odds of the background, from which attributions start, and its sigmoid."""
+    p = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    base = F.avg(F.log(p / (1 - p)))
+    return _scored(model, background).agg(base.alias("base_log_odds"), (1 / (1 + F.exp(-base))).alias("base_p"))
+
+
+def attribution_summary(phi: DataFrame, group: list[str], top: int | None = None, available: DataFrame | None = None) -> DataFrame:
+    """Mean size and mean of the attributions by feature (and class), with how many rows were used, and with
+    `n_available`: how many rows of `available` (all rows with the columns of `group`) there were to use."""
     g = phi.groupBy(*group, "feature").agg(F.avg(F.abs("phi")).alias("mean_abs"), F.avg("phi").alias("mean"), F.count(F.lit(1)).alias("n_used"))
+    if available is not None:
+        counts = available.groupBy(*group).agg(F.count(F.lit(1)).alias("n_available"))
+        g = g.join(counts, group) if group else g.join(F.broadcast(counts))  # one row
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("mean_abs"), "feature"))
     return g.withColumn("rank", rank).where(F.col("rank") <= top) if top else g.withColumn("rank", rank)
 

@@ -45,6 +45,23 @@ def snap(x: Column, x0: float, step: float, n: int) -> Column:
     return F.when((x >= x0) & (x <= x0 + (n - 1) * step), at)
 
 
+def within(df: DataFrame, ranges: DataFrame, at: str, low: str, high: str, closed: Column | None = None) -> DataFrame:
+    """`df` with the columns of the range that holds `at`, from `low` up to and without `high`, or NULL: an equality join on bands.
+
+    Bands are as wide as a range is on average, so that disjoint ranges enter twice as many bands as there are ranges at
+    most, and a row meets the ranges of its band only. `closed` marks ranges that consist of `low` alone.
+    """
+    top = F.coalesce(F.col(high), F.col(low))
+    width = ranges.agg(F.coalesce(F.nullif((F.max(top) - F.min(low)).cast("double") / F.count(F.lit(1)), F.lit(0.0)), F.lit(1.0)).alias("_width"))
+    width = F.broadcast(width)  # one row
+    band = lambda x: F.floor(x / F.col("_width"))
+    banded = ranges.join(width).withColumn("_band", F.explode(F.sequence(band(F.col(low)), band(top)))).drop("_width")
+    inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
+    inside = inside if closed is None else inside | closed & (F.col(at) == F.col(low))
+    left = df.join(width).withColumn("_at_band", band(F.col(at))).drop("_width")
+    return left.join(banded, (F.col("_at_band") == F.col("_band")) & inside, "left").drop("_band", "_at_band")
+
+
 def brackets(axis: DataFrame, x: str = "x") -> DataFrame:
     """An axis as intervals (x0, x1) between neighbours; the last point is an interval of its own."""
     w = Window.orderBy(x)  # the distinct points of one axis
@@ -53,10 +70,8 @@ def brackets(axis: DataFrame, x: str = "x") -> DataFrame:
 
 def nearest_on_axis(target: DataFrame, axis: DataFrame, at: str, out: str) -> DataFrame:
     """Nearest point of an irregular axis (the lower of two as near); NULL outside."""
-    b = F.broadcast(brackets(axis))
-    inside = (F.col(at) >= F.col("x0")) & (F.col(at) < F.col("x1")) | F.col("x1").isNull() & (F.col(at) == F.col("x0"))
     near = F.when(F.col("x1").isNull() | (F.col(at) - F.col("x0") <= F.col("x1") - F.col(at)), F.col("x0")).otherwise(F.col("x1"))
-    return target.join(b, inside, "left").withColumn(out, near).drop("x0", "x1")
+    return within(target, brackets(axis), at, "x0", "x1", F.col("x1").isNull()).withColumn(out, near).drop("x0", "x1")
 
 
 def bilinear(target: DataFrame, source: DataFrame, value: str = "value") -> DataFrame:
@@ -64,8 +79,7 @@ def bilinear(target: DataFrame, source: DataFrame, value: str = "value") -> Data
     out = target
     for axis in ("lat", "lon"):
         b = brackets(source.select(F.col(axis).alias("x")).distinct()).select(F.col("x0").alias(f"{axis}0"), F.col("x1").alias(f"{axis}1"))
-        inside = (F.col(axis) >= F.col(f"{axis}0")) & (F.col(axis) < F.col(f"{axis}1")) | F.col(f"{axis}1").isNull() & (F.col(axis) == F.col(f"{axis}0"))
-        out = out.join(F.broadcast(b), inside, "left")
+        out = within(out, b, axis, f"{axis}0", f"{axis}1", F.col(f"{axis}1").isNull())
         out = out.withColumn(f"_w{axis}", F.coalesce(F.try_divide(F.col(axis) - F.col(f"{axis}0"), F.col(f"{axis}1") - F.col(f"{axis}0")), F.when(F.col(f"{axis}0").isNotNull(), 0.0)))
     corners = []
     for i in (0, 1):
@@ -171,10 +185,11 @@ def components(cells: DataFrame, diagonal: bool = False) -> DataFrame:
         cells = stepped.select("i", "j", "label")
 
 
-def holes(cells: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Cells of a rows x cols grid that are not in `cells` and whose component does not reach the border."""
+def holes(cells: DataFrame, rows: int, cols: int, land: DataFrame | None = None) -> DataFrame:
+    """Cells of a rows x cols grid that are not in `cells` and whose component does not reach the border; those of `land` (i, j) only, if given."""
     spark = cells.sparkSession
     grid = spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("i"), (F.col("id") % cols).alias("j"))
     empty = components(grid.join(cells.select("i", "j").distinct(), ["i", "j"], "left_anti"))
     border = empty.where((F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == rows - 1) | (F.col("j") == cols - 1)).select("component").distinct()
-    return empty.join(border, "component", "left_anti").select("i", "j")
+    found = empty.join(border, "component", "left_anti").select("i", "j")
+    return found if land is None else found.join(land.select("i", "j").distinct(), ["i", "j"], "left_semi")

@@ -116,6 +116,23 @@ def fill_linear(df: DataFrame, key: list[str], time: str = "t", value: str = "va
     return df.withColumn(out, filled).drop("_v0", "_t0", "_v1", "_t1")
 
 
+def interpolate_onto(df: DataFrame, axis: DataFrame, key: list[str], time: str = "time", value: str = "value") -> DataFrame:
+    """Each series of `df` (one if `key` is empty) at the times of `axis` (key, time), on the line between the known values before and after; NULL outside them.
+
+    Both are put in one order, so that a series costs one sort; `axis` has a time once for each key.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*key, time, F.col(value).cast("double").alias("_v"), F.lit(False).alias("_asked"))
+    both = known.unionByName(axis.select(*key, time, F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_asked")))
+    order = Window.partitionBy(*key).orderBy(time)
+    before, after = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
+    point = F.when(F.col("_v").isNotNull(), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
+    both = both.withColumns({"_a": F.last(point, True).over(before), "_b": F.first(point, True).over(after)}).where("_asked")
+    kind = dict(df.dtypes)[time]
+    number = lambda c: (F.unix_date(c) if kind == "date" else F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c).cast("double")
+    share = F.coalesce(F.try_divide(number(F.col(time)) - number(F.col("_a.t")), number(F.col("_b.t")) - number(F.col("_a.t"))), F.lit(0.0))
+    return both.select(*key, time, (F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share).alias(value))
+
+
 def _loess(y: np.ndarray, window: int, at: np.ndarray, robust: np.ndarray | None = None) -> np.ndarray:
     """Local lines with tricube weights at the places `at`, through rows of `y` at 0..n-1 (rows are smoothed apart)."""
     n = y.shape[1]

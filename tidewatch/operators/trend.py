@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_two_sided, student_two_sided
+from .rolling import interpolate_onto
+
+#: series up to this length have an exact p of Kendall's tau if no values tie
+EXACT = 33
 
 
 def _kendall(y: np.ndarray) -> tuple[float, int, float]:
@@ -29,27 +33,38 @@ def _kendall(y: np.ndarray) -> tuple[float, int, float]:
     return s, n, var
 
 
+def _exact_p(s: float, n: int) -> float:
+    """Two-sided p of n values without ties: the share of orders that are at least as far from no trend."""
+    pairs = n * (n - 1) // 2
+    share = np.ones(1)
+    for j in range(2, n + 1):  # orders of j values by their inversions: the j-th adds 0 to j - 1
+        share = np.convolve(share, np.full(j, 1 / j))
+    fewer = int(round((pairs - abs(s)) / 2))
+    return 1.0 if 2 * fewer >= pairs else min(1.0, 2 * share[: fewer + 1].sum())
+
+
 def kendall(df: DataFrame, key: list[str], least: int = 2, time: str = "t", value: str = "value") -> DataFrame:
     """Key, n, tau (tau-b against time) and pval (N1) of each series; NULL below `least` values, keys kept.
 
-    One series is one group. The normal approximation with ties takes the place of the exact table for short series.
+    One series is one group. p is exact up to EXACT values without ties, and the normal approximation with ties beyond.
     """
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*key).dtypes) + ", n int, tau double, z double"
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*key).dtypes) + ", n int, tau double, z double, exact double"
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         out = part[key].iloc[:1].copy()
         y = part.sort_values(time)[value].dropna().to_numpy(float)
-        tau = z = None
+        tau = z = exact = None
         if len(y) >= max(2, least):
             s, n, var = _kendall(y)
             pairs, tied = n * (n - 1) / 2, (np.unique(y, return_counts=True)[1] * (np.unique(y, return_counts=True)[1] - 1) / 2).sum()
             if pairs > tied:
                 tau, z = s / np.sqrt(pairs * (pairs - tied)), s / np.sqrt(var)
-        return out.assign(n=len(y), tau=tau, z=z).astype({"tau": float, "z": float})
+                exact = _exact_p(s, n) if n <= EXACT and not tied else None
+        return out.assign(n=len(y), tau=tau, z=z, exact=exact).astype({"tau": float, "z": float, "exact": float})
 
     found = df.select(*dict.fromkeys([*key, time, value])).groupBy(*key).applyInPandas(one, schema)
     clean = lambda c: F.when(~F.isnan(c), F.col(c))
-    return found.select(*key, "n", clean("tau").alias("tau"), normal_two_sided(clean("z")).alias("pval"))
+    return found.select(*key, "n", clean("tau").alias("tau"), F.coalesce(clean("exact"), normal_two_sided(clean("z"))).alias("pval"))
 
 
 def kendall_pairs(df: DataFrame, key: list[str], time: str = "t", value: str = "value") -> DataFrame:
@@ -116,8 +131,9 @@ def trend_stats(df: DataFrame, key: list[str], x: Column, value: str = "value")
     return df.groupBy(*key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.regr_slope(F.col(value), x).alias("trend"))
 
 
-def index_correlation(df: DataFrame, index: DataFrame, key: list[str], time: str = "time", value: str = "value") -> DataFrame:
-    """Pearson's correlation of each series with one index series on the times they share."""
+def index_correlation(df: DataFrame, index: DataFrame, key: list[str], time: str = "time", value: str = "value", interpolate: bool = False) -> DataFrame:
+    """Pearson's correlation of each series with one index series on the times they share, or with the index interpolated to the times of the series."""
+    index = interpolate_onto(index, df.select(time).distinct(), [], time, "value") if interpolate else index
     shared = df.join(index.select(time, F.col("value").alias("_index")), time)
     return shared.groupBy(*key).agg(F.corr(value, "_index").alias("corr"))
 

@@ -65,6 +65,13 @@ def signal_percent(df: DataFrame, group: list[str], signals: dict[str, Column],
     return df.groupBy(*group).agg(*hits)
 
 
+def with_cropland(df: DataFrame, group: str, cropland: Column, excluded: tuple[str, ...] = (), name: str = "cropland") -> DataFrame:
+    """Cropland becomes a group of its own and leaves the numerator and denominator of the others; `excluded` and unknown groups drop out, but for their cropland."""
+    inside = F.coalesce(cropland, F.lit(False))
+    kept = df.where(inside | F.col(group).isNotNull() & ~F.col(group).isin(*excluded)) if excluded else df.where(inside | F.col(group).isNotNull())
+    return kept.withColumn(group, F.when(inside, F.lit(name)).otherwise(F.col(group)))
+
+
 def tidy(df: DataFrame, group: list[str], names: list[str]) -> DataFrame:
     """One row per group and signal."""
     return df.unpivot(group, names, "signal", "percent")

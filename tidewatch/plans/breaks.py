@@ -173,3 +173,23 @@ def cumulative_break_area(spark, d):
     p = cp.pettitt(s2(spark, d), ["k"]).toDF("k", "cp", "k_stat", "p").select("k", "cp", cal.year_of_index(F.col("cp"), 1995).alias("y"))
     area = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").cast("double").alias("area"))
     return rounded(cp.cumulative_area(p.join(area, "k"), "y", "cp", "area", 2003, 1994))
+
+
+_RUNS = f"""{_BREAKS}, passes as (select k, t, value, 'full' run from s2 union all select s2.k, t, value, 'pos_' || test from s2 join cuts on cuts.k = s2.k where time <= cut_date union all select s2.k, t, value, 'neg_fixed' from s2 where time <= date '1998-06-30' and k not in (select k from cuts)),
+lagged as (select *, lag(value) over (partition by run, k order by t) p from passes),
+rolled as (select run, k, t, count(value) over f n, avg(value) over f m, stddev_pop(value) over f sd, var_pop(value) over f vp, sum(value * p) over f1 sxy, sum(value + p) over f1 sx, count(value * p) over f1 c1
+  from lagged window f as (partition by run, k order by t rows between 6 preceding and 6 following), f1 as (partition by run, k order by t rows between 5 preceding and 6 following)),
+signals as (select run, k, t, 'std' indicator, case when n = 13 then round(sd, 9) end v from rolled union all select run, k, t, 'ac1', case when n = 13 and vp > 0 then round((sxy - m * sx + c1 * m * m) / (13 * vp), 9) end from rolled),
+valid as (select * from signals where v is not null), sizes as (select run, k, indicator, count(v) n from signals group by all),
+sums as (select a.run, a.k, a.indicator, sum(sign(b.v - a.v)) s, cast(count(*) as double) * sum((b.v <> a.v)::int) u from valid a join valid b on a.run = b.run and a.k = b.k and a.indicator = b.indicator and a.t < b.t group by all)
+select run, k, indicator, cast(n as integer) n, round(s / sqrt(nullif(u, 0)), 6) tau from sizes left join sums using (run, k, indicator)"""
+
+
+@query(f"with {_RUNS}")
+def three_passes_trends(spark, d):
+    """Indicators and their trends again on the full, the cut and the borrowed series."""
+    s = s2(spark, d).select("k", "time", "t", "value")
+    positive = masking.positive_cuts(_break_table(spark, d), ["k"], ["a", "b"])
+    negative = masking.negatives(s, positive, ["k"]).withColumn("test", F.lit("fixed")).withColumn("cut_date", F.lit("1998-06-30").cast("date"))
+    found = masking.trends_by_run(masking.runs(s, positive, negative, ["k"]), ["k"], 13, digits=9, names=("std", "ac1"))
+    return rounded(found.select("run", "k", "indicator", "n", "tau"))

@@ -383,3 +383,62 @@ def no_data_cells(spark, d):
 def validity_domain(spark, d):
     m = maps(spark, d).withColumn("x", F.when(F.col("k") % 6 != 0, 1)).withColumn("y", F.when(F.col("k") % 10 != 0, 1))
     return m.where(zonal.all_known(F.col("x"), F.col("y"))).select("k")
+
+
+_DIRECTED = f"""{_LONG}, lab as (select k, region, indicator, {_LABEL} l from long), t as (select a.region, a.indicator map_a, b.indicator map_b, a.l a, b.l b, cast(count(*) as double) n from lab a join lab b on a.k = b.k and a.indicator < b.indicator where a.l <> 0 or b.l <> 0 group by all),
+g as (select region, map_a, map_b, sum(n) n, sum(n * (1 - abs(a - b) / 2)) / sum(n) pw from t group by all), ma as (select region, map_a, map_b, a, sum(n) s from t group by all), mb as (select region, map_a, map_b, b, sum(n) s from t group by all),
+e as (select ma.region, ma.map_a, ma.map_b, sum(ma.s * mb.s * (1 - abs(a - b) / 2)) ew from ma join mb on ma.region = mb.region and ma.map_a = mb.map_a and ma.map_b = mb.map_b group by all),
+kw as (select region, map_a || '_' || map_b pair, (pw - ew / n / n) / (1 - ew / n / n) kappa from g join e using (region, map_a, map_b))"""
+_PAIR_NAMES = [f"{a}_{b}" for a in NAMES for b in NAMES if a < b]
+
+
+@query(f"with {_DIRECTED} select region, " + ", ".join(f"round(max(kappa) filter (pair = '{p}'), 6) {p}" for p in _PAIR_NAMES) + " from kw group by 1")
+def directed_agreement(spark, d):
+    """Weighted kappa of every two maps on cells with a direction in either, by region."""
+    lab = _long(spark, d).withColumn("label", ag.tau_label(F.col("tau"), F.col("pval")))
+    return rounded(ag.pair_table(ag.kappa_pairs(lab, ["k"], "indicator", "label", ["region"], directed=True), "region", list(NAMES)))
+
+
+_SWEEP = [(freq, years, diff) for freq in ("W", "MS") for years in (1, 2) for diff in (0, 1)]
+
+
+def _sweep_sql() -> str:
+    """The same steps for each setting, one after another."""
+    base = {"W": ("time", "7 day", 52), "MS": ("cast(date_trunc('month', time) as date)", "1 month", 12)}
+    out = [S1]
+    for freq, (label, step, _) in base.items():
+        out.append(f"{freq}_b as (select k, {label} as time, avg(value) as value from s1 group by 1, 2), {freq}_e as (select min(time) a, max(time) b from {freq}_b), {freq}_x as (select unnest(generate_series(a, b, interval {step}))::date as time from {freq}_e)")
+        out.append(f"{freq}_0 as (select k, time, value, row_number() over (partition by k order by time) - 1 t from (select distinct k from {freq}_b) cross join {freq}_x left join {freq}_b using (k, time)), {freq}_1 as (select k, t, value - lag(value) over (partition by k order by t) as value from {freq}_0)")
+    parts = []
+    for freq, years, diff in _SWEEP:
+        half = (years * base[freq][2] + (years * base[freq][2] + 1) % 2) // 2
+        parts.append(f"select k, t, 'freq-{freq}_win-{years}_diff-{diff}_stl-none' tag, case when count(value) over f = {2 * half + 1} then round(stddev_pop(value) over f, 9) end v from {freq}_{diff} window f as (partition by k order by t rows between {half} preceding and {half} following)")
+    out.append("i as (" + " union all ".join(parts) + ")")
+    out.append("j as (select * from i where v is not null), c as (select k, tag, count(v) n from i group by all)")
+    out.append("q as (select a.k, a.tag, sum(sign(b.v - a.v)) s, cast(count(*) as double) * sum((b.v <> a.v)::int) u from j a join j b on a.k = b.k and a.tag = b.tag and a.t < b.t group by all)")
+    return "with " + ", ".join(out) + " select k, tag, 'std' indicator, cast(n as integer) n, round(s / sqrt(nullif(u, 0)), 6) tau from c left join q using (k, tag)"
+
+
+@query(_sweep_sql())
+def sensitivity_sweep(spark, d):
+    """Trend of the rolling spread under every frequency, window and differencing."""
+    found = ag.sweep(s1(spark, d), ["k"], windows=(1, 2), stl=("none",), names=("std",), digits=9)
+    return rounded(found.select("k", "tag", "indicator", "n", "tau"))
+
+
+@query(f"with {MAPS}, g as (select *, case when k % 5 = 0 then 'cropland' else region end grp from maps where k % 5 = 0 or region <> 'ASIA') select grp, " + ", ".join(f"round(100 * coalesce(sum(area) filter (({c}) and k % 7 <= 3), 0) / sum(area), 6) {n}" for n, c in _FAMILY.items()) + " from g group by 1")
+def cropland_percent(spark, d):
+    m = zonal.with_cropland(maps(spark, d).withColumn("grp", F.col("region")), "grp", F.col("k") % 5 == 0, ("ASIA",))
+    return rounded(zonal.signal_percent(m, ["grp"], zonal.family_signals(m), counted=F.col("k") % 7 <= 3))
+
+
+_DRY = "case when value < 1000 then 'dry' when value < 5000 then 'middle' else 'wet' end"
+
+
+@query(f"with {_FLAGS}, c as (select {_DRY} dryness, indicator, case when w and b then 1 when w then 2 when b then 3 else 4 end as class, sum(flags.area) area from flags join (select k, value from maps) using (k) group by 1, 2, 3) select dryness, indicator, class, round(area, 6) area, round(area / sum(area) over (partition by dryness, indicator), 6) fraction from c")
+def confusion_by_aridity(spark, d):
+    """Outcomes by class of a cell value in the role of its aridity."""
+    from ..operators.drivers import aridity_class as classed
+
+    dryness = classed(customer_cells(spark, d).select("k", F.col("value").alias("aridity")), [1000.0, 5000.0], ["dry", "middle", "wet"]).select("k", F.col("class").alias("dryness"))
+    return rounded(zonal.confusion_fractions(_flags(spark, d).join(dryness, "k"), ["dryness"], ["indicator"], "w", "b"))

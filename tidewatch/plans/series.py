@@ -182,11 +182,7 @@ def tags_and_labels(spark, d):
 
 @query(f"with {CELLS}, a as (select distinct lat from cells), r as (select lat, dense_rank() over (order by lat) - 1 i from a) select k, lat from cells join r using (lat) where i between 5 and 14")
 def sub_grid(spark, d):
-    c = cells(spark, d)
-    from pyspark.sql import Window
-
-    axis = c.select("lat").distinct().withColumn("i", F.dense_rank().over(Window.orderBy("lat")) - 1)  # the distinct points of one axis
-    return c.join(F.broadcast(axis.where("i between 5 and 14").select("lat")), "lat", "left_semi").select("k", "lat")
+    return cal.index_slice(cells(spark, d), "lat", 5, 14).select("k", "lat")
 
 
 # --- rolling indicators
@@ -307,6 +303,18 @@ def index_correlation(spark, d):
     return rounded(trend.index_correlation(s, index, ["k"]))
 
 
+@query(f"""with {S2}, m as (select cast(date_trunc('month', time) as date) m, round(sum(value), 5) total from s2 group by 1), x as (select distinct time from s2),
+a as (select time, m ma, total va from x asof join m on m <= time), b as (select time, m mb, total vb from x asof join m on m >= time),
+i as (select time, round(va + (vb - va) * coalesce(cast(mb - ma <> 0 as integer) * (time - ma) / cast(nullif(mb - ma, 0) as double), 0), 5) total from a join b using (time))
+select k, round(corr(value, total), 6) corr from s2 join i using (time) group by 1""")
+def interpolated_index_correlation(spark, d):
+    """A monthly index, interpolated to the weeks of each series; weeks after the last month start have none."""
+    s = s2(spark, d)
+    index = s.groupBy(F.trunc("time", "month").alias("time")).agg(F.round(F.sum("value"), 5).alias("value"))
+    weekly = rolling.interpolate_onto(index, s.select("time").distinct(), []).withColumn("value", F.round("value", 5))
+    return rounded(trend.index_correlation(s, weekly, ["k"]))
+
+
 @query(f"with {S3} select k, strftime(time, '%Y-%m-%d %H') as hour, value from s3 where k in ('error', 'view')")
 def qualifying_series(spark, d):
     return trend.qualifying(s3(spark, d), ["error", "view"], "k").select("k", F.date_format("time", "yyyy-MM-dd HH").alias("hour"), "value")
