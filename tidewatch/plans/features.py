@@ -170,10 +170,10 @@ def stratified_folds(spark, d):
 
 def _features(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("key"), (F.col("label") < 5).alias("target"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(6)), (F.col("vec_id") % 3).cast("string").alias("soil"), (F.col("vec_id") % 3).cast("int").alias("fold"))
+    return e.select(F.col("vec_id").alias("key"), (F.col("label") < 5).alias("target"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)), (F.col("vec_id") % 3).cast("string").alias("soil"), (F.col("vec_id") % 3).cast("int").alias("fold"))
 
 
-_X = [f"x{i}" for i in range(6)]
+_X = [f"x{i}" for i in range(64)]
 #: fewer and shallower trees than the operator's defaults, as queries run on small tables
 _SMALL = {"trees": 5, "depth": 3}
 
@@ -200,7 +200,7 @@ def attribution(spark, d):
     f = _features(spark, d)
     background = model.balanced_sample(f, ["key"], 20)
     phi = model.attribution(f, background, model.fit(f, _X, [], **_SMALL), _X, ["key"], permutations=2)
-    return rounded(model.attribution_summary(phi, [], 5))
+    return rounded(model.attribution_summary(phi, [], 5, f))
 
 
 @query()
@@ -208,9 +208,16 @@ def attribution_by_class(spark, d):
     f = _features(spark, d)
     background = model.balanced_sample(f, ["key"], 20)
     phi = model.attribution(f, background, model.fit(f, _X, [], **_SMALL), _X, ["key"], permutations=2)
-    return rounded(model.attribution_summary(phi.join(f.select("key", "soil"), "key"), ["soil"], 3))
+    return rounded(model.attribution_summary(phi.join(f.select("key", "soil"), "key"), ["soil"], 3, f))
 
 
 @query()
 def ablations(spark, d):
-    return rounded(model.ablations(_features(spark, d), {"first": (_X[:3], []), "last": (_X[3:], []), "full": (_X, ["soil"])}, folds=3, **_SMALL))
+    return rounded(model.ablations(_features(spark, d), {"first": (_X[:32], []), "last": (_X[32:], []), "full": (_X, ["soil"])}, folds=3, **_SMALL))
+
+
+@query()
+def attribution_base(spark, d):
+    """The log odds that attributions start from."""
+    f = _features(spark, d)
+    return rounded(model.base_value(model.balanced_sample(f, ["key"], 20), model.fit(f, _X, [], **_SMALL)))
