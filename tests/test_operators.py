@@ -386,3 +386,37 @@ def test_sweep_with_residuals(spark):
     found = agreement.sweep(df, ["k"], freqs=("W",), windows=(1,), differences=(1,), names=("std",)).collect()
     assert sorted(r["tag"] for r in found) == ["freq-W_win-1_diff-1_stl-plain", "freq-W_win-1_diff-1_stl-robust"]
     assert len({r["tau"] for r in found}) == 2 and all(r["n"] == 299 - 52 for r in found)
+
+
+def test_tridiagonal_solution_and_long_daily_series(spark):
+    """Against a dense solve; a daily series of 24 years is filled and keeps its cubic."""
+    import numpy as np
+    import pandas as pd
+
+    from tidewatch.operators import changepoint
+
+    rng = np.random.default_rng(5)
+    low, high, right = rng.normal(size=(3, 40))
+    diagonal = 4 + rng.random(40)
+    dense = np.diag(diagonal) + np.diag(low[1:], -1) + np.diag(high[:-1], 1)
+    assert np.allclose(changepoint._tridiagonal(low, diagonal, high, right), np.linalg.solve(dense, right))
+    t = np.arange(8766)
+    y = (t / 1000.0) ** 3 - t / 50.0
+    gaps = rng.random(len(t)) < 0.3
+    gaps[[0, 1, 2, 3, -1, -2, -3, -4]] = False
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "t": t, "value": np.where(gaps, np.nan, y)}))
+    found = changepoint.fill_spline(df, ["k"]).toPandas().sort_values("t")["value"].to_numpy()
+    assert np.allclose(found, y, atol=1e-6)
+
+
+def test_theil_sen_against_all_pairs(spark):
+    import itertools
+    import statistics
+
+    from tidewatch.operators import trend
+
+    rows = [("a", t, float((t * 37) % 11)) for t in (0, 1, 2, 2, 5, 6, 9)] + [("b", 3, 1.0), ("b", 3, 2.0), ("c", 1, 1.0)]
+    found = {r["k"]: r for r in trend.theil_sen(spark.createDataFrame(rows, "k string, t int, value double"), ["k"], per_year=1.0).collect()}
+    slopes = [(v2 - v1) / (t2 - t1) for (k1, t1, v1), (k2, t2, v2) in itertools.combinations(rows[:7], 2) if t2 != t1]
+    assert found["a"]["slope"] == pytest.approx(statistics.median(slopes)) and found["a"]["lo"] in [pytest.approx(s) for s in slopes]
+    assert found["b"]["slope"] is None and found["c"]["slope"] is None

@@ -18,6 +18,19 @@ def testable(df: DataFrame, key: list[str], missing: int = 50, value: str = "val
     return df.join(good.select(*key), key, "left_semi")
 
 
+def _tridiagonal(low: np.ndarray, diagonal: np.ndarray, high: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of a tridiagonal system by elimination down and substitution up, O(n); low[0] and high[-1] are not read."""
+    n = len(diagonal)
+    c, r = np.zeros(n), np.zeros(n)
+    c[0], r[0] = high[0] / diagonal[0], right[0] / diagonal[0]
+    for i in range(1, n):
+        pivot = diagonal[i] - low[i] * c[i - 1]
+        c[i], r[i] = high[i] / pivot, (right[i] - low[i] * r[i - 1]) / pivot
+    for i in range(n - 2, -1, -1):
+        r[i] -= c[i] * r[i + 1]
+    return r
+
+
 def fill_spline(df: DataFrame, key: list[str], time: str = "t", value: str = "value") -> DataFrame:
     """gaps by a cubic spline through what is there (end slopes as in the cubics through the four outer points); flat beyond the ends."""
     schema = df.select(*key, time, value).schema
@@ -27,15 +40,11 @@ def fill_spline(df: DataFrame, key: list[str], time: str = "t", value: str = "va
         if n < 4:
             return np.interp(at, x, y)
         h, d = np.diff(x), np.diff(y) / np.diff(x)
-        a = np.zeros((n, n))
         r = np.zeros(n)
-        a[0, :2], a[-1, -2:] = (-h[0], h[0]), (h[-1], -h[-1])
         third = lambda i: ((d[i + 2] - d[i + 1]) / (x[i + 3] - x[i + 1]) - (d[i + 1] - d[i]) / (x[i + 2] - x[i])) / (x[i + 3] - x[i])
         r[0], r[-1] = third(0) * h[0] ** 2, -third(n - 4) * h[-1] ** 2
-        for i in range(1, n - 1):
-            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-            r[i] = d[i] - d[i - 1]
-        s = np.linalg.solve(a, r)
+        r[1:-1] = np.diff(d)
+        s = _tridiagonal(np.append(0, h), np.concatenate(([-h[0]], 2 * (h[:-1] + h[1:]), [-h[-1]])), np.append(h, 0), r)
         k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
         u = at - x[k]
         b = d[k] - h[k] * (2 * s[k] + s[k + 1])
