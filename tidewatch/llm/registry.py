@@ -16,6 +16,7 @@ OPERATORS = {
     "op8_chat_format": "chat_format",
     "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
+    "op11_simhash": "simhash",
 }
 
 
