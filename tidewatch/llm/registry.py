@@ -17,6 +17,7 @@ OPERATORS = {
     "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
     "op11_simhash": "simhash",
+    "op12_spelling": "spelling",
     "op13_whitening": "whitening",
 }
 
