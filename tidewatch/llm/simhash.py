@@ -11,7 +11,8 @@ set in over half of the shingles' 64-bit hashes (XXH64, seed 42). Fingerprints l
 3. Grid range-join: two lattice points at most two steps apart have a point at most one step from either, so a
    fingerprint goes to its own cell and to those one step away, 49 on average, and every link meets in a cell.
 4. A task reads the cells one after another, compares their fingerprints exactly, and gives out each one's
-   link to the least of those it is connected with in the cell. A cell of more than MOST fingerprints is not
+   link to the least of those it is connected with in the cell. Fingerprints of one vector are compared in their own cell only, so a
+   family of near copies is not compared again in all cells around. A cell of more than MOST fingerprints is not
    compared: its fingerprints are dealt anew by the vector of another choice of segments, within the cell. What is still
    in cells too large after the last choice is looked up instead, each fingerprint with every one or two of its bits turned, in
    time linear in the cell.
@@ -36,8 +37,8 @@ from .storage import materialize
 from .words import arrow_schema, bounded, columns_of, mix
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-#: fingerprints of a cell that are compared with each other
-MOST = 2048
+#: fingerprints of a cell that are compared with each other; looking them up is faster beyond
+MOST = 50_000
 #: the bits that lie side by side in a choice of segments are these steps apart (modulo 64)
 CHOICES = (1, 5, 11)
 _EVEN = np.uint64(0x5555555555555555)
@@ -131,19 +132,30 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compared(codes: np.ndarray) -> np.ndarray:
-    a, b = [], []
-    step = max(1, (1 << 20) // len(codes))
-    for i in range(0, len(codes), step):
-        x, y = np.nonzero(np.bitwise_count(codes[i : i + step, None] ^ codes[None, :]) <= DISTANCE)
-        forward = x + i < y
-        a.append(x[forward] + i)
-        b.append(y[forward])
-    return _roots(len(codes), np.concatenate(a), np.concatenate(b))
+def _compared(codes: np.ndarray, points: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The least place connected with each of distinct `codes` that meet in a cell. `own`: this is the cell of the code's own
+    point. Two codes of one point elsewhere are not compared here."""
+    order = np.lexsort((points, ~own))
+    codes, points, own = codes[order], points[order], own[order]
+    starts = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (~own[1:] & (points[1:] != points[:-1]))])
+    label = np.arange(len(codes))
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(codes)], strict=True):
+        first = i if own[i] else j
+        rest = codes[first:]
+        step = max(1, (1 << 20) // max(1, len(rest)))
+        for k in range(i, j if len(rest) else i, step):
+            x, y = np.nonzero(np.bitwise_count(codes[k : min(k + step, j), None] ^ rest[None, :]) <= DISTANCE)
+            x, y = x + k, y + first
+            apart = label[x] != label[y]
+            if apart.any():
+                label = _roots(len(codes), np.concatenate((x[apart], np.arange(len(codes)))), np.concatenate((y[apart], label)))
+    out = np.empty_like(label)
+    out[order] = order[label]
+    return out
 
 
 def _looked_up(codes: np.ndarray) -> np.ndarray:
-    """As _compared, of sorted distinct codes, by looking up each one with one or two of its bits turned."""
+    """The least place connected with each of sorted distinct codes, by looking up each one with one or two of its bits turned."""
     label = np.arange(len(codes))
     masks = [sum(1 << k for k in bits) for n in range(1, DISTANCE + 1) for bits in combinations(range(64), n)]
     a, b, held = [], [], 0
@@ -167,7 +179,8 @@ def _met(rows: DataFrame, step: int, last: bool, most: int) -> DataFrame:
     `rows` are cell, code: fingerprints and the cell of the choice before, null at first.
     """
     schema = "cell long, a long, b long"
-    dealt, found = arrow_schema("cell long, code long"), arrow_schema(schema)
+    dealt_ = "cell long, code long, own boolean"
+    dealt, found = arrow_schema(dealt_), arrow_schema(schema)
 
     def deal(batches):
         for batch in batches:
@@ -178,7 +191,7 @@ def _met(rows: DataFrame, step: int, last: bool, most: int) -> DataFrame:
                 if batch.column(0).null_count == 0:
                     within = np.asarray(batch.column(0)).view(np.uint64)[i : i + 2000]
                     cells = mix(cells ^ mix(within)[place])
-                yield columns_of(dealt, {"cell": cells.view(np.int64), "code": part[place].view(np.int64)})
+                yield columns_of(dealt, {"cell": cells.view(np.int64), "code": part[place].view(np.int64), "own": np.arange(len(place)) < len(part)})
 
     def task(batches):
         for table, starts in sorted_runs(batches, None if last else most):
@@ -187,17 +200,24 @@ def _met(rows: DataFrame, step: int, last: bool, most: int) -> DataFrame:
                 yield columns_of(found, {"cell": cells, "a": codes, "b": [None] * len(codes)})
                 continue
             ends = np.append(starts[1:], len(codes))
-            for i, j in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            own, points = np.asarray(table.column(2).combine_chunks().to_numpy(zero_copy_only=False), bool), bit_counts(codes.view(np.uint64), step)
+            met = np.add.reduceat(own, starts, dtype=np.int64) > 0
+            met |= np.maximum.reduceat(points, starts) != np.minimum.reduceat(points, starts)  # else all meet in their own cell
+            linked = []
+            for k in np.flatnonzero(met & (ends - starts > 1)).tolist():
+                i, j = int(starts[k]), int(ends[k])
                 if j - i > most and not last:
                     yield columns_of(found, {"cell": cells[i:j], "a": codes[i:j], "b": [None] * (j - i)})
                     continue
-                members = np.unique(codes[i:j].view(np.uint64))
-                root = (_compared if j - i <= most else _looked_up)(members)
-                linked = np.flatnonzero(root != np.arange(len(root)))
-                if len(linked):
-                    yield columns_of(found, {"cell": [None] * len(linked), "a": members[linked].view(np.int64), "b": members[root[linked]].view(np.int64)})
-
-    return rows.select("cell", "code").mapInArrow(deal, "cell long, code long").repartition("cell").sortWithinPartitions("cell").mapInArrow(task, schema)
+                members, at = np.unique(codes[i:j].view(np.uint64), return_index=True)
+                root = _compared(members, points[i:j][at], own[i:j][at]) if j - i <= most else _looked_up(members)
+                those = np.flatnonzero(root != np.arange(len(root)))
+                linked.append((members[those].view(np.int64), members[root[those]].view(np.int64)))
+            if linked:
+                a, b = (np.concatenate(x) for x in zip(*linked, strict=True))
+                yield columns_of(found, {"cell": [None] * len(a), "a": a, "b": b})
+
+    return rows.select("cell", "code").mapInArrow(deal, dealt_).repartition("cell").sortWithinPartitions("cell").mapInArrow(task, schema)
 
 
 def links(codes: DataFrame, most: int = MOST) -> DataFrame:
