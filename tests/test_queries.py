@@ -69,7 +69,7 @@ def test_residuals_are_robust(spark):
 
     robust = series.rounded(rolling.stl_residual(series.s2(spark, SF), ["k"], 52, robust=True).select("k", "t", "resid"))
     assert sorted(map(tuple, catalog.queries()["stl_residual"](spark, SF).collect())) == sorted(map(tuple, robust.collect()))
-    signals, _ = rolling.early_warning(series.s2(spark, SF).select("k", "t", "value"), ["k"], 53, period=52, robust=True)
+    signals = rolling.early_warning(series._shipments(spark, SF), ["k"], 53, freq="W", how="sum", period=52, robust=True).signals()
     found = catalog.queries()["early_warning_job"](spark, SF)
     assert canonical(found.columns, found.collect()) == canonical(signals.columns, series.rounded(signals).collect())
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .calendar import densify, first_difference, make_tag, position, resample
-from .rolling import INDICATORS, indicators, odd_window, stl_residual
-from .trend import kendall
+from ..functions import blocks as numeric
+from ..functions.stats import normal_two_sided
+from . import blocks
+from .calendar import make_tag, parse_tag
+from .rolling import INDICATORS, odd_window, steps_of
+from .trend import exact_p
 
 CLASSES = (-1, 0, 1)
 
@@ -23,29 +25,81 @@ def configurations(spark, axes: dict[str, list]) -> DataFrame:
     return out
 
 
-def sweep(series: DataFrame, key: list[str], freqs: tuple[str, ...] = ("W", "MS"), windows: tuple[float, ...] = (3, 5, 10), differences: tuple[int, ...] = (0, 1), stl: tuple[str, ...] = ("robust", "plain"), how: str = "mean", mode: str = "strict", names: tuple[str, ...] = INDICATORS, digits: int | None = None) -> DataFrame:
-    """H1: the whole job under every combination of settings: key, tag, indicator, n, tau, pval.
+def sweep(series: DataFrame, key: list[str], freqs: tuple[str, ...] = ("W", "MS"), windows: tuple[float, ...] = (2.5, 5.0, 10.0), differences: tuple[int, ...] = (1, 0), stl: tuple[str, ...] = ("robust", "plain"), how: str = "mean", fill: str = "mean", mode: str = "tolerant", names: tuple[str, ...] = INDICATORS, digits: int | None = None, least: int = 4) -> DataFrame:
+    """H1: the whole job under every combination of settings: key, freq, win, diff, stl, tag, indicator, n, tau, pval.
 
-    `series` (key, time, value) is resampled to each frequency, put on its full calendar, freed of season and trend (`stl`:
-    robust, plain or none), differenced or not, and its indicators over windows of so many years are tested for trend. All
-    settings are one table, so that all series of all settings are tested in one job. Indicators are rounded to `digits` first, if given.
+    `series` (key, time, value) crosses one exchange for each frequency. A block of series is put on the steps of the calendar, freed
+    of season and trend once for each form of `stl` (robust, plain or none; the period is the steps in a year), and differenced or
+    not; then all windows of so many years, shortened where the series are too short for them, are tested for trend. Indicators
+    are rounded to `digits` first, if given.
     """
-    found = []
+    found = None
     for freq in freqs:
-        per_year, step = {"W": (52, "7 days"), "MS": (12, "1 month")}[freq]
-        dense = densify(resample(series, key, freq, how), key, step).withColumn("t", position(key))
-        for rest in stl:
-            ready = dense if rest == "none" else stl_residual(dense, key, per_year, rest == "robust").withColumn("value", F.col("resid")).drop("resid")
-            for difference in differences:
-                one = ready.withColumn("value", first_difference(key)) if difference else ready
-                for years in windows:
-                    tag = make_tag(F.lit(freq), F.lit(years), F.lit(difference), F.lit(rest))
-                    signals = indicators(one, key, odd_window(years, per_year), mode).select(*key, "t", *(F.round(n, digits).alias(n) if digits is not None else n for n in names))
-                    found.append(signals.unpivot([*key, "t"], list(names), "indicator", "value").withColumn("tag", tag))
-    return kendall(reduce(lambda a, b: a.unionByName(b), found), [*key, "tag", "indicator"])
-
-
-def tau_summary(df: DataFrame, group: list[str], eps: float = 0.1, alpha: float = 0.05) -> DataFrame:
+        ready, first, steps = steps_of(series, key, freq, how)
+        per_year = _per_year(first, steps, freq)
+        schema = f"{blocks.ddl(series, key)}, freq string, win double, diff int, stl string, indicator string, n int, tau double, z double, exact double"
+
+        def settings(table, starts, freq=freq, steps=steps, per_year=per_year):
+            import pyarrow as pa
+
+            made, at_once = [], max(1, (1 << 22) // max(1, steps))
+            bounds = np.append(starts, table.num_rows)
+            for i in range(0, len(starts), at_once):
+                some = bounds[i : i + at_once + 1]
+                part = table.slice(int(some[0]), int(some[-1] - some[0]))
+                begins = some[:-1] - some[0]
+                y = blocks.grid(part, begins, "value", part.column("t").to_numpy(), steps)
+                of = {k: part.column(k).take(pa.array(begins)) for k in key}
+                for form in stl:
+                    rest = y if form == "none" else numeric.residual(y, per_year, form == "robust", fill)
+                    for diff in differences:
+                        ready = np.concatenate((np.full((len(y), 1), np.nan), np.diff(rest, axis=1)), axis=1) if diff else rest
+                        for years in windows:
+                            signals = numeric.indicators(ready, odd_window(years, per_year, steps) // 2, mode == "strict")
+                            for name in names:
+                                tau = numeric.kendall(signals[name] if digits is None else np.round(signals[name], digits))
+                                few = tau["n"] < max(2, least)
+                                same = {"freq": freq, "win": float(years), "diff": diff, "stl": form, "indicator": name}
+                                columns = of | {k: pa.array([v] * len(y)) for k, v in same.items()} | {"n": pa.array(tau["n"])}
+                                columns |= {k: pa.array(np.where(few, np.nan, v), from_pandas=True) for k, v in (("tau", tau["tau"]), ("z", tau["z"]), ("exact", exact_p(tau)))}
+                                made.append(pa.table(columns))
+            return pa.concat_tables(made)
+
+        part = blocks.map_series(ready, key, "t", ["value"], schema, settings, dealt=True)
+        found = part if found is None else found.unionByName(part)
+    tag = make_tag(F.col("freq"), F.col("win"), F.col("diff"), F.col("stl"))
+    return found.select(*key, "freq", "win", "diff", "stl", tag.alias("tag"), "indicator", "n", "tau", F.when(F.col("tau").isNotNull(), F.coalesce("exact", normal_two_sided(F.col("z")))).alias("pval"))
+
+
+def _per_year(first, steps: int, freq: str) -> int:
+    """Steps in a year, inferred from the calendar: 3 at least."""
+    if first is None or steps < 2:
+        return 3
+    months = first.year * 12 + first.month - 1 + steps - 1
+    days = (first.replace(year=months // 12, month=months % 12 + 1) - first).days if freq == "MS" else (steps - 1) * (7 if freq == "W" else 1)
+    return max(3, round(steps / (days / 365.2425)))
+
+
+def study(swept: DataFrame, key: list[str], eps: float = 0.05, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """H2-H10 on a sweep: kappa of every two settings by indicator (indicator, map_a, map_b, ...), and the summary of each indicator:
+    Light's kappa over all settings and over those of either frequency, its spread, the mean over pairs that differ in one
+    setting only, also by frequency, and its rank."""
+    labels = swept.withColumn("label", tau_label(F.col("tau"), F.col("pval"), eps, alpha))
+    pairs = kappa_pairs(labels, key, "tag", "label", ["indicator"])
+    a, b = parse_tag(F.col("map_a")), parse_tag(F.col("map_b"))
+    same = {f: (a[f] == b[f]).cast("int") for f in a}
+    marked = pairs.select("*", *(c.alias(f"_{f}") for f, c in same.items()), a["freq"].alias("_of"))
+    only = lambda f, more=None: (F.col("_freq") + F.col("_win") + F.col("_diff") + F.col("_stl") == 3) & (F.col(f"_{f}") == 0) & (F.lit(True) if more is None else more)
+    one = lambda f, more=None: F.avg(F.when(only(f, more), F.col("kappa")))
+    summary = marked.groupBy("indicator").agg(
+        F.avg("kappa").alias("lights_kappa"), *(F.percentile("kappa", F.lit(q)).alias(n) for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))),
+        *(F.avg(F.when((F.col("_freq") == 1) & (F.col("_of") == f), F.col("kappa"))).alias(f"lights_kappa_{f}") for f in ("W", "MS")),
+        *(one(f).alias(f"only_{f}") for f in ("freq", "win", "diff", "stl")), *(one(f, F.col("_of") == g).alias(f"only_{f}_{g}") for g in ("W", "MS") for f in ("win", "diff", "stl")), F.count(F.lit(1)).alias("n_pairs"),
+    )
+    return pairs, rank_indicators(summary)
+
+
+def tau_summary(df: DataFrame, group: list[str], eps: float = 0.05, alpha: float = 0.05) -> DataFrame:
     """H2: centre and spread of tau and shares (%) over all cells; a comparison with what is missing counts as false."""
     share = lambda c: (100 * F.avg(F.coalesce(c, F.lit(False)).cast("int")))
     return df.groupBy(*group).agg(
@@ -54,9 +108,9 @@ def tau_summary(df: DataFrame, group: list[str], eps: float = 0.1, alpha: float
     )
 
 
-def tau_label(tau: Column, p: Column, eps: float = 0.1, alpha: float = 0.05) -> Column:
-    """H3: -1, 0, 1; NULL if either is missing."""
-    return F.when(tau.isNull() | p.isNull(), F.lit(None).cast("int")).when((p < alpha) & (tau > eps), 1).when((p < alpha) & (tau < -eps), -1).otherwise(0)
+def tau_label(tau: Column, p: Column, eps: float = 0.05, alpha: float = 0.05) -> Column:
+    """H3: -1, 0, 1 (a p of `alpha` is significant still); NULL if either is missing."""
+    return F.when(tau.isNull() | p.isNull(), F.lit(None).cast("int")).when((p <= alpha) & (tau > eps), 1).when((p <= alpha) & (tau < -eps), -1).otherwise(0)
 
 
 def contingency(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:

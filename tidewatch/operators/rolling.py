@@ -1,29 +1,38 @@
 """Group D: rolling early-warning indicators per series.
 
 All windows of a series share one partitioning and one order, so they cost one shuffle. The frame is
-centred: [t - half, t + half] with half = window // 2, so an even window counts one point more.
-`strict` keeps full windows without a gap and population moments; `tolerant` needs three values and divides by n - 1.
+centred: [t - half, t + half] with half = window // 2, so an even window counts one point more, and only whole frames count.
+`strict` keeps windows without a gap and moments divided by their number. `tolerant` needs three values: the variance is the
+sample's, lagged products are divided by it and the frame's length less one, moments are of deviations in units of the sample's, and
+differences are divided by the pairs that a full frame has, whatever is missing.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-INDICATORS = ("std", "ac1", "skew", "kurt", "fd")
+from ..functions import blocks as numeric
+from ..functions.blocks import INDICATORS
+from ..functions.stats import normal_two_sided
+from . import blocks, calendar
 
 
 def odd_window(years: float, steps: float, n: int | None = None) -> int:
-    """An odd number of points; no more than four fifths of the series."""
-    w = max(3, round(years * steps))
-    if n is not None and w > n:
-        w = int(0.8 * n)
-    return w if w % 2 else w + 1
+    """An odd number of points; of a series of n points no longer than that, four fifths of it are taken, but n - 1 at most (made odd)."""
+    odd = lambda w: w if w % 2 else w + 1
+    w = odd(round(years * steps))
+    return w if n is None or w < n else odd(min(n - 1, round(0.8 * n)))
 
 
 def indicators(df: DataFrame, key: list[str], window: int, mode: str = "strict", time: str = "t", value: str = "value") -> DataFrame:
-    """`df` with std, ac1, skew, kurt, fd of the centred window around each point; NULL where it is not valid."""
+    """`df` with std, ac1, skew, kurt, fd of the centred window around each point; NULL where it is not valid.
+
+    The frame is gone through for each point: for short windows. `indicators_by_prefix` costs the same whatever the window.
+    """
     half = window // 2
     n = 2 * half + 1
     order = Window.partitionBy(*key).orderBy(time)
@@ -31,56 +40,71 @@ def indicators(df: DataFrame, key: list[str], window: int, mode: str = "strict",
     inner = lambda lag: order.rowsBetween(-half + lag, half)  # noqa: E731  pairs that lie in the frame whole
     df = df.withColumn("_p", F.lag(value, 1).over(order)).withColumn("_q", F.lag(value, 2).over(order))
     x = F.col(value)
-    count, mean = F.count(value).over(frame), F.avg(value).over(frame)
+    count, mean, whole = F.count(value).over(frame), F.avg(value).over(frame), F.count(F.lit(1)).over(frame) == n
     # sum((x1 - m)(x0 - m)) over pairs = sum(x1 x0) - m sum(x1) - m sum(x0) + pairs m^2, of pairs without a gap
     pair = F.when(x.isNotNull() & F.col("_p").isNotNull(), x * F.col("_p"))
     pairs = F.count(pair).over(inner(1))
     lag_sum = F.sum(pair).over(inner(1)) - mean * F.sum(F.when(pair.isNotNull(), x + F.col("_p"))).over(inner(1)) + pairs * mean * mean
-    var_pop = F.var_pop(value).over(frame)
+    lag_sum = F.coalesce(lag_sum, F.lit(0.0))  # without any pair
     strict = mode == "strict"
-    if strict:
-        valid, std, scale = count == n, F.stddev_pop(value).over(frame), F.lit(float(n))
-    else:
-        valid, std, scale = count > 2, F.stddev_samp(value).over(frame), (count - 1).cast("double")
-    variance = var_pop if strict else F.var_samp(value).over(frame)
+    variance = F.var_pop(value).over(frame) if strict else F.var_samp(value).over(frame)
+    valid = whole & (count == n if strict else count > 2)
     spread = variance > 0
-    ac1 = F.when(spread, F.try_divide(lag_sum, scale * variance))
-    skew = F.when(spread, F.skewness(value).over(frame))
-    kurt = F.when(spread, F.kurtosis(value).over(frame) + 3)
-    madogram = lambda lagged, lag: F.try_divide(F.sum(F.abs(x - F.col(lagged))).over(inner(lag)), 2.0 * F.count(x - F.col(lagged)).over(inner(lag)))
+    size = F.lit(1.0) if strict else (count - 1) / count  # of the population's variance in the sample's
+    ac1 = F.when(spread, F.try_divide(lag_sum, F.lit(float(n if strict else n - 1)) * variance))
+    skew = F.when(spread, F.skewness(value).over(frame) * F.pow(size, F.lit(1.5)))
+    kurt = F.when(spread, (F.kurtosis(value).over(frame) + 3) * size * size)
+    madogram = lambda lagged, lag: F.sum(F.abs(x - F.col(lagged))).over(inner(lag)) / float(2 * (n - lag))
     g1, g2 = F.log(madogram("_p", 1)), F.log(madogram("_q", 2))
     fd = F.greatest(F.lit(1.0), F.least(F.lit(2.0), 2 - (g2 - g1) / F.lit(float(np.log(2)))))
     fd = F.when(g1.isNotNull() & g2.isNotNull(), fd)
-    found = {"std": std, "ac1": ac1, "skew": skew, "kurt": kurt, "fd": fd}
+    found = {"std": F.sqrt(variance), "ac1": ac1, "skew": skew, "kurt": kurt, "fd": fd}
     return df.withColumns({n: F.when(valid, c) for n, c in found.items()}).drop("_p", "_q")
 
 
-def indicators_by_prefix(df: DataFrame, key: list[str], window: int, time: str = "t", value: str = "value") -> DataFrame:
-    """D4-D7 in strict form for long windows: differences of running sums of powers, O(n) whatever the window.
-
-    The series mean is taken off first, or cancellation would spoil the fourth moment.
+def indicators_by_prefix(df: DataFrame, key: list[str], window: int, mode: str = "strict", time: str = "t", value: str = "value") -> DataFrame:
+    """D4-D8, D11 by differences of running sums, O(n) whatever the window: of values, their powers, lagged products and absolute
+    differences, each with its count, over values less the series mean in units of its deviation, or cancellation would
+    spoil the fourth moment. A window without a change of value is known by counting changes, so its variance is 0 and no rounding error.
     """
     half = window // 2
     n = 2 * half + 1
-    order = Window.partitionBy(*key).orderBy(time)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_c", F.col(value) - F.avg(value).over(Window.partitionBy(*key))).withColumn("_n", F.row_number().over(order))
-    df = df.withColumn("_cp", F.col("_c") * F.lag("_c").over(order))
-    terms = {"_0": F.count("_c"), "_1": F.sum("_c"), "_2": F.sum(F.pow("_c", F.lit(2))), "_3": F.sum(F.pow("_c", F.lit(3))), "_4": F.sum(F.pow("_c", F.lit(4))), "_5": F.sum("_cp")}
-    df = df.withColumns({k: F.coalesce(v.over(run), F.lit(0)) for k, v in terms.items()})
-    ahead = lambda c: F.lead(c, half).over(order)
-    behind = lambda c, k: F.coalesce(F.lag(c, k).over(order), F.lit(0))
-    s = {c: ahead(c) - behind(c, half + 1) for c in ("_0", "_1", "_2", "_3", "_4")}
-    s["_5"] = ahead("_5") - behind("_5", half)
-    df = df.withColumns({f"_s{c}": v for c, v in s.items()}).withColumn("_first", F.lag("_c", half).over(order)).withColumn("_last", F.lead("_c", half).over(order))
-    valid = (F.col("_s_0") == n) & (F.col("_n") > half)
-    m = F.col("_s_1") / n
-    v2 = F.col("_s_2") / n - m * m
-    v3 = F.col("_s_3") / n - 3 * m * F.col("_s_2") / n + 2 * m * m * m
-    v4 = F.col("_s_4") / n - 4 * m * F.col("_s_3") / n + 6 * m * m * F.col("_s_2") / n - 3 * m * m * m * m
-    lag_sum = F.col("_s_5") - m * (2 * F.col("_s_1") - F.col("_first") - F.col("_last")) + (n - 1) * m * m
-    found = {"std": F.sqrt(F.greatest(v2, F.lit(0.0))), "ac1": F.try_divide(lag_sum, n * v2), "skew": F.try_divide(v3, F.pow(v2, F.lit(1.5))), "kurt": F.try_divide(v4, v2 * v2)}
-    return df.withColumns({k: F.when(valid & (v2 > 0 if k != "std" else F.lit(True)), v) for k, v in found.items()}).select(*[c for c in df.columns if not c.startswith("_")], *found)
+    strict = mode == "strict"
+    order, whole = Window.partitionBy(*key).orderBy(time), Window.partitionBy(*key)
+    run, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    unit = F.coalesce(F.nullif(F.stddev_pop(value).over(whole), F.lit(0.0)), F.lit(1.0))
+    d = df.withColumns({"_m": F.avg(value).over(whole), "_d": unit, "_i": F.row_number().over(order), "_was": F.last(value, True).over(before)})
+    d = d.withColumn("_c", (F.col(value) - F.col("_m")) / F.col("_d"))
+    d = d.withColumns({"_p": F.lag("_c", 1).over(order), "_q": F.lag("_c", 2).over(order)})
+    c, p, q = F.col("_c"), F.col("_p"), F.col("_q")
+    change = F.col(value).isNotNull() & (F.col("_was").isNull() | (F.col(value) != F.col("_was")))
+    terms = {
+        "0": F.when(c.isNotNull(), F.lit(1.0)), "1": c, "2": c * c, "3": c * c * c, "4": c * c * c * c,
+        "pairs": F.when((c * p).isNotNull(), F.lit(1.0)), "both": c * p, "sums": c + p, "near": F.abs(c - p), "far": F.abs(c - q), "changes": F.when(change, F.lit(1.0)),
+    }
+    d = d.withColumns({f"_s{k}": F.coalesce(F.sum(v).over(run), F.lit(0.0)) for k, v in terms.items()})
+    d = d.withColumn("_latest", F.max(F.when(change, F.col("_s0"))).over(run))
+    ahead = lambda k: F.lead(k, half).over(order)
+    behind = lambda k, by: F.coalesce(F.lag(k, by).over(order), F.lit(0.0))
+    first = {"pairs": half, "both": half, "sums": half, "near": half, "far": half - 1}  # pairs inside the window begin after its first point, or second
+    ends = {f"_w{k}": ahead(f"_s{k}") - (behind(f"_s{k}", first.get(k, half + 1)) if first.get(k, 1) >= 0 else F.lit(0.0)) for k in terms}
+    d = d.withColumns(ends | {"_end": ahead("_latest"), "_start": behind("_s0", half + 1)})
+    k, s1, s2, s3, s4, pairs, both, sums, near, far, changes = (F.col(f"_w{name}") for name in terms)
+    m = s1 / k
+    constant = (changes == 0) | ((changes == 1) & (F.col("_end") == F.col("_start") + 1))
+    v2 = F.when(constant, F.lit(0.0)).otherwise(F.greatest(s2 / k - m * m, F.lit(0.0)))
+    v3, v4 = s3 / k - 3 * m * s2 / k + 2 * m * m * m, s4 / k - 4 * m * s3 / k + 6 * m * m * s2 / k - 3 * m * m * m * m
+    variance = v2 if strict else v2 * k / (k - 1)
+    valid = (F.col("_i") > half) & (k == n if strict else k > 2)  # after the last whole window there is nothing ahead
+    spread = valid & (variance > 0)
+    found = {
+        "std": F.when(valid, F.sqrt(variance) * F.col("_d")),
+        "ac1": F.when(spread, (both - m * sums + pairs * m * m) / (variance * F.lit(float(n if strict else n - 1)))),
+        "skew": F.when(spread, v3 / F.pow(variance, F.lit(1.5))),
+        "kurt": F.when(spread, v4 / (variance * variance)),
+        "fd": F.when(valid & (near > 0) & (far > 0), F.greatest(F.lit(1.0), F.least(F.lit(2.0), 2 - F.log2((far / max(n - 2, 1)) / (near / max(n - 1, 1)))))),
+    }
+    return d.select(*df.columns, *(v.alias(name) for name, v in found.items()))
 
 
 def deltas(df: DataFrame, key: list[str], columns: list[str], time: str = "t") -> DataFrame:
@@ -133,89 +157,121 @@ def interpolate_onto(df: DataFrame, axis: DataFrame, key: list[str], time: str =
     return both.select(*key, time, (F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share).alias(value))
 
 
-def _loess(y: np.ndarray, window: int, at: np.ndarray, robust: np.ndarray | None = None) -> np.ndarray:
-    """Local lines with tricube weights at the places `at`, through rows of `y` at 0..n-1 (rows are smoothed apart)."""
-    n = y.shape[1]
-    x = np.arange(n)
-    q = min(window, n)
-    left = np.clip(np.round(at).astype(int) - q // 2, 0, n - q)
-    index = left[:, None] + np.arange(q)
-    distance = np.abs(x[index] - at[:, None])
-    reach = distance.max(axis=1, keepdims=True) * (1 if window <= n else window / n)
-    weight = np.clip(1 - (distance / np.maximum(reach, 1e-12)) ** 3, 0, None) ** 3
-    weight = weight[None] if robust is None else weight[None] * robust[:, index] + 1e-12
-    values = y[:, index]
-    dx = (x[index] - at[:, None])[None]
-    total = weight.sum(axis=2)
-    mx, my = (weight * dx).sum(axis=2) / total, (weight * values).sum(axis=2) / total
-    sxx = (weight * dx * dx).sum(axis=2) / total - mx * mx
-    sxy = (weight * dx * values).sum(axis=2) / total - mx * my
-    slope = np.where(sxx > 1e-12, sxy / np.where(sxx > 1e-12, sxx, 1), 0)
-    return my - slope * mx
-
-
-def stl_components(y: np.ndarray, period: int, seasonal: int, trend: int, robust: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Seasonal and trend part of a series without gaps (Cleveland et al. 1990)."""
-    n = len(y)
-    inner, outer = (2, 15) if robust else (5, 0)
-    low = period + 1 if period % 2 == 0 else period
-    season, level, weights = np.zeros(n), np.zeros(n), None
-    ones = np.ones(n)
-    for k in range(outer + 1):
-        for _ in range(inner):
-            detrended = y - level
-            cycle = np.zeros(n + 2 * period)
-            for phase in range(period):
-                sub = detrended[phase::period][None]
-                rw = None if weights is None else weights[phase::period][None]
-                m = sub.shape[1]
-                cycle[phase::period][: m + 2] = _loess(sub, seasonal, np.arange(-1, m + 1), rw)[0]
-            mean = lambda v, w: np.convolve(v, np.ones(w) / w, "valid")
-            smooth = mean(mean(mean(cycle, period), period), 3)
-            smooth = _loess(smooth[None], low, np.arange(len(smooth)))[0]
-            season = cycle[period : period + n] - smooth[:n]
-            level = _loess((y - season)[None], trend, np.arange(n), None if weights is None else weights[None])[0]
-        if k < outer:
-            rest = np.abs(y - season - level)
-            h = 6 * np.median(rest)
-            if h <= 0:
-                break
-            weights = np.where(rest <= 0.001 * h, ones, np.where(rest >= 0.999 * h, 0, (1 - (rest / h) ** 2) ** 2))
-    return season, level
-
-
 def stl_residual(df: DataFrame, key: list[str], period: int, robust: bool = True, fill: str = "mean", time: str = "t", value: str = "value") -> DataFrame:
     """`df` with `resid`: what STL leaves of each series. Gaps are filled first and are gaps again afterwards.
 
-    One series is one group; a series has as many rows as its calendar has steps.
+    A series has as many rows as its calendar has steps; series of one length are smoothed together.
     """
-    filled = fill_linear(df, key, time, value, "_y") if fill == "linear" else df.withColumn("_y", fill_mean(key, value))
-    seasonal = int(max(7, min(round(period / 4), 61)))
-    seasonal += 1 - seasonal % 2
-    trend = max(2 * period - 1, 101)
     columns = [c for c in df.columns if c != "resid"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*columns).dtypes) + ", resid double"
-
-    def rest(part):
-        part = part.sort_values(time)
-        y = part.pop("_y").to_numpy(float)
-        gap = part[value].isna().to_numpy()
-        if gap.all() or len(y) < 2 * period:
-            part["resid"] = np.nan
-        else:
-            season, level = stl_components(y, period, seasonal, trend, robust)
-            part["resid"] = np.where(gap, np.nan, y - season - level)
-        return part
-
-    found = filled.select(*columns, "_y").groupBy(*key).applyInPandas(rest, schema)
-    return found.withColumn("resid", F.when(~F.isnan("resid"), F.col("resid")))
-
-
-def early_warning(df: DataFrame, key: list[str], window: int, period: int | None = None, difference: bool = True, mode: str = "strict", robust: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The whole job on dense series (key, t, value): residual (if a period is given), difference, indicators, and their deltas."""
-    if period:
-        df = stl_residual(df, key, period, robust).withColumn("value", F.col("resid")).drop("resid")
-    if difference:
-        df = df.withColumn("value", F.col("value") - F.lag("value").over(Window.partitionBy(*key).orderBy("t")))
-    found = indicators(df, key, window, mode)
-    return found, deltas(found, key, list(INDICATORS))
+
+    def rest(table, starts):
+        import pyarrow as pa
+
+        y, sizes = blocks.numbers(table, value), np.diff(np.append(starts, table.num_rows))
+        out = np.full(len(y), np.nan)
+        for size in np.unique(sizes).tolist():
+            places = starts[sizes == size][:, None] + np.arange(size)
+            out[places] = numeric.residual(y[places], period, robust, fill)
+        return table.append_column("resid", pa.array(out, from_pandas=True))
+
+    return blocks.map_series(df, key, time, columns, f"{blocks.ddl(df, columns)}, resid double", rest)
+
+
+@dataclass(frozen=True)
+class EarlyWarning:
+    """`series`, one row for each key: key, value, detrended and the indicators (arrays by step), and for each indicator
+    its delta, the number n of its values, tau and pval. `first` is the date of step 0 (or its number), `freq` the length of a step."""
+
+    series: DataFrame
+    key: list[str]
+    first: object
+    freq: str | None
+
+    def signals(self) -> DataFrame:
+        """key, t, time (where steps have dates), value, detrended and the indicators: a row for each step."""
+        names = ["value", "detrended", *INDICATORS]
+        found = self.series.select(*self.key, F.posexplode(F.arrays_zip(*names)).alias("t", "_s")).select(*self.key, "t", *(F.col(f"_s.{n}").alias(n) for n in names))
+        if self.freq is None:
+            return found.withColumn("t", F.col("t") + F.lit(self.first))
+        start = F.lit(self.first).cast("date")
+        date = F.add_months(start, F.col("t")) if self.freq == "MS" else F.date_add(start, F.col("t") * (7 if self.freq == "W" else 1))
+        return found.withColumn("time", date)
+
+    def deltas(self) -> DataFrame:
+        """key and delta_<indicator>."""
+        return self.series.select(*self.key, *(f"delta_{n}" for n in INDICATORS))
+
+    def trends(self) -> DataFrame:
+        """key, indicator, n, tau, pval."""
+        rows = F.explode(F.array(*(F.struct(F.lit(n).alias("indicator"), *(F.col(f"{c}_{n}").alias(c) for c in ("n", "tau", "pval"))) for n in INDICATORS)))
+        return self.series.select(*self.key, rows.alias("_r")).select(*self.key, "_r.*")
+
+
+def steps_of(df: DataFrame, key: list[str], freq: str | None, how: str = "mean", span: tuple | None = None, time: str = "time", value: str = "value") -> tuple[DataFrame, object, int]:
+    """(key, t, value) partitioned by the key, what step 0 is, and the number of steps from the first to the last of all (or of `span`).
+
+    With a frequency ("D", "W", "MS") values of a step are put together by `how`, after the one exchange by key; else `time` numbers the steps already.
+    """
+    if freq is None:
+        label = F.col(time)
+    else:
+        label = {"D": F.col(time).cast("date"), "W": calendar.week_label(F.col(time)), "MS": F.trunc(time, "month")}[freq]
+    first, last = span or df.agg(F.min(label), F.max(label)).first()
+    dealt = df.select(*key, label.alias("_label"), F.col(value).cast("double").alias("value")).repartition(*key)
+    if first is None:
+        return dealt.select(*key, F.lit(0).alias("t"), "value").limit(0), None, 0
+    if freq is None:
+        return dealt.select(*key, (F.col("_label") - F.lit(first)).cast("int").alias("t"), "value").where(F.col("t").between(0, int(last - first))), first, int(last - first) + 1
+    start = F.lit(first).cast("date")
+    months = lambda c: F.year(c) * 12 + F.month(c)
+    place = months(F.col("_label")) - months(start) if freq == "MS" else F.floor(F.datediff("_label", start) / (7 if freq == "W" else 1))
+    steps = (last.year - first.year) * 12 + last.month - first.month + 1 if freq == "MS" else (last - first).days // (7 if freq == "W" else 1) + 1
+    agg = F.coalesce(F.sum("value"), F.lit(0.0)) if how == "sum" else F.avg("value")
+    return dealt.where(F.col("_label").between(start, F.lit(last).cast("date"))).groupBy(*key, place.cast("int").alias("t")).agg(agg.alias("value")), first, steps
+
+
+def early_warning(df: DataFrame, key: list[str], window: int | None = None, *, years: float | None = None, freq: str | None = None, how: str = "mean", span: tuple | None = None, period: int | None = None, difference: bool = True, mode: str = "strict", robust: bool = True, fill: str = "mean", least: int = 2, time: str | None = None, value: str = "value") -> EarlyWarning:
+    """The whole job, from raw rows (key, time, value) to indicators, deltas and trends, in one exchange by key.
+
+    Values are put on steps of `freq` (or numbered by `time` already), freed of season and trend (if a `period` is given), differenced, and
+    the indicators of windows of `window` steps (or so many `years`) give deltas and tau, with p exact up to 33 values without
+    ties. Series are stacked in blocks, so that Python is called once for dozens of them.
+    """
+    from .trend import exact_p
+
+    ready, first, steps = steps_of(df, key, freq, how, span, time or ("t" if freq is None else "time"), value)
+    if window is None:
+        window = odd_window(years, {"W": 52, "MS": 12, "D": 365.25}[freq], steps)
+    half, names = window // 2, ["value", "detrended", *INDICATORS]
+    schema = ", ".join([blocks.ddl(df, key), *(f"{n} array<double>" for n in names), *(f"delta_{n} double, n_{n} int, tau_{n} double, z_{n} double, exact_{n} double" for n in INDICATORS)])
+
+    def job(table, starts):
+        import pyarrow as pa
+
+        made, at_once = [], max(1, (1 << 22) // max(1, steps))
+        bounds = np.append(starts, table.num_rows)
+        for i in range(0, len(starts), at_once):
+            some = bounds[i : i + at_once + 1]
+            part = table.slice(int(some[0]), int(some[-1] - some[0]))
+            begins = some[:-1] - some[0]
+            y = blocks.grid(part, begins, "value", part.column("t").to_numpy(), steps)
+            detrended = numeric.residual(y, period, robust, fill) if period else y
+            if difference:
+                detrended = np.concatenate((np.full((len(y), 1), np.nan), np.diff(detrended, axis=1)), axis=1)
+            found = numeric.indicators(detrended, half, mode == "strict")
+            columns = {k: part.column(k).take(pa.array(begins)) for k in key}
+            columns |= {n: blocks.lists(a) for n, a in {"value": y, "detrended": detrended, **found}.items()}
+            for n, a in found.items():
+                trend = numeric.kendall(a)
+                few = trend["n"] < max(2, least)
+                columns[f"delta_{n}"] = pa.array(numeric.deltas(a), from_pandas=True)
+                columns[f"n_{n}"] = pa.array(trend["n"])
+                columns[f"tau_{n}"] = pa.array(np.where(few, np.nan, trend["tau"]), from_pandas=True)
+                columns[f"z_{n}"] = pa.array(np.where(few, np.nan, trend["z"]), from_pandas=True)
+                columns[f"exact_{n}"] = pa.array(exact_p(trend), from_pandas=True)
+            made.append(pa.table(columns))
+        return pa.concat_tables(made)
+
+    found = blocks.map_series(ready, key, "t", ["value"], schema, job, dealt=True)
+    rest = (c for n in INDICATORS for c in (F.col(f"delta_{n}"), F.col(f"n_{n}"), F.col(f"tau_{n}"), F.coalesce(F.when(F.col(f"tau_{n}").isNotNull(), F.col(f"exact_{n}")), normal_two_sided(F.col(f"z_{n}"))).alias(f"pval_{n}")))
+    return EarlyWarning(found.select(*key, *names, *rest), key, first, freq)

@@ -3,34 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks as numeric
 from ..functions.stats import normal_two_sided, student_two_sided
+from . import blocks
 from .rolling import interpolate_onto
 
 #: series up to this length have an exact p of Kendall's tau if no values tie
 EXACT = 33
-
-
-def _kendall(y: np.ndarray) -> tuple[float, int, float]:
-    """S, n and its variance under independence (time without ties), by merge-sort counting of inversions, O(n log n)."""
-    n = len(y)
-    rank = np.unique(y, return_inverse=True)[1]
-    discordant, block, width = 0, rank.copy(), 1
-    while width < n:  # each run of 2 * width is sorted; a right element counts the left ones above it
-        for at in range(0, n - width, 2 * width):
-            left, right = block[at : at + width], block[at + width : at + 2 * width]
-            discordant += int((len(left) - np.searchsorted(left, right, "right")).sum())
-            block[at : at + 2 * width] = np.sort(block[at : at + 2 * width], kind="stable")
-        width *= 2
-    ties = np.bincount(rank).astype(float)
-    pairs = n * (n - 1) / 2
-    tied = (ties * (ties - 1) / 2).sum()
-    s = pairs - tied - 2 * discordant
-    var = (n * (n - 1) * (2 * n + 5) - (ties * (ties - 1) * (2 * ties + 5)).sum()) / 18
-    return s, n, var
+#: series up to this length have all their slopes computed (8 bytes for each pair of steps)
+DIRECT = 1500
 
 
 def _exact_p(s: float, n: int) -> float:
@@ -43,28 +27,31 @@ def _exact_p(s: float, n: int) -> float:
     return 1.0 if 2 * fewer >= pairs else min(1.0, 2 * share[: fewer + 1].sum())
 
 
+def exact_p(found: dict) -> np.ndarray:
+    """Exact p of the series in a result of `blocks.kendall_of` that are short and without ties, NaN for others."""
+    short = (found["n"] >= 2) & (found["n"] <= EXACT) & ~found["tied"]
+    return np.array([_exact_p(s, n) if ok else np.nan for s, n, ok in zip(found["s"].tolist(), found["n"].tolist(), short.tolist(), strict=True)])
+
+
 def kendall(df: DataFrame, key: list[str], least: int = 2, time: str = "t", value: str = "value") -> DataFrame:
     """Key, n, tau (tau-b against time) and pval (N1) of each series; NULL below `least` values, keys kept.
 
-    One series is one group. p is exact up to EXACT values without ties, and the normal approximation with ties beyond.
+    Series are counted in blocks, after one exchange. p is exact up to EXACT values without ties, and the normal approximation with ties beyond.
     """
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*key).dtypes) + ", n int, tau double, z double, exact double"
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        out = part[key].iloc[:1].copy()
-        y = part.sort_values(time)[value].dropna().to_numpy(float)
-        tau = z = exact = None
-        if len(y) >= max(2, least):
-            s, n, var = _kendall(y)
-            pairs, tied = n * (n - 1) / 2, (np.unique(y, return_counts=True)[1] * (np.unique(y, return_counts=True)[1] - 1) / 2).sum()
-            if pairs > tied:
-                tau, z = s / np.sqrt(pairs * (pairs - tied)), s / np.sqrt(var)
-                exact = _exact_p(s, n) if n <= EXACT and not tied else None
-        return out.assign(n=len(y), tau=tau, z=z, exact=exact).astype({"tau": float, "z": float, "exact": float})
+    def taus(table, starts):
+        import pyarrow as pa
 
-    found = df.select(*dict.fromkeys([*key, time, value])).groupBy(*key).applyInPandas(one, schema)
-    clean = lambda c: F.when(~F.isnan(c), F.col(c))
-    return found.select(*key, "n", clean("tau").alias("tau"), F.coalesce(clean("exact"), normal_two_sided(clean("z"))).alias("pval"))
+        y, row = blocks.numbers(table, value), blocks.owners(starts, table.num_rows)
+        known = ~np.isnan(y)
+        found = numeric.kendall_of(y[known], row[known], len(starts))
+        few = found["n"] < max(2, least)
+        columns = {k: table.column(k).take(pa.array(starts)) for k in key} | {"n": pa.array(found["n"])}
+        columns |= {n: pa.array(np.where(few, np.nan, a), from_pandas=True) for n, a in (("tau", found["tau"]), ("z", found["z"]), ("exact", exact_p(found)))}
+        return pa.table(columns)
+
+    found = blocks.map_series(df, key, time, [value], f"{blocks.ddl(df, key)}, n int, tau double, z double, exact double", taus)
+    return found.select(*key, "n", "tau", F.when(F.col("tau").isNotNull(), F.coalesce("exact", normal_two_sided(F.col("z")))).alias("pval"))
 
 
 def kendall_pairs(df: DataFrame, key: list[str], time: str = "t", value: str = "value") -> DataFrame:
@@ -80,41 +67,55 @@ def kendall_pairs(df: DataFrame, key: list[str], time: str = "t", value: str = "
     return ordered.withColumn("_s", summed).select(*key, F.size("_y").alias("n"), F.try_divide(F.col("_s.s").cast("double"), F.sqrt(pairs * F.col("_s.u"))).alias("tau"))
 
 
-def theil_sen(df: DataFrame, key: list[str], per_year: float = 52.0, alpha: float = 0.95, time: str = "t", value: str = "value") -> DataFrame:
-    """N, slope per year, its interval and sig (-1, 0, 1 by where the interval lies; 0 if it holds 0). Series as groups; a group holds its slopes once (8 bytes for each pair of steps)."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*key).dtypes) + ", n int, slope double, lo double, hi double"
-    from statistics import NormalDist
-
-    z = NormalDist().inv_cdf((1 + alpha) / 2)
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        out = part[key].iloc[:1].copy()
-        part = part.dropna(subset=[value]).sort_values(time)
-        x, y = part[time].to_numpy(float) / per_year, part[value].to_numpy(float)
-        n = len(y)
-        if n < 2:
-            return out.assign(n=n, slope=np.nan, lo=np.nan, hi=np.nan)
-        slopes, size = np.empty(n * (n - 1) // 2), 0
+def _slopes(x: np.ndarray, y: np.ndarray, z: float) -> tuple[float, float, float]:
+    """Median of the slopes of all pairs and the two ends of its interval (Sen 1968), NaN without pairs."""
+    n = len(y)
+    plain = n <= DIRECT or len(np.unique(x)) < n
+    slopes, size = np.zeros(0), n * (n - 1) // 2
+    if plain:
+        slopes, size = np.empty(size), 0
         for i in range(n - 1):
             dx = x[i + 1 :] - x[i]
             later = dx > 0
             slopes[size : size + later.sum()] = (y[i + 1 :] - y[i])[later] / dx[later]
             size += later.sum()
         slopes = slopes[:size]
-        if not size:
-            return out.assign(n=n, slope=np.nan, lo=np.nan, hi=np.nan)
-        _, ties = np.unique(y, return_counts=True)
-        sigma = np.sqrt(max(0.0, (n * (n - 1) * (2 * n + 5) - (ties * (ties - 1) * (2 * ties + 5.0)).sum()) / 18))
-        low = max(int(np.round((len(slopes) - z * sigma) / 2)) - 1, 0)
-        high = min(int(np.round((len(slopes) + z * sigma) / 2)), len(slopes) - 1)
-        middle = [(size - 1) // 2, size // 2]
-        slopes.partition(sorted({low, high, *middle}))
-        return out.assign(n=n, slope=slopes[middle].mean(), lo=slopes[low], hi=slopes[high])
-
-    found = df.select(*dict.fromkeys([*key, time, value])).groupBy(*key).applyInPandas(one, schema)
-    clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    if not size:
+        return np.nan, np.nan, np.nan
+    _, ties = np.unique(y, return_counts=True)
+    sigma = np.sqrt(max(0.0, (n * (n - 1) * (2 * n + 5) - (ties * (ties - 1) * (2 * ties + 5.0)).sum()) / 18))
+    low = max(int(np.round((size - z * sigma) / 2)) - 1, 0)
+    high = min(int(np.round((size + z * sigma) / 2)), size - 1)
+    wanted = sorted({low, high, (size - 1) // 2, size // 2})
+    if plain:
+        slopes.partition(wanted)
+        at = {k: slopes[k] for k in wanted}
+    else:
+        at = {k: numeric.slope_at(x, y, k) for k in wanted}
+    return (at[(size - 1) // 2] + at[size // 2]) / 2, at[low], at[high]
+
+
+def theil_sen(df: DataFrame, key: list[str], per_year: float = 52.0, alpha: float = 0.95, time: str = "t", value: str = "value") -> DataFrame:
+    """N, slope per year, its interval and sig (-1, 0, 1 by where the interval lies; 0 if it holds 0).
+
+    Beyond DIRECT steps the three ranks are selected by counting slopes below a bound as inversions, so a series takes O(n log n) time and O(n) memory.
+    """
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf((1 + alpha) / 2)
+
+    def slopes(table, starts):
+        import pyarrow as pa
+
+        y, x = blocks.numbers(table, value), blocks.numbers(table, time) / per_year
+        ends, known = np.append(starts[1:], len(y)), ~np.isnan(y)
+        found = np.array([_slopes(x[i:j][known[i:j]], y[i:j][known[i:j]], z) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]).reshape(-1, 3)
+        columns = {k: table.column(k).take(pa.array(starts)) for k in key} | {"n": pa.array(np.add.reduceat(known, starts, dtype=np.int32))}
+        return pa.table(columns | {n: pa.array(found[:, i], from_pandas=True) for i, n in enumerate(("slope", "lo", "hi"))})
+
+    found = blocks.map_series(df, key, time, [value], f"{blocks.ddl(df, key)}, n int, slope double, lo double, hi double", slopes)
     sig = F.when(F.col("lo") > 0, 1).when(F.col("hi") < 0, -1).otherwise(0)
-    return found.select(*key, "n", clean("slope"), clean("lo"), clean("hi")).withColumn("sig", F.when(F.col("slope").isNotNull(), sig))
+    return found.withColumn("sig", F.when(F.col("slope").isNotNull(), sig))
 
 
 def mean_change(df: DataFrame, key: list[str], alpha: float = 0.05, time: str = "t", value: str = "value", with_p: bool = True) -> DataFrame:

@@ -104,3 +104,13 @@ MAPS = (
     + " from ccells join nation on nation = n_nationkey join region on n_regionkey = r_regionkey)"
 )
 SCORED = "scored as (select doc_id as key, cast(doc_id % 5 as integer) fold, quality y, round(least(0.999, greatest(0.001, (n_chars % 1000) / cast(1000 as double))), 3) p from labels join documents using (doc_id))"
+
+
+def tolerant_windows(rows: str, by: str) -> str:
+    """CTEs up to `ind` (by, t, std, ac1, skew, kurt, fd): gap-tolerant indicators by their definition, every window's points gathered and
+    summed, from `rows` (by, t, len, half, value, p, q: the values one and two steps before)."""
+    return f"""win as (select {by}, c.t, 2 * c.half + 1 w, b.value as v, case when b.t - 1 >= c.t - c.half then b.p end v1, case when b.t - 2 >= c.t - c.half then b.q end v2
+  from {rows} b join (select {by}, t, half from {rows} where t >= half and t < len - half) c using ({by}) where b.t between c.t - c.half and c.t + c.half),
+mo as (select {by}, t, count(v) n, avg(v) m, var_samp(v) vs, nullif(stddev_samp(v), 0) s from win group by all),
+su as (select {by}, t, w, n, vs, s, coalesce(sum((v - m) * (v1 - m)), 0) num, avg(((v - m) / s) ** 3) sk, avg(((v - m) / s) ** 4) ku, sum(abs(v - v1)) a1, sum(abs(v - v2)) a2 from win join mo using ({by}, t) where n > 2 group by all),
+ind as (select {by}, t, coalesce(s, 0) std, num / (vs * (w - 1)) ac1, sk skew, ku kurt, case when a1 > 0 and a2 > 0 then greatest(1, least(2, 2 - (ln(a2 / (2 * (w - 2))) - ln(a1 / (2 * (w - 1)))) / ln(2))) end fd from su)"""

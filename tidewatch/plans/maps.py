@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement as ag
 from ..operators import regrid, zonal
-from .inputs import CELLS, CUSTOMER_CELLS, MAPS, S2, cells, customer_cells, maps, query, rounded, s1, s2, table
-from .inputs import S1
+from .inputs import CELLS, CUSTOMER_CELLS, MAPS, S1, S2, cells, customer_cells, maps, query, rounded, s1, s2, table, tolerant_windows
 
 NAMES = ("ac1", "std", "skew", "kurt", "fd")
 
@@ -18,10 +17,10 @@ def aligned_cubes(spark, d):
     return regrid.align(a, b, ["k", "time"])
 
 
-@query("with a as (select o_custkey k, count(*) orders from orders group by 1), b as (select c_custkey k, c_acctbal balance from customer where c_custkey % 2 = 0), c as (select s_suppkey k, s_acctbal supplier from supplier) select k, orders, balance, supplier from a full join b using (k) full join c using (k)")
+@query("with a as (select o_custkey k, count(*) orders from orders group by 1), b as (select c_custkey k, c_acctbal balance from customer where c_acctbal > 1000), c as (select s_suppkey k, s_acctbal supplier from supplier) select k, orders, balance, supplier from a full join b using (k) full join c using (k)")
 def merged_maps(spark, d):
     a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"))
-    b = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
+    b = table(spark, d, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
     c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("supplier"))
     return regrid.merge_maps([a, b, c], ["k"])
 
@@ -60,13 +59,16 @@ def nearest_on_axis(spark, d):
 
 
 def _grid(spark, d):
-    """Means of balances on a map of 10 x 10 degrees: lat, lon, value."""
+    """Sums of balances on a whole map of 10 x 10 degrees, NULL where there are none: lat, lon, value."""
     c = customer_cells(spark, d)
     at = lambda x: (F.floor(F.col(x) / 10) * 10).cast("double").alias(x)
-    return c.groupBy(at("lat"), at("lon")).agg(F.round(F.sum("value"), 2).alias("value"))
+    summed = c.groupBy(at("lat"), at("lon")).agg(F.round(F.sum("value"), 2).alias("value"))
+    whole = spark.range(18 * 36, numPartitions=1).select(((F.floor(F.col("id") / 36) - 9) * 10).cast("double").alias("lat"), ((F.col("id") % 36) * 10).cast("double").alias("lon"))
+    return whole.join(summed, ["lat", "lon"], "left")
 
 
-_GRID = f"{CUSTOMER_CELLS}, grid as (select cast(floor(lat / 10) * 10 as double) lat, cast(floor(lon / 10) * 10 as double) lon, round(sum(value), 2) as value from ccells group by 1, 2)"
+_GRID = f"""{CUSTOMER_CELLS}, summed as (select cast(floor(lat / 10) * 10 as double) lat, cast(floor(lon / 10) * 10 as double) lon, round(sum(value), 2) as value from ccells group by 1, 2),
+whole as (select cast((i // 36 - 9) * 10 as double) lat, cast((i % 36) * 10 as double) lon from range({18 * 36}) r(i)), grid as (select whole.lat, whole.lon, value from whole left join summed using (lat, lon))"""
 _BILINEAR = f"""with {_GRID}, la as (select lat a0, lead(lat) over (order by lat) a1 from (select distinct lat from grid)), lo as (select lon o0, lead(lon) over (order by lon) o1 from (select distinct lon from grid)),
 t as (select distinct lat, lon from (select cast(-89.5 + (s_suppkey * 7) % 180 as double) lat, cast(0.5 + (s_suppkey * 13) % 360 as double) lon from supplier)),
 w as (select lat, lon, a0, a1, o0, o1, coalesce((lat - a0) / (a1 - a0), case when a0 is not null then 0 end) wa, coalesce((lon - o0) / (o1 - o0), case when o0 is not null then 0 end) wo from t
@@ -94,16 +96,19 @@ def common_grid(spark, d):
 
 
 # a square, a triangle that overlaps it and a concave ring: zone, poly_id, x1, y1, x2, y2
-_RINGS = {("west", 1): [(0, -50), (180, -50), (180, 40), (0, 40)], ("north", 2): [(90, 0), (300, 0), (200, 85)], ("horn", 3): [(200, -80), (350, -80), (350, -10), (275, -60), (200, -10)]}
+# corners and sides lie on points of the map, which belong to the polygon
+_RINGS = {("west", 1): [(0.5, -50.5), (180.5, -50.5), (180.5, 40.5), (0.5, 40.5)], ("north", 2): [(90, 0), (300, 0), (200, 85)], ("horn", 3): [(200, -80), (350, -80), (350, -10), (275, -60), (200, -10)]}
 _EDGES = [(z, p, float(a), float(b), float(c), float(e)) for (z, p), ring in _RINGS.items() for (a, b), (c, e) in zip(ring, ring[1:] + ring[:1], strict=True)]
 _EDGE_SQL = "edges as (select * from (values " + ", ".join(f"('{z}', {p}, {a}::double, {b}::double, {c}::double, {e}::double)" for z, p, a, b, c, e in _EDGES) + ") e(zone, poly_id, x1, y1, x2, y2))"
 
 
-@query(f"""with {CUSTOMER_CELLS}, {_EDGE_SQL}, h as (select k, zone from ccells, edges where y1 <> y2 and least(y1, y2) <= lat and lat < greatest(y1, y2) and x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon group by k, zone, poly_id having count(*) % 2 = 1)
-select ccells.k, zone from ccells left join (select distinct k, zone from h) h using (k)""")
+@query(f"""with {CUSTOMER_CELLS}, {_EDGE_SQL}, h as (select k, zone from ccells, edges where y1 <> y2 and least(y1, y2) <= lat and lat < greatest(y1, y2) and x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon group by k, zone, poly_id having count(*) % 2 = 1),
+o as (select k, zone from ccells, edges where lat between least(y1, y2) and greatest(y1, y2) and lon between least(x1, x2) and greatest(x1, x2) and (x2 - x1) * (lat - y1) = (y2 - y1) * (lon - x1))
+select ccells.k, zone from ccells left join (select k, zone from h union select k, zone from o) h using (k)""")
 def polygon_zone(spark, d):
+    """Zones of all customers' cells, those on a border too."""
     edges = spark.createDataFrame(_EDGES, "zone string, poly_id int, x1 double, y1 double, x2 double, y2 double")
-    return regrid.zone_of_point(customer_cells(spark, d).select("k", "lat", "lon"), edges, grid=10.0).select("k", "zone")
+    return regrid.zone_of_point(customer_cells(spark, d).select("k", "lat", "lon"), edges, levels=(16.0, 4.0)).select("k", "zone")
 
 
 @query(f"with {CELLS} select k, (k % 7 <= 3) not_urban, k % 53 > 25 cropland, k % 53 > 25 and k % 101 >= 60 irrigated, k % 53 > 25 and k % 101 < 60 rainfed from cells")
@@ -129,20 +134,32 @@ def domain_label(spark, d):
     return regrid.domain_label(o.withColumn("k", F.col("o_custkey")), ["k"], (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 400000), F.when(F.col("o_totalprice") < 400000, 1))
 
 
-def _filled(spark, d):
-    """Cells of a 180 x 360 map, ten degrees smoothed, whose balance is high: i, j."""
-    c = customer_cells(spark, d)
-    return c.select(F.floor((F.col("lat") + 90) / 6).alias("i"), F.floor(F.col("lon") / 6).alias("j"), "value").groupBy("i", "j").agg(F.max("value").alias("v")).where("v > 2000")
+def _filled(spark, d, least: float):
+    """Customers in rows of 40 whose balance is high: i, j."""
+    c = table(spark, d, "customer").where(F.col("c_acctbal") > least)
+    return c.select(F.expr("(c_custkey - 1) div 40").alias("i"), ((F.col("c_custkey") - 1) % 40).alias("j"))
 
 
-@query()
+def _reached(cells: str) -> str:
+    """CTE `reach` (i, j, l): every cell of `cells` (i, j) with the codes of all cells that it is connected with."""
+    return f"""reach as (select i, j, i * 40 + j l from {cells} union select c.i, c.j, r.l from reach r join {cells} c on abs(c.i - r.i) + abs(c.j - r.j) = 1)"""
+
+
+@query(f"""with recursive cells as (select (c_custkey - 1) // 40 i, (c_custkey - 1) % 40 j from customer where c_acctbal > 5000), {_reached("cells")},
+lab as (select i, j, min(l) l from reach group by 1, 2) select i, j, (l // 40) || ',' || (l % 40) component, count(*) over (partition by l) size from lab qualify size >= 5""")
 def connected_cells(spark, d):
-    return regrid.components(_filled(spark, d)).where("size >= 5")
+    """Groups of five or more neighbouring cells; tiles smaller than the groups."""
+    return regrid.components(_filled(spark, d, 5000.0), tile=8, step=4).where("size >= 5")
 
 
-@query()
+@query(f"""with recursive n as (select (max(c_custkey) - 1) // 40 + 1 h from customer), grid as (select (x // 40) i, (x % 40) j from range((select h * 40 from n)) r(x)),
+cells as (select (c_custkey - 1) // 40 i, (c_custkey - 1) % 40 j from customer where c_acctbal > 1000), empty as (select i, j from grid anti join cells using (i, j)), {_reached("empty")},
+lab as (select i, j, min(l) l from reach group by 1, 2) select i, j from lab, n where l not in (select l from lab, n where i = 0 or j = 0 or i = h - 1 or j = 39)""")
 def enclosed_holes(spark, d):
-    return regrid.holes(_filled(spark, d), 30, 60)
+    """Cells of low balance shut in by cells of high balance."""
+    c = table(spark, d, "customer")
+    rows = c.agg(F.expr("(max(c_custkey) - 1) div 40 + 1")).first()[0]
+    return regrid.holes(_filled(spark, d, 1000.0), rows, 40)
 
 
 # --- agreement
@@ -155,13 +172,13 @@ def _long(spark, d):
     return m.select("k", "region", F.explode(F.array(*(F.struct(F.lit(n).alias("indicator"), F.col(f"{n}_tau").alias("tau"), F.col(f"{n}_pval").alias("pval")) for n in NAMES))).alias("r")).select("k", "region", "r.*")
 
 
-@query(f"""with {_LONG} select indicator, round(avg(tau), 6) mean_tau, round(median(tau), 6) median_tau, round(stddev_pop(tau), 6) std_tau, round(100 * avg((tau > 0.1)::int), 6) pct_up, round(100 * avg((tau < -0.1)::int), 6) pct_down,
-round(100 * avg((abs(tau) <= 0.1)::int), 6) pct_flat, round(100 * avg((pval > 0.05)::int), 6) pct_ns from long group by 1""")
+@query(f"""with {_LONG} select indicator, round(avg(tau), 6) mean_tau, round(median(tau), 6) median_tau, round(stddev_pop(tau), 6) std_tau, round(100 * avg((tau > 0.05)::int), 6) pct_up, round(100 * avg((tau < -0.05)::int), 6) pct_down,
+round(100 * avg((abs(tau) <= 0.05)::int), 6) pct_flat, round(100 * avg((pval > 0.05)::int), 6) pct_ns from long group by 1""")
 def tau_summary(spark, d):
     return rounded(ag.tau_summary(_long(spark, d), ["indicator"]))
 
 
-_LABEL = "case when pval < 0.05 and tau > 0.1 then 1 when pval < 0.05 and tau < -0.1 then -1 else 0 end"
+_LABEL = "case when pval <= 0.05 and tau > 0.05 then 1 when pval <= 0.05 and tau < -0.05 then -1 else 0 end"
 
 
 @query(f"with {_LONG} select k, indicator, {_LABEL} as label from long")
@@ -399,31 +416,41 @@ def directed_agreement(spark, d):
     return rounded(ag.pair_table(ag.kappa_pairs(lab, ["k"], "indicator", "label", ["region"], directed=True), "region", list(NAMES)))
 
 
-_SWEEP = [(freq, years, diff) for freq in ("W", "MS") for years in (1, 2) for diff in (0, 1)]
-
-
-def _sweep_sql() -> str:
-    """The same steps for each setting, one after another."""
-    base = {"W": ("time", "7 day", 52), "MS": ("cast(date_trunc('month', time) as date)", "1 month", 12)}
-    out = [S1]
+def _sweep_sql(then: str) -> str:
+    """Twelve settings without STL, by definition: windows gathered point by point, trends from all pairs; up to `t` (k, freq, win, diff, tag, indicator, n, tau, s, z)."""
+    base = {"W": ("time", "7 day", 7), "MS": ("cast(date_trunc('month', time) as date)", "1 month", 0)}
+    out, parts = [S1], []
     for freq, (label, step, _) in base.items():
         out.append(f"{freq}_b as (select k, {label} as time, avg(value) as value from s1 group by 1, 2), {freq}_e as (select min(time) a, max(time) b from {freq}_b), {freq}_x as (select unnest(generate_series(a, b, interval {step}))::date as time from {freq}_e)")
-        out.append(f"{freq}_0 as (select k, time, value, row_number() over (partition by k order by time) - 1 t from (select distinct k from {freq}_b) cross join {freq}_x left join {freq}_b using (k, time)), {freq}_1 as (select k, t, value - lag(value) over (partition by k order by t) as value from {freq}_0)")
-    parts = []
-    for freq, years, diff in _SWEEP:
-        half = (years * base[freq][2] + (years * base[freq][2] + 1) % 2) // 2
-        parts.append(f"select k, t, 'freq-{freq}_win-{years}_diff-{diff}_stl-none' tag, case when count(value) over f = {2 * half + 1} then round(stddev_pop(value) over f, 9) end v from {freq}_{diff} window f as (partition by k order by t rows between {half} preceding and {half} following)")
-    out.append("i as (" + " union all ".join(parts) + ")")
-    out.append("j as (select * from i where v is not null), c as (select k, tag, count(v) n from i group by all)")
-    out.append("q as (select a.k, a.tag, sum(sign(b.v - a.v)) s, cast(count(*) as double) * sum((b.v <> a.v)::int) u from j a join j b on a.k = b.k and a.tag = b.tag and a.t < b.t group by all)")
-    return "with " + ", ".join(out) + " select k, tag, 'std' indicator, cast(n as integer) n, round(s / sqrt(nullif(u, 0)), 6) tau from c left join q using (k, tag)"
-
-
-@query(_sweep_sql())
+        out.append(f"{freq}_0 as (select k, value, row_number() over (partition by k order by time) - 1 t, count(*) over (partition by k) len, greatest(3, cast(round_even(count(*) over (partition by k) / (date_diff('day', a, b) / cast(365.2425 as double)), 0) as integer)) per_year from (select distinct k from {freq}_b) cross join {freq}_x cross join {freq}_e left join {freq}_b using (k, time))")
+        out.append(f"{freq}_1 as (select * replace (value - lag(value) over (partition by k order by t) as value) from {freq}_0)")
+        for diff in (0, 1):
+            for years in (2.5, 5.0, 10.0):
+                full, cut = f"cast(round_even({years}::double * per_year, 0) as integer)", "least(len - 1, cast(round_even(0.8::double * len, 0) as integer))"
+                odd = lambda w: f"({w} + ({w} + 1) % 2)"
+                parts.append(f"select k, 'freq-{freq}_win-{years}_diff-{diff}_stl-none' tag, t, len, (case when {odd(full)} < len then {odd(full)} else {odd(cut)} end - 1) // 2 half, value, lag(value) over w p, lag(value, 2) over w q from {freq}_{diff} window w as (partition by k order by t)")
+    out += ["base as (" + " union all ".join(parts) + ")", tolerant_windows("base", "k, tag")]
+    out.append("long as (select k, tag, t, indicator, round(v, 9) v from (unpivot ind on std, ac1, skew, kurt, fd into name indicator value v))")
+    out.append("c as (select k, tag, indicator, count(v) n from long group by all), ti as (select k, tag, indicator, v, cast(count(*) as double) m from long group by all), tt as (select k, tag, indicator, sum(m * (m - 1) * (2 * m + 5)) tied from ti group by all)")
+    out.append("q as (select a.k, a.tag, a.indicator, sum(sign(b.v - a.v)) s, cast(count(*) as double) * sum((b.v <> a.v)::int) u from long a join long b on a.k = b.k and a.tag = b.tag and a.indicator = b.indicator and a.t < b.t group by all)")
+    out.append("t as (select k, tag, indicator, cast(n as integer) n, case when n >= 4 then s / sqrt(nullif(u, 0)) end tau, case when n >= 4 and u > 0 then s / sqrt((cast(n as double) * (n - 1) * (2 * n + 5) - tied) / 18) end z, n <= 33 and tied = 0 exact from c join tt using (k, tag, indicator) left join q using (k, tag, indicator))")
+    return "with " + ", ".join(out) + then
+
+
+def _swept(spark, d):
+    return ag.sweep(s1(spark, d), ["k"], stl=("none",), digits=9)
+
+
+@query(_sweep_sql(" select k, tag, indicator, n, round(tau, 6) tau from t"))
 def sensitivity_sweep(spark, d):
-    """Trend of the rolling spread under every frequency, window and differencing."""
-    found = ag.sweep(s1(spark, d), ["k"], windows=(1, 2), stl=("none",), names=("std",), digits=9)
-    return rounded(found.select("k", "tag", "indicator", "n", "tau"))
+    """Trend of all five indicators under every frequency, window and differencing, without STL, so that SQL can follow."""
+    return rounded(_swept(spark, d).where("n > 0").select("k", "tag", "indicator", "n", "tau"))
+
+
+@query()
+def sensitivity_study(spark, d):
+    """The whole study: 24 settings with STL, robust and plain, labels and kappa of every two settings, summed up by indicator."""
+    return rounded(ag.study(ag.sweep(s1(spark, d), ["k"]), ["k"])[1])
 
 
 @query(f"with {MAPS}, g as (select *, case when k % 5 = 0 then 'cropland' else region end grp from maps where k % 5 = 0 or region <> 'ASIA') select grp, " + ", ".join(f"round(100 * coalesce(sum(area) filter (({c}) and k % 7 <= 3), 0) / sum(area), 6) {n}" for n, c in _FAMILY.items()) + " from g group by 1")

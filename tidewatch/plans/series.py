@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import calendar as cal
 from ..operators import rolling, trend
 from ..sources import tables
-from .inputs import CELLS, ODD, S1, S2, S3, cells, query, rounded, s1, s2, s3, table
+from .inputs import CELLS, ODD, S1, S2, S3, cells, query, rounded, s1, s2, s3, table, tolerant_windows
 
 HALF = 6
 W = 2 * HALF + 1
+_WEEK_OF = "cast(l_shipdate as date) + cast((7 - extract(dow from l_shipdate)) % 7 as integer)"
 
 
 @query(f"with {CELLS} select k, lat, ((lon + 180) % 360) - 180 lon from cells")
@@ -201,22 +202,44 @@ def rolling_indicators(spark, d):
     return rounded(rolling.indicators(s2(spark, d), ["k"], W - 1).select("k", "t", *rolling.INDICATORS))
 
 
-@query(f"""with {_ROLL} select k, t, case when n > 2 then round(sds, 6) end std, case when n > 2 and vs > 0 then round((sxy - m * sx + c1 * m * m) / ((n - 1) * vs), 6) end ac1 from r""")
+_TOLERANT = f"""{_DENSE1}, nth as (select k, value, row_number() over (partition by k order by time) - 1 t, count(*) over (partition by k) len, {HALF} half from dense),
+lagged as (select *, lag(value) over (partition by k order by t) p, lag(value, 2) over (partition by k order by t) q from nth), {tolerant_windows("lagged", "k")}
+select k, cast(t as integer) t, round(std, 6) std, round(ac1, 6) ac1, round(skew, 6) skew, round(kurt, 6) kurt, round(fd, 6) fd from lagged left join ind using (k, t)"""
+
+
+def _gappy(spark, d):
+    return cal.densify(s1(spark, d), ["k"], "7 days").withColumn("t", cal.position(["k"]))
+
+
+@query(f"with {_TOLERANT}")
 def rolling_tolerant(spark, d):
-    return rounded(rolling.indicators(s2(spark, d), ["k"], W, "tolerant").select("k", "t", "std", "ac1"))
+    """Weekly orders by nation, which have gaps."""
+    return rounded(rolling.indicators(_gappy(spark, d), ["k"], W, "tolerant").select("k", "t", *rolling.INDICATORS))
+
+
+@query(f"with {_TOLERANT}")
+def rolling_tolerant_by_prefix(spark, d):
+    return rounded(rolling.indicators_by_prefix(_gappy(spark, d), ["k"], W, "tolerant").select("k", "t", *rolling.INDICATORS))
 
 
 @query(f"""with {_ROLL} select k, t, case when n = {W} then round(sd, 5) end std, case when n = {W} and vp > 0 then round((sxy - m * sx + c1 * m * m) / ({W} * vp), 5) end ac1,
-case when n = {W} and vp > 0 then round(sk * (n - 2) / sqrt(n * (n - 1)), 5) end skew, case when n = {W} and vp > 0 then round(ku + 3, 5) end kurt from r""")
+case when n = {W} and vp > 0 then round(sk * (n - 2) / sqrt(n * (n - 1)), 5) end skew, case when n = {W} and vp > 0 then round(ku + 3, 5) end kurt,
+case when n = {W} then round(greatest(1, least(2, 2 - (ln(a2 / (2 * c2)) - ln(a1 / (2 * c1))) / ln(2))), 5) end fd from r""")
 def rolling_by_prefix_sums(spark, d):
-    return rounded(rolling.indicators_by_prefix(s2(spark, d), ["k"], W).select("k", "t", "std", "ac1", "skew", "kurt"), 5)
+    return rounded(rolling.indicators_by_prefix(s2(spark, d), ["k"], W).select("k", "t", *rolling.INDICATORS), 5)
+
+
+_STRICT = f"""select k, t, case when n = {W} then sd end std, case when n = {W} and vp > 0 then (sxy - m * sx + c1 * m * m) / ({W} * vp) end ac1, case when n = {W} and vp > 0 then sk * (n - 2) / sqrt(n * (n - 1)) end skew,
+  case when n = {W} and vp > 0 then ku + 3 end kurt, case when n = {W} then greatest(1, least(2, 2 - (ln(a2 / (2 * c2)) - ln(a1 / (2 * c1))) / ln(2))) end fd from r"""
+_DELTAS = "case when min(t) filter (v = lo) > min(t) filter (v = hi) then lo - hi else hi - lo end"
 
 
-@query(f"""with {_ROLL}, i as (select k, t, case when n = {W} then sd end v from r), a as (select k, max(v) hi, min(v) lo from i group by k),
-b as (select a.k, hi, lo, min(t) filter (v = hi) thi, min(t) filter (v = lo) tlo from a left join i on a.k = i.k group by all) select k, round(case when tlo > thi then lo - hi else hi - lo end, 6) delta_std from b""")
+@query(f"""with {_ROLL}, i as ({_STRICT}), l as (select k, t, indicator, v, max(v) over (partition by k, indicator) hi, min(v) over (partition by k, indicator) lo from (unpivot i on std, ac1, skew, kurt, fd into name indicator value v)),
+b as (select k, indicator, {_DELTAS} delta from l group by k, indicator, hi, lo)
+select k, {", ".join(f"round(max(delta) filter (indicator = '{n}'), 6) delta_{n}" for n in rolling.INDICATORS)} from (select distinct k from s2) left join b using (k) group by k""")
 def indicator_deltas(spark, d):
     found = rolling.indicators(s2(spark, d), ["k"], W)
-    return rounded(rolling.deltas(found, ["k"], ["std"]))
+    return rounded(rolling.deltas(found, ["k"], list(rolling.INDICATORS)))
 
 
 @query(f"with {_DENSE1} select k, time, value from dense where k in (select k from s1 where k % 2 = 0)")
@@ -245,10 +268,40 @@ def stl_residual(spark, d):
     return rounded(rolling.stl_residual(s2(spark, d), ["k"], 52).select("k", "t", "resid"))
 
 
+def _shipments(spark, d):
+    """Every shipment in thousands, with the supplier's nation and its date."""
+    li = table(spark, d, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("time"), (F.col("l_extendedprice") / 1000.0).alias("value"))
+    return li.join(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")), F.col("l_suppkey") == F.col("s_suppkey")).select("k", "time", "value")
+
+
 @query()
 def early_warning_job(spark, d):
-    indicators, _ = rolling.early_warning(s2(spark, d).select("k", "t", "value"), ["k"], 53, period=52)
-    return rounded(indicators)
+    """From single shipments to weekly sums, robust residuals, differences and all five indicators over a year."""
+    found = rolling.early_warning(_shipments(spark, d), ["k"], 53, freq="W", how="sum", period=52)
+    return rounded(found.signals())
+
+
+@query()
+def early_warning_summary(spark, d):
+    """Deltas and trends of the same job."""
+    found = rolling.early_warning(_shipments(spark, d), ["k"], 53, freq="W", how="sum", period=52)
+    return rounded(found.trends().join(found.deltas(), "k"))
+
+
+_PLAIN = f"""raw as (select s_nationkey k, {_WEEK_OF} as time, sum(l_extendedprice / 1000) as value from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2), ends as (select min(time) a, max(time) b from raw),
+axis as (select unnest(generate_series(a, b, interval 7 day))::date as time from ends), dense as (select k, time, value from (select distinct k from raw) cross join axis left join raw using (k, time)),
+s2 as (select k, row_number() over (partition by k order by time) - 1 t, value - lag(value) over (partition by k order by time) as value from dense), {_ROLL.removeprefix(S2 + ", ")}"""
+
+
+@query(f"""with {_PLAIN}, i as ({_STRICT}), u as (unpivot i on std, ac1, skew, kurt, fd into name indicator value v), l as (select k, t, indicator, round(v, 9) v, max(round(v, 9)) over w hi, min(round(v, 9)) over w lo from u window w as (partition by k, indicator)),
+b as (select k, indicator, {_DELTAS} delta, count(*) n from l group by k, indicator, hi, lo),
+q as (select x.k, x.indicator, sum(sign(y.v - x.v)) s, cast(count(*) as double) * sum((y.v <> x.v)::int) u from l x join l y on x.k = y.k and x.indicator = y.indicator and x.t < y.t group by 1, 2)
+select k, indicator, cast(n as integer) n, round(delta, 5) delta, round(s / sqrt(nullif(u, 0)), 5) tau from b left join q using (k, indicator)""")
+def early_warning_plain(spark, d):
+    """The job without seasons: weekly sums, differences, indicators, deltas and trends in one exchange."""
+    found = rolling.early_warning(_shipments(spark, d), ["k"], W, freq="W", how="sum")
+    deltas = found.deltas().unpivot(["k"], [f"delta_{n}" for n in rolling.INDICATORS], "indicator", "delta").withColumn("indicator", F.substring("indicator", 7, 9))
+    return rounded(found.trends().where("n > 0").select("k", "indicator", "n", "tau").join(deltas, ["k", "indicator"]), 5)
 
 
 # --- trends
@@ -272,9 +325,14 @@ def kendall_test(spark, d):
     return rounded(trend.kendall(s2(spark, d), ["k"]))
 
 
-@query(f"with {_PAIRS} select k, round(median(slope), 6) slope from pairs group by 1")
+_SEN = f"""{_PAIRS}, o as (select k, list_sort(list(slope)) l, cast(count(*) as double) m from pairs group by 1), ti as (select k, value, cast(count(*) as double) c from s2 group by 1, 2), nn as (select k, cast(count(*) as double) n from s2 group by 1),
+va as (select k, sqrt((any_value(n) * (any_value(n) - 1) * (2 * any_value(n) + 5) - sum(c * (c - 1) * (2 * c + 5))) / 18) sg from ti join nn using (k) group by 1),
+rk as (select k, l, m, cast(greatest(round_even((m - 1.959963984540054::double * sg) / 2, 0) - 1, 0) as bigint) a, cast(least(round_even((m + 1.959963984540054::double * sg) / 2, 0), m - 1) as bigint) b from o join va using (k))"""
+
+
+@query(f"with {_SEN} select k, round(list_aggregate(l, 'median'), 6) slope, round(l[a + 1], 6) lo, round(l[b + 1], 6) hi, case when l[a + 1] > 0 then 1 when l[b + 1] < 0 then -1 else 0 end sig from rk")
 def theil_sen_slope(spark, d):
-    return rounded(trend.theil_sen(s2(spark, d), ["k"]).select("k", "slope"))
+    return rounded(trend.theil_sen(s2(spark, d), ["k"]).select("k", "slope", "lo", "hi", "sig"))
 
 
 _WELCH = f"""{S2}, h as (select k, value, t, count(*) over (partition by k) n from s2), g as (select k, avg(value) filter (t < n // 2) m1, var_samp(value) filter (t < n // 2) v1, count(value) filter (t < n // 2) n1,
