@@ -116,12 +116,14 @@ def edit_with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """id, copy, next_id, text, edited: a text whose last quarter gives way to as much of the next document's beginning.
 
     The next document is that of the next greater id (after the last: the first); where rows share an id, it is
-    the least of their texts. A null id has no next document but its own text. `copy` numbers the rows of one
+    the least of their texts. A row without id has no next document but its own text, and its `copy` is a number of its own; else `copy` numbers the rows of one
     id from 1 by their texts. Rows meet their successor inside blocks of 2^8 consecutive ids, and the first row
     of each block is also sent to the block before it, so whole texts are shuffled once, or twice if the first ids
     of blocks are too many to broadcast.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    all_docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = all_docs.where("id is not null")
+    nameless = all_docs.where("id is null").select("id", F.monotonically_increasing_id().alias("copy"), F.col("id").alias("next_id"), "text", F.col("text").alias("_more"))
     successor = next_ids(docs, id_col="id")
     block = lambda c: F.shiftright(c, block_bits)
     far = successor.where((block("id") != block("next_id")) | (F.col("next_id") <= F.col("id"))).select(F.col("next_id").alias("id"), block("id").alias("_block"))
@@ -133,7 +135,8 @@ def edit_with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     copies = Window.partitionBy("_block", "_order").orderBy("text")
     seen = own.unionByName(sent).withColumn("_next", F.min(F.struct("_order", "id", "text")).over(beyond)).withColumn("copy", F.row_number().over(copies))
     quarter = "cast(floor(length(text) / 4) as int)"
-    rows = seen.where(F.col("_order") < 1 << block_bits).select("id", "copy", F.coalesce("_next.id", "id").alias("next_id"), "text", F.coalesce("_next.text", "text").alias("_more"))
+    rows = seen.where(F.col("_order") < 1 << block_bits).select("id", F.col("copy").cast("long").alias("copy"), F.coalesce("_next.id", "id").alias("next_id"), "text", F.coalesce("_next.text", "text").alias("_more"))
+    rows = rows.unionByName(nameless)
     return rows.select("id", "copy", "next_id", "text", F.expr(f"concat(left(text, length(text) - {quarter}), left(_more, {quarter}))").alias("edited"))
 
 
