@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -132,6 +133,16 @@ def test_edited_texts(spark):
     assert fingerprints.edit_with_next(df.where("false")).count() == 0
 
 
+def test_rows_without_id_keep_their_fingerprints(spark):
+    rows = [(None, "first text of its own"), (5, "five five five five"), (None, "first text of its own"), (None, None), (9, "nine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    edited = sorted((r["id"] is None, r["text"], r["edited"]) for r in fingerprints.edit_with_next(df).collect())
+    own = lambda t: t[: len(t) - len(t) // 4] + t[: len(t) // 4]
+    assert edited == sorted([(True, t or "", own(t or "")) for i, t in rows if i is None] + [(False, "five five five five", "five five five " + "nine"), (False, "nine", "ninf")])
+    got = fingerprints.fingerprint(fingerprints.edit_with_next(df), keys=["id", "copy"], texts={"own": "text"}).collect()
+    assert len(got) == 5 and len({tuple(r["own"]) for r in got if r["id"] is None}) == 2
+
+
 def test_next_ids_across_blocks(spark):
     ids = sorted({int(x) for x in np.random.default_rng(1).integers(-(2**50), 2**50, 300)} | set(range(4090, 4100)))
     found = {r["doc_id"]: r["next_id"] for r in fingerprints.next_ids(spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()}
@@ -203,6 +214,34 @@ def test_style_tree_cuts_inside_articles_and_keeps_copies_as_one(spark):
     assert found == [f"Text {i % 200} and {i % 200 * 3}" for i in range(400)]
 
 
+def test_names_of_layouts_drop_nothing():
+    kept = ['<div class="wrap no-sidebar"><p>Real text</p></div>', '<div class="content has-banner"><p>Real text</p></div>', '<article class="single related-topic"><p>Real text</p></article>',
+            '<form id="aspnet-form"><div><p>Real text</p></div></form>', '<main><p>Long enough words</p><div class="share-price">Real text</div></main>']
+    for page in kept:
+        assert "Real text" in html_extract.main_text(page)[0], page
+    for name in ("share-buttons", "post-share", "related-posts", "sidebar-left", "comment-list", "ad", "top-banner", "social-icons-2"):
+        text, _, by_name = html_extract.main_text(f'<div><p>The article itself</p><div class="{name}">Not this</div></div>')
+        assert text == "The article itself" and by_name == 8, name
+    nested = '<form class="page-form"><nav>Home About</nav><p>Long text of the page that counts</p><div class="comments">Nice one</div></form>'
+    assert html_extract.main_text(nested)[0] == "Long text of the page that counts"
+
+
+def test_a_page_thousands_of_levels_deep(spark):
+    deep = "<div>" * 3000 + "<p>At the bottom</p>" + "</div>" * 3000
+    df = spark.createDataFrame([(1, "http://a.example/", deep), (2, "http://a.example/", "<p>Flat</p>")], "page_id long, url string, html string")
+    began = time.time()
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {1: "At the bottom", 2: "Flat"}
+    assert time.time() - began < 60
+
+
+def test_noise_of_many_hosts_goes_by_a_join(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/p", f"<div class=top>Same line</div><p>Own text {i} {'x' * (i % 7)}</p>") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few = sorted(map(tuple, html_extract.extract(df, names=False).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, html_extract.extract(df, names=False).collect())) == few and all("Same" not in r[2] for r in few)
+
+
 def test_style_tree_against_a_plain_one(spark):
     rng = np.random.default_rng(2)
     pages = []
@@ -217,7 +256,7 @@ def test_style_tree_against_a_plain_one(spark):
     for x in dict.fromkeys(pages):
         of_page, of_text = {}, {}
         for node, text, *_ in html_extract.blocks(x, styles=of_page):
-            of_text.setdefault(node + "/#", Counter()).update(t for t in re.split(r"\s*\|\s*", text) if t)
+            of_text.setdefault(html_extract.child_of(node, "#"), Counter()).update(t for t in re.split(r"\s*\|\s*", text) if t)
         for node, children in of_page.items():
             styles.setdefault(node, []).append(tuple(children))
         for node, counts in of_text.items():
@@ -234,7 +273,7 @@ def test_style_tree_against_a_plain_one(spark):
             return (m * (1 - np.mean(each) / np.log(m)) + 8 * 0.9) / (m + 8)
         m, kinds = len(styles[node]), Counter(styles[node])
         own, power = entropy(list(kinds.values())) / np.log(m), 0.9 ** len(kinds)
-        inside = sum(k / m * np.mean([importance(f"{node}/{c}") for c in style]) for style, k in kinds.items())
+        inside = sum(k / m * np.mean([importance(html_extract.child_of(node, c)) for c in style]) for style, k in kinds.items())
         return (1 - power) * own + power * inside
 
     assert set(found) == set(styles) | set(texts)
