@@ -251,16 +251,6 @@ def test_earth_area(spark):
     assert total == pytest.approx(zonal.earth_area(), rel=1e-4)
 
 
-def test_attribution_sums_to_the_difference(spark):
-    rng = np.random.default_rng(0)
-    rows = [(i, float(a), float(b), bool(a > 0)) for i, (a, b) in enumerate(rng.normal(size=(120, 2)))]
-    df = spark.createDataFrame(rows, "key int, x0 double, x1 double, target boolean")
-    fitted = model.fit(df, ["x0", "x1"], [], trees=3, depth=2)
-    phi = model.attribution(df.limit(10), df.limit(5), fitted, ["x0", "x1"], ["key"], permutations=2)
-    summary = {r["feature"]: r["mean_abs"] for r in model.attribution_summary(phi, []).collect()}
-    assert phi.count() == 20 and summary["x0"] > summary["x1"]
-
-
 def test_folds(spark):
     df = spark.range(500).select(F.col("id").alias("key"), (F.col("id") % 10 == 0).alias("target"), (F.col("id") % 170 - 85).cast("double").alias("lat"), (F.col("id") % 350).cast("double").alias("lon"))
     counts = [r["count"] for r in model.stratified_folds(df, ["key"]).where("target").groupBy("fold").count().collect()]

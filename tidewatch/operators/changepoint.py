@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import fisher_two_sided
+from . import blocks
 
 
 def testable(df: DataFrame, key: list[str], missing: int = 50, value: str = "value") -> DataFrame:
@@ -31,37 +31,44 @@ def _tridiagonal(low: np.ndarray, diagonal: np.ndarray, high: np.ndarray, right:
     return r
 
 
+def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cubic spline through (x, y) at places between the ends; end slopes as in the cubics through the four outer points."""
+    n = len(x)
+    if n < 4:
+        return np.interp(at, x, y)
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    r = np.zeros(n)
+    third = lambda i: ((d[i + 2] - d[i + 1]) / (x[i + 3] - x[i + 1]) - (d[i + 1] - d[i]) / (x[i + 2] - x[i])) / (x[i + 3] - x[i])
+    r[0], r[-1] = third(0) * h[0] ** 2, -third(n - 4) * h[-1] ** 2
+    r[1:-1] = np.diff(d)
+    s = _tridiagonal(np.append(0, h), np.concatenate(([-h[0]], 2 * (h[:-1] + h[1:]), [-h[-1]])), np.append(h, 0), r)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    u = at - x[k]
+    b = d[k] - h[k] * (2 * s[k] + s[k + 1])
+    return y[k] + u * (b + u * (3 * s[k] + u * (s[k + 1] - s[k]) / h[k]))
+
+
+def _without_gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    there = ~np.isnan(y)
+    if there.all() or not there.any():
+        return y
+    y = y.copy()
+    y[~there] = _spline(x[there], y[there], np.clip(x[~there], x[there][0], x[there][-1]))
+    return y
+
+
 def fill_spline(df: DataFrame, key: list[str], time: str = "t", value: str = "value") -> DataFrame:
-    """gaps by a cubic spline through what is there (end slopes as in the cubics through the four outer points); flat beyond the ends."""
-    schema = df.select(*key, time, value).schema
-
-    def spline(x, y, at):
-        n = len(x)
-        if n < 4:
-            return np.interp(at, x, y)
-        h, d = np.diff(x), np.diff(y) / np.diff(x)
-        r = np.zeros(n)
-        third = lambda i: ((d[i + 2] - d[i + 1]) / (x[i + 3] - x[i + 1]) - (d[i + 1] - d[i]) / (x[i + 2] - x[i])) / (x[i + 3] - x[i])
-        r[0], r[-1] = third(0) * h[0] ** 2, -third(n - 4) * h[-1] ** 2
-        r[1:-1] = np.diff(d)
-        s = _tridiagonal(np.append(0, h), np.concatenate(([-h[0]], 2 * (h[:-1] + h[1:]), [-h[-1]])), np.append(h, 0), r)
-        k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
-        u = at - x[k]
-        b = d[k] - h[k] * (2 * s[k] + s[k + 1])
-        return y[k] + u * (b + u * (3 * s[k] + u * (s[k + 1] - s[k]) / h[k]))
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(time)
-        y, x = part[value].to_numpy(float), part[time].to_numpy(float)
-        there = ~np.isnan(y)
-        if there.any() and not there.all():
-            inside = np.clip(x[~there], x[there][0], x[there][-1])
-            y = y.copy()
-            y[~there] = spline(x[there], y[there], inside)
-            part = part.assign(**{value: y})
-        return part
-
-    return df.select(*key, time, value).groupBy(*key).applyInPandas(one, schema)
+    """gaps by a cubic spline through what is there; flat beyond the ends."""
+
+    def filled(table, starts):
+        import pyarrow as pa
+
+        x, y = blocks.numbers(table, time), blocks.numbers(table, value)
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(y)], strict=True):
+            y[i:j] = _without_gaps(x[i:j], y[i:j])
+        return table.set_column(table.schema.get_field_index(value), value, pa.array(y, from_pandas=True))
+
+    return blocks.map_series(df, key, time, [value], blocks.ddl(df, [*key, time, value]), filled)
 
 
 def around(df: DataFrame, breaks: DataFrame, key: list[str], at: str, name: str, time: str = "t", value: str = "value", stat=F.avg) -> DataFrame:
@@ -145,15 +152,19 @@ def _first_variance_break(y: np.ndarray, least: int = 2) -> int | None:
 
 def variance_break(df: DataFrame, key: list[str], time: str = "t", value: str = "value") -> DataFrame:
     """index of the first variance change of each series, NULL where there is none."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*key).dtypes) + ", bp_var long"
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        out = part[key].iloc[:1].copy()
-        part = part.dropna(subset=[value]).sort_values(time)
-        at = _first_variance_break(part[value].to_numpy(float))
-        return out.assign(bp_var=pd.array([None if at is None else int(part[time].iloc[at])], "Int64"))
+    def breaks(table, starts):
+        import pyarrow as pa
 
-    return df.select(*dict.fromkeys([*key, time, value])).groupBy(*key).applyInPandas(one, schema)
+        y, out = blocks.numbers(table, value), []
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(y)], strict=True):
+            known = np.flatnonzero(~np.isnan(y[i:j])) + i
+            at = _first_variance_break(y[known])
+            out.append(None if at is None else int(known[at]))
+        when = table.column(time).cast(pa.int64()).to_pylist()
+        return pa.table({k: table.column(k).take(pa.array(starts)) for k in key} | {"bp_var": pa.array([None if k is None else when[k] for k in out], pa.int64())})
+
+    return blocks.map_series(df, key, time, [value], f"{blocks.ddl(df, key)}, bp_var long", breaks)
 
 
 def single_variance_split(df: DataFrame, key: list[str], least: int = 2, time: str = "t", value: str = "value") -> DataFrame:
@@ -181,19 +192,120 @@ def variance_ratio(df: DataFrame, breaks: DataFrame, key: list[str], at: str, ti
     return found.drop("_n1", "_n2")
 
 
-def all_tests(df: DataFrame, key: list[str], null: DataFrame, missing: int = 50) -> DataFrame:
-    """every test for every series; keys that fail the guard keep a row of NULLs and say so in `error`."""
+def _pettitt(y: np.ndarray) -> tuple[int, float]:
+    """place of the largest |U| and p."""
+    n = len(y)
+    _, back, counts = np.unique(y, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(counts) - (counts - 1) / 2)[back]
+    u = np.abs(2 * np.cumsum(rank) - np.arange(1, n + 1) * (n + 1))
+    return int(u.argmax()), float(min(1.0, 2 * np.exp(-6 * u.max() ** 2 / (float(n) ** 3 + float(n) ** 2))))
+
+
+def _sup_f(y: np.ndarray, trim: float = 0.15) -> tuple[int | None, float | None]:
+    """place and size of the largest F for a break in the regression on the value before."""
+    c = y - y.mean()
+    x, c = c[:-1], c[1:]
+    n = len(c)
+    i = np.arange(1, n + 1)
+    left = {k: np.cumsum(v) for k, v in {"x": x, "y": c, "xx": x * x, "xy": x * c, "yy": c * c}.items()}
+    total = {k: v[-1:] for k, v in left.items()}
+
+    def rss(m, s):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sxx, sxy, syy = s["xx"] - s["x"] ** 2 / m, s["xy"] - s["x"] * s["y"] / m, s["yy"] - s["y"] ** 2 / m
+            return syy - np.where(sxx != 0, sxy * sxy / np.where(sxx != 0, sxx, 1), 0.0)
+
+    inside = (i >= max(np.floor(n * trim), 3)) & (i <= min(np.floor(n * (1 - trim)), n - 3))
+    if not inside.any():
+        return None, None
+    both = rss(i, left) + rss(n - i, {k: total[k] - left[k] for k in left})
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = np.where(inside & (both != 0), (rss(n, total) - both) / (both / (n - 4)), -np.inf)
+    at = int(f.argmax())
+    return (at + 1, float(f[at])) if np.isfinite(f[at]) else (None, None)
+
+
+_SIDES = lambda s: (f"m1_{s}", f"m2_{s}", f"prop_{s}", f"diff_{s}")
+#: What is found for each series; places are times
+_FOUND = {"pettitt_cp": "long", "pettitt_pval": "double"} | dict.fromkeys(_SIDES("pettitt"), "double") | {"sc_bp": "long", "f_stat": "double"} | dict.fromkeys(_SIDES("stc"), "double") | {"bp_var": "long"} | dict.fromkeys(("v1", "v2", "prop_var", "diff_var", "f_var", "var_pval"), "double")
+
+
+def _tests(x: np.ndarray, y: np.ndarray, missing: int) -> dict:
+    """All of _FOUND for one series, and `error`: an exception in one test leaves its own columns NULL and is told by its name."""
+    from ..functions.stats import _incomplete_beta
+
+    out: dict = {}
+    known = y[~np.isnan(y)]
+    if len(y) - len(known) > missing or len(known) < 2 or not (known != known[0]).any():
+        return {"error": "too many gaps or no variance"}
+    problems = []
+
+    def guarded(name, test):
+        try:
+            with np.errstate(over="raise", invalid="raise"):
+                out.update(test())
+        except Exception as problem:  # noqa: BLE001  any series, whatever is in it, gets a row
+            problems.append(f"{name}: {type(problem).__name__}: {problem}")
+
+    def sides(name, at):
+        a, b = (z.mean() if len(z) else None for z in (y[:at], y[at + 1 :]))
+        both = a is not None and b is not None
+        return dict(zip(_SIDES(name), (a, b, b / a if both and a else None, b - a if both else None), strict=True))
+
+    def spline():
+        nonlocal y
+        y = _without_gaps(x, y)
+        return {}
+
+    def pettitt_():
+        at, p = _pettitt(y)
+        return {"pettitt_cp": int(x[at]), "pettitt_pval": p} | sides("pettitt", at)
+
+    def sup_f_():
+        at, f = _sup_f(y)
+        return {} if at is None else {"sc_bp": int(x[at]), "f_stat": f} | sides("stc", at)
+
+    def variance():
+        at = _first_variance_break(y)
+        if at is None:
+            return {}
+        a, b = y[:at], y[at + 1 :]
+        v1, v2 = (z.var(ddof=1) if len(z) > 1 else None for z in (a, b))
+        both = v1 is not None and v2 is not None
+        found = {"bp_var": int(x[at]), "v1": v1, "v2": v2, "prop_var": v2 / v1 if both and v1 else None, "diff_var": v2 - v1 if both else None}
+        if both and v2 and 1 < x[at] < len(y) - 2:
+            f = v1 / v2
+            below = float(_incomplete_beta((len(a) - 1) / 2, (len(b) - 1) / 2, (len(a) - 1) * f / ((len(a) - 1) * f + len(b) - 1)))
+            found |= {"f_var": f, "var_pval": 2 * min(below, 1 - below)}
+        return found
+
+    guarded("spline", spline)
+    if not problems:
+        for name, test in (("pettitt", pettitt_), ("sup F", sup_f_), ("variance", variance)):
+            guarded(name, test)
+    return out | {"error": "; ".join(problems) or None}
+
+
+def all_tests(df: DataFrame, key: list[str], null: DataFrame, missing: int = 50, time: str = "t", value: str = "value") -> DataFrame:
+    """every test for every series, in one exchange and one pass over its rows.
+
+    A series that fails the guard, or breaks a test, keeps its row: what could not be found is NULL and `error` says why; no
+    other series is touched by it.
+    """
     from ..functions.stats import sup_f_p
 
-    ready = fill_spline(testable(df, key, missing), key)
-    p = pettitt(ready, key)
-    s = sup_f_p(sup_f(ready, key), null)
-    v = variance_break(ready, key)
-    found = df.select(*key).distinct()
-    parts = [p.drop("k_stat"), around(ready, p, key, "pettitt_cp", "pettitt"), s, around(ready, s, key, "sc_bp", "stc"), v, variance_ratio(ready, v, key, "bp_var"), ready.select(*key).distinct().withColumn("_ok", F.lit(True))]
-    for part in parts:
-        found = found.join(part, key, "left")
-    return found.withColumn("error", F.when(F.col("_ok").isNull(), "too many gaps or no variance")).drop("_ok")
+    def found(table, starts):
+        import pyarrow as pa
+
+        x, y = table.column(time).to_numpy(), blocks.numbers(table, value)
+        rows = [_tests(x[i:j], y[i:j], missing) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(y)], strict=True)]
+        columns = {n: pa.array([r.get(n) for r in rows], pa.int64() if t == "long" else pa.float64()) for n, t in _FOUND.items()}
+        return pa.table({k: table.column(k).take(pa.array(starts)) for k in key} | columns | {"error": pa.array([r["error"] for r in rows], pa.string())})
+
+    schema = ", ".join([blocks.ddl(df, key), *(f"{n} {t}" for n, t in _FOUND.items()), "error string"])
+    names = [*_FOUND]
+    names.insert(names.index("f_stat") + 1, "f_pval")
+    return sup_f_p(blocks.map_series(df, key, time, [value], schema, found), null).select(*key, *names, "error")
 
 
 def significant(p: Column, cp: Column, alpha: float = 0.05) -> Column:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_folder
+
 
 def balanced_sample(df: DataFrame, key: list[str], per_class: int, label: str = "target", seed: int = 42) -> DataFrame:
     """K1, K2: at most `per_class` rows of each label (or group), chosen by a hash of the key.
@@ -45,18 +49,19 @@ def class_weight(df: DataFrame, label: str = "target") -> DataFrame:
     return df.join(F.broadcast(n)).withColumn("weight", F.when(F.col(label), F.coalesce("_w", F.lit(1.0))).otherwise(F.lit(1.0))).drop("_w")
 
 
-def pipeline(numeric: list[str], categorical: list[str], label: str = "label", trees: int = 300, depth: int = 8, seed: int = 42):
-    """K6, K7: medians for gaps, one-hot categories, boosted trees."""
+def pipeline(numeric: list[str], categorical: list[str], label: str = "label", trees: int = 300, depth: int = 8, seed: int = 42, flagged: list[str] | None = None):
+    """K6, K7: medians for gaps, a flag beside each `flagged` column that says where it had none, one-hot categories, boosted trees."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 
-    filled = [f"{c}__filled" for c in numeric]
-    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled)] if numeric else []
+    filled, flags = [f"{c}__filled" for c in numeric], [f"{c}__missing" for c in flagged or []]
+    stages = [SQLTransformer(statement="select *, " + ", ".join(f"cast(`{c}` is null or isnan(`{c}`) as double) `{c}__missing`" for c in flagged) + " from __THIS__")] if flagged else []
+    stages += [Imputer(strategy="median", inputCols=numeric, outputCols=filled)] if numeric else []
     for c in categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__index", handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCol=f"{c}__index", outputCol=f"{c}__hot", handleInvalid="keep", dropLast=False))
-    stages.append(VectorAssembler(inputCols=[*filled, *(f"{c}__hot" for c in categorical)], outputCol="features", handleInvalid="keep"))
+    stages.append(VectorAssembler(inputCols=[*filled, *flags, *(f"{c}__hot" for c in categorical)], outputCol="features", handleInvalid="keep"))
     stages.append(GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, minInstancesPerNode=10, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed))
     return Pipeline(stages=stages)
 
@@ -67,10 +72,11 @@ def _scored(model, df: DataFrame, out: str = "p") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
 
 
-def fit(df: DataFrame, numeric: list[str], categorical: list[str], target: str = "target", **settings):
-    """K5-K7: one fitted model of all rows."""
+def fit(df: DataFrame, numeric: list[str], categorical: list[str], target: str = "target", flags: bool = True, **settings):
+    """K5-K7: one fitted model of all rows. With `flags`, numeric columns that have gaps in these rows get a flag of them beside their medians."""
+    gaps = df.agg(*(F.max(F.col(c).isNull() | F.isnan(c)).alias(c) for c in numeric)).first() if flags and numeric else {}
     ready = class_weight(df, target).withColumn("label", F.col(target).cast("double"))
-    return pipeline(numeric, categorical, **settings).fit(ready)
+    return pipeline(numeric, categorical, flagged=[c for c in numeric if gaps and gaps[c]], **settings).fit(ready)
 
 
 def out_of_fold(df: DataFrame, numeric: list[str], categorical: list[str], target: str = "target", folds: int = 5, **settings) -> DataFrame:
@@ -126,11 +132,9 @@ def importance(model, df: DataFrame, names: list[str] | None = None, top: int |
     """Features by importance, of those named only if `names` is given. Columns of the assembled vector are named by its
     metadata; those of a category count for their feature together."""
     values = model.stages[-1].featureImportances.toArray().tolist()
-    kinds = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
     found: dict[str, float] = {}
-    for column in (c for kind in kinds.values() for c in kind):
-        feature = column["name"].split("__", 1)[0]
-        found[feature] = found.get(feature, 0.0) + values[column["idx"]]
+    for feature, value in zip(_feature_of_columns(model, df), values, strict=True):
+        found[feature] = found.get(feature, 0.0) + value
     rows = [(f, v) for f, v in found.items() if names is None or f in names]
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
     return table.limit(top) if top else table
@@ -165,35 +169,121 @@ def partial_dependence(df: DataFrame, model, feature: str, key: list[str], point
     return g.withColumn("change", F.col("mean_p") - F.first("mean_p").over(Window.orderBy("k"))).withColumn("feature", F.lit(feature))  # one row for each grid value
 
 
-def attribution(df: DataFrame, background: DataFrame, model, features: list[str], key: list[str], permutations: int = 8, seed: int = 42) -> DataFrame:
-    """Key, feature, phi in log odds by sampled-permutation Shapley values.
+def _feature_of_columns(model, df: DataFrame) -> list[str]:
+    """The feature that each column of the assembled vector comes from: its own, a category's, or the one it flags as missing."""
+    kinds = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
+    columns = {c["idx"]: c["name"].split("__", 1)[0] for kind in kinds.values() for c in kind}
+    return [columns[i] for i in range(len(columns))]
+
+
+def tree_paths(model) -> DataFrame:
+    """The boosted trees of a fitted pipeline as a table, one row for each leaf: tree, value (its part of the log odds), and arrays with
+    an entry for each feature on the leaf's path: feature (column of the assembled vector), low and high (rows come this way
+    if low < x <= high) and share (of the training rows at a split on the feature, those that went this way; the product over its splits).
 
-    Each row is paired with one background row for each permutation, drawn by hash; features turn from the
-    background's to the row's value in the permutation's order, and each step's change in log odds is its
-    feature's. The values of a row sum to its log odds less the mean log odds of its background rows.
+    Trees are read from where the model is saved, in the shared folder. A tree has at most 2^(depth + 1) nodes.
+    """
+    import uuid
+
+    trees = model.stages[-1]
+    spark = SparkSession.active()
+    path = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
+    trees.save(path)
+    weights = [float(w) for w in trees.treeWeights]
+
+    def leaves(part: pd.DataFrame) -> pd.DataFrame:
+        tree = int(part["treeID"].iloc[0])
+        nodes = {int(n["id"]): n for n in part["nodeData"]}
+        out, todo = [], [(0, {})]
+        while todo:
+            at, way = todo.pop()
+            node = nodes[at]
+            if node["leftChild"] < 0:
+                feature = sorted(way)
+                out.append((tree, 2.0 * weights[tree] * node["prediction"], feature, *([way[f][k] for f in feature] for k in range(3))))
+                continue
+            split = node["split"]
+            f, left = int(split["featureIndex"]), [float(v) for v in split["leftCategoriesOrThreshold"]]
+            low, high, share = way.get(f, (-np.inf, np.inf, 1.0))
+            if split["numCategories"] == -1:
+                sides = ((low, min(high, left[0])), (max(low, left[0]), high))
+            else:  # a flag: one of its two values goes left
+                sides = ((low, 0.5), (0.5, high)) if left == [0.0] else ((0.5, high), (low, 0.5))
+            for child, (a, b) in zip((int(node["leftChild"]), int(node["rightChild"])), sides, strict=True):
+                todo.append((child, way | {f: (a, b, share * nodes[child]["impurityStats"][0] / node["impurityStats"][0])}))
+        return pd.DataFrame(out, columns=["tree", "value", "feature", "low", "high", "share"])
+
+    return spark.read.parquet(f"{path}/data").groupBy("treeID").applyInPandas(leaves, "tree int, value double, feature array<int>, low array<double>, high array<double>, share array<double>")
+
+
+def path_contributions(x: np.ndarray, paths: dict[str, np.ndarray], rows: int = 16, at_once: int = 4096) -> np.ndarray:
+    """Shapley values of each row of `x` (rows x columns) for the sum of all leaves, when a feature that is not known goes either way in the
+    proportion that training rows did.
+
+    A leaf's value is reached by the product over its features of 1 or 0 (known) or the share (not known). The sum over all orders of
+    features is the integral over t in [0, 1] of a product of linear terms, a polynomial of a degree below the number of
+    features on the path, so half as many points of a Gauss rule give it exactly.
     """
-    import random
-
-    rng = random.Random(seed)
-    orders = [rng.sample(range(len(features)), len(features)) for _ in range(permutations)]
-    n = background.count()
-    numbered = background.select(*(F.col(f).alias(f"_b_{f}") for f in features)).withColumn("_bn", F.row_number().over(Window.orderBy(*(f"_b_{f}" for f in features))) - 1)  # a bounded sample
-    spark = df.sparkSession
-    plan = spark.createDataFrame([(m, s, [o.index(i) < s for i in range(len(features))], o[s - 1] if s else -1) for m, o in enumerate(orders) for s in range(len(features) + 1)], "_m int, _s int, _on array<boolean>, _f int")
-    rows = df.select(*key, *features).crossJoin(F.broadcast(plan)).withColumn("_bn", F.pmod(F.xxhash64(F.lit(seed), "_m", *key), F.lit(n)))  # permutations x (features + 1) rows each
-    rows = rows.join(F.broadcast(numbered), "_bn")
-    mixed = rows.select(*key, "_m", "_s", "_f", *(F.when(F.get("_on", i), F.col(f)).otherwise(F.col(f"_b_{f}")).alias(f) for i, f in enumerate(features)))
-    p = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    scored = _scored(model, mixed).withColumn("_z", F.log(p / (1 - p)))
-    step = scored.withColumn("_d", F.col("_z") - F.lag("_z").over(Window.partitionBy(*key, "_m").orderBy("_s"))).where("_s > 0")
-    return step.groupBy(*key, F.get(F.array(*map(F.lit, features)), F.col("_f")).alias("feature")).agg(F.avg("_d").alias("phi"))
-
-
-def base_value(background: DataFrame, model) -> DataFrame:
-    """One row with the mean log odds of the background, from which attributions start, and its sigmoid."""
-    p = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    base = F.avg(F.log(p / (1 - p)))
-    return _scored(model, background).agg(base.alias("base_log_odds"), (1 / (1 + F.exp(-base))).alias("base_p"))
+    out = np.zeros(x.shape)
+    feature, low, high, share, value = (paths[k] for k in ("feature", "low", "high", "share", "value"))
+    if not len(value):
+        return out
+    nodes, weights = np.polynomial.legendre.leggauss((feature.shape[1] + 1) // 2 or 1)
+    nodes, weights = (nodes + 1) / 2, weights / 2
+    for p in range(0, len(value), at_once):
+        part = slice(p, p + at_once)
+        columns = feature[part].ravel()
+        order = np.argsort(columns, kind="stable")
+        begins = np.flatnonzero(np.r_[True, np.diff(columns[order]) != 0])
+        z = share[part]
+        for r in range(0, len(x), rows):
+            seen = x[r : r + rows][:, feature[part]]
+            known = ((low[part] < seen) & (seen <= high[part])).astype(float)
+            total = np.zeros(known.shape)
+            for t, w in zip(nodes, weights, strict=True):
+                terms = z * (1 - t) + known * t
+                total += w * terms.prod(axis=2, keepdims=True) / terms
+            total *= (known - z) * value[part, None]
+            out[r : r + rows, columns[order][begins]] += np.add.reduceat(total.reshape(len(seen), -1)[:, order], begins, axis=1)
+    return out
+
+
+def attribution(df: DataFrame, model, features: list[str], key: list[str]) -> DataFrame:
+    """Key, feature, phi in log odds: Shapley values along the paths of the trees (Lundberg et al. 2020), exact, with no rows but those asked for.
+
+    The columns of a category or a flag count for their feature together. The values of a row sum to its log odds less the base
+    (`base_value`). The table of paths goes to every task; it has trees x 2^depth rows at most, whatever the data.
+    """
+    of_column = _feature_of_columns(model, df)
+    names = [f for f in features if f in of_column]
+    index = np.array([names.index(f) if f in names else -1 for f in of_column])
+    table = tree_paths(model).toPandas()  # trees x 2^depth rows at most
+    width = max((len(f) for f in table["feature"]), default=1) or 1
+    pad = lambda c, fill: np.array([[*v, *[fill] * (width - len(v))] for v in table[c]], float).reshape(-1, width)
+    paths = {"feature": pad("feature", 0).astype(int), "low": pad("low", -np.inf), "high": pad("high", np.inf), "share": pad("share", 1.0), "value": table["value"].to_numpy(float)}
+    sent = df.sparkSession.sparkContext.broadcast(paths)
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*key).dtypes) + ", feature string, phi double"
+
+    def task(batches):
+        for batch in batches:
+            x = np.array(batch["_x"].tolist(), float).reshape(len(batch), len(of_column))
+            by_column, phi = path_contributions(x, sent.value), np.zeros((len(x), len(names)))
+            for column, k in enumerate(index):
+                if k >= 0:
+                    phi[:, k] += by_column[:, column]
+            rows = batch[key].loc[batch.index.repeat(len(names))].reset_index(drop=True)
+            yield rows.assign(feature=np.tile(np.array(names, object), len(x)), phi=phi.ravel())
+
+    from pyspark.ml.functions import vector_to_array
+
+    ready = model.transform(df).select(*key, vector_to_array("features").alias("_x"))
+    return ready.mapInPandas(task, schema)
+
+
+def base_value(model) -> DataFrame:
+    """One row with the mean log odds over the training rows as they went through the trees, from which attributions start, and its sigmoid."""
+    base = F.sum(F.col("value") * F.aggregate("share", F.lit(1.0).cast("double"), lambda a, s: a * s))
+    return tree_paths(model).agg(base.alias("base_log_odds")).withColumn("base_p", 1 / (1 + F.exp(-F.col("base_log_odds"))))
 
 
 def attribution_summary(phi: DataFrame, group: list[str], top: int | None = None, available: DataFrame | None = None) -> DataFrame:

@@ -197,17 +197,16 @@ def partial_dependence(spark, d):
 
 @query()
 def attribution(spark, d):
+    """Exact contributions of all features to the log odds of every row."""
     f = _features(spark, d)
-    background = model.balanced_sample(f, ["key"], 20)
-    phi = model.attribution(f, background, model.fit(f, _X, [], **_SMALL), _X, ["key"], permutations=2)
+    phi = model.attribution(f, model.fit(f, _X, ["soil"], **_SMALL), [*_X, "soil"], ["key"])
     return rounded(model.attribution_summary(phi, [], 5, f))
 
 
 @query()
 def attribution_by_class(spark, d):
     f = _features(spark, d)
-    background = model.balanced_sample(f, ["key"], 20)
-    phi = model.attribution(f, background, model.fit(f, _X, [], **_SMALL), _X, ["key"], permutations=2)
+    phi = model.attribution(f, model.fit(f, _X, ["soil"], **_SMALL), [*_X, "soil"], ["key"])
     return rounded(model.attribution_summary(phi.join(f.select("key", "soil"), "key"), ["soil"], 3, f))
 
 
@@ -219,5 +218,4 @@ def ablations(spark, d):
 @query()
 def attribution_base(spark, d):
     """The log odds that attributions start from."""
-    f = _features(spark, d)
-    return rounded(model.base_value(model.balanced_sample(f, ["key"], 20), model.fit(f, _X, [], **_SMALL)))
+    return rounded(model.base_value(model.fit(_features(spark, d), _X, ["soil"], **_SMALL)))

@@ -68,6 +68,51 @@ def unfinished(todo: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return todo.join(done.select(*key).distinct(), key, "left_anti")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def manifest(spark: SparkSession, path: str, key: list[str], schema: str) -> DataFrame:
+    """The keys whose results under `path` are whole: key (of `schema`), block."""
+    place = f"{path}/_manifest"
+    if not _exists(spark, place):
+        return spark.createDataFrame([], f"{schema}, block int")
+    return spark.read.schema(f"{schema}, block int").parquet(place)
+
+
+def resume(todo: DataFrame, path: str, key: list[str], job, blocks: int = 64, at_once: int = 8) -> int:
+    """The results of `job(part)` for all keys of `todo`, under `path`/results, so that a job stopped half-way goes on where it stood.
+
+    Keys are dealt to `blocks` by a hash, and `at_once` blocks are one job: its results are written with dynamic partition
+    overwrite, a folder for each block, and then its keys go into a manifest. A block half-written is not in the manifest and is replaced as
+    a whole, so no key is left out and none is there twice; new keys in a finished block bring only that block back. Blocks whose keys are all in the
+    manifest are not touched. Returns the number of blocks that were run.
+    """
+    spark = todo.sparkSession
+    kinds = dict(todo.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key)
+    block = F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")
+    dealt = todo.withColumn("block", block)
+    keys = dealt.select(*key, "block").distinct()
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*key, "block")]
+    open_ = keys.alias("a").join(manifest(spark, path, key, schema).alias("b"), same, "left_anti")
+    left = sorted(r["block"] for r in open_.select("block").distinct().collect())  # `blocks` at most
+    for i in range(0, len(left), at_once):
+        those = left[i : i + at_once]
+        part = dealt.where(F.col("block").isin(those))
+        found = job(part.drop("block")).withColumn("block", block)
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(f"{path}/results")
+        part.select(*key, "block").distinct().coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
+    return len(left)
+
+
+def results(spark: SparkSession, path: str, key: list[str], schema: str) -> DataFrame:
+    """A5: what `resume` has finished: the rows of the blocks in the manifest (key of `schema`)."""
+    whole = manifest(spark, path, key, schema).select("block").distinct()
+    return spark.read.parquet(f"{path}/results").join(F.broadcast(whole), "block", "left_semi").drop("block")  # as many rows as blocks
+
+
 def monthly_from_wide(wide: DataFrame, year: str = "year", months: list[str] | None = None) -> DataFrame:
     """A10: rows of a year and twelve columns to (time, value), repeated months dropped but for the least value."""
     months = months or [f"m{i}" for i in range(1, 13)]
