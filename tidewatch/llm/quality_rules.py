@@ -7,9 +7,9 @@ which merge by addition, so that Spark combines them before it shuffles and a ho
 than bins. `fences` reads thresholds from each sketch. The high fence lies beyond the 90th percentile by five times the
 distance between it and the third quartile, that of word length has a low counterpart. A rate that is 0 in nine of ten
 documents has no spread there; its fence is the median of its values above 0, so that at most half of the exceptions, a
-twentieth of the documents, go. A group of fewer than `least` documents, or with fewer than `least_tail` such exceptions,
-takes the fence from the merged sketch of its language, and that of all documents when the language is as small; without
-any such sketch nothing is judged. No threshold is a constant. `apply_rules` joins the fences to the documents (a broadcast
+twentieth of the documents, go. A group's sketch is blended with that of its language, and a language's with that of all documents,
+which count as PRIOR documents more (`blended`): every group has fences of its own, and none turns on a size. Without
+any document that passes the base rule nothing is judged. No threshold is a constant. `apply_rules` joins the fences to the documents (a broadcast
 behind a size check) and gives the verdict.
 
 Null and empty texts have no words and fail the base rule. Null lang or source counts as ''. Equal rows get
@@ -28,6 +28,8 @@ WINDOW = 8
 RATES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
 #: groups whose fences may be broadcast
 BROADCAST_ROWS = 500_000
+#: documents that the sketch above a group counts for in it; sketches are blended in parts of a document
+PRIOR, UNIT = 100, 1_000_000
 
 
 def quality_counts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -73,26 +75,38 @@ def sketches(df: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "rate", v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, level: list[str], least: int, least_tail: int) -> DataFrame:
-    """`level` and the low and high fence of each rate, null where the group's merged sketch is too small for one."""
-    merged = sketch.groupBy(*level, "rate", "v").agg(F.sum("n").alias("n"))
+def blended(sketch: DataFrame, level: list[str], parent: DataFrame | None = None, prior: int = PRIOR) -> DataFrame:
+    """level, rate, v, w: the merged sketch of each group of `level`, in units of 1 / UNIT documents, with the blended sketch of the group
+    above it (of all but the last of `level`) added as if it were `prior` documents.
+
+    So every group has its own thresholds: a small one nearly those above it, a large one nearly its own, with no size at which that turns.
+    """
+    own = sketch.groupBy(*level, "rate", "v").agg(F.sum("n").alias("n"))
+    if parent is None:
+        return own.select(*level, "rate", "v", (F.col("n") * UNIT).alias("w"))
+    above = level[:-1]
+    share = F.col("w").cast("double") / F.sum("w").over(Window.partitionBy(*above, "rate")).cast("double")
+    bins = own.select(*level, "rate").distinct().join(parent.select(*above, "rate", "v", share.alias("_share")), [*above, "rate"])
+    weight = F.coalesce("n", F.lit(0)) * UNIT + F.floor(F.lit(float(prior * UNIT)) * F.col("_share")).cast("long")
+    return bins.join(own, [*level, "rate", "v"], "left").select(*level, "rate", "v", weight.alias("w"))
+
+
+def fences(blend: DataFrame, level: list[str]) -> DataFrame:
+    """`level` and the low and high fence of each rate, null where nothing above 0 was ever seen."""
     group = Window.partitionBy(*level, "rate")
-    run = merged.withColumn("_cum", F.sum("n").over(group.orderBy("v"))).withColumn("_all", F.sum("n").over(group))
-    run = run.withColumn("_zero", F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("n"))).over(group), F.lit(0)))
+    run = blend.withColumn("_cum", F.sum("w").over(group.orderBy("v"))).withColumn("_all", F.sum("w").over(group))
+    run = run.withColumn("_zero", F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("w"))).over(group), F.lit(0)))
     percentile = lambda k: F.min(F.when(F.col("_cum") * 100 >= F.col("_all") * k, F.col("v")))
     middle = F.min(F.when((F.col("v") > 0) & ((F.col("_cum") - F.col("_zero")) * 2 >= F.col("_all") - F.col("_zero")), F.col("v")))
-    found = run.groupBy(*level, "rate").agg(
-        F.max("_all").alias("docs"), (F.max("_all") - F.max("_zero")).alias("tail"), percentile(10).alias("p10"), percentile(25).alias("p25"), percentile(75).alias("p75"), percentile(90).alias("p90"), middle.alias("middle")
-    )
+    found = run.groupBy(*level, "rate").agg(percentile(10).alias("p10"), percentile(25).alias("p25"), percentile(75).alias("p75"), percentile(90).alias("p90"), middle.alias("middle"))
     top = lambda c: F.expr(f"if({c} < 128, {c}, {c} + shiftleft(1L, length(bin({c})) - 7) - 1)")
-    high = F.when(F.col("p90") > 0, top("p90") + 5 * (top("p90") - F.col("p75"))).when(F.col("tail") >= least_tail, top("middle"))
+    high = F.when(F.col("p90") > 0, top("p90") + 5 * (top("p90") - F.col("p75"))).otherwise(top("middle"))
     low = F.when(F.col("rate") == RATES[0], F.col("p10") - 5 * (top("p25") - F.col("p10"))).otherwise(F.lit(0))
-    enough = (F.col("docs") >= least) & high.isNotNull()
-    found = found.select(*level, "rate", F.when(enough, low).alias("low"), F.when(enough, high).alias("high"))
+    found = found.select(*level, "rate", F.when(high.isNotNull(), low).alias("low"), high.alias("high"))
     return found.groupBy(*level).agg(*(F.max(F.when(F.col("rate") == n, F.col(side))).alias(f"{n}_{side}") for n in RATES for side in ("low", "high")))
 
 
-def apply_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, least: int = 100, least_tail: int = 20) -> DataFrame:
+def apply_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, prior: int = PRIOR) -> DataFrame:
     """One row per row of `df`: its counts, base_failed and kept."""
     rows = df.select(F.col(id_col), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     counted = quality_counts(rows)
@@ -100,10 +114,10 @@ def apply_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     counted = materialize(counted.select("*", *(c.alias(n) for n, c in rates().items()), failed.alias("base_failed")), "quality-counts")
     sketch = materialize(sketches(counted), "quality-sketches")
     names = [f"{n}_{side}" for n in RATES for side in ("low", "high")]
-    of = lambda level, prefix, rows: fences(rows, level, least, least_tail).select(*level, *(F.col(n).alias(f"{prefix}_{n}") for n in names))
-    everything = of(["_one"], "a", sketch.withColumn("_one", F.lit(1))).drop("_one")
-    chosen = of(["lang", "source"], "s", sketch).join(of(["lang"], "l", sketch), "lang").crossJoin(everything)  # one row holds the fences of all documents
-    chosen = materialize(chosen.select("lang", "source", *(F.coalesce(f"s_{n}", f"l_{n}", f"a_{n}").alias(n) for n in names)), "fences")
+    of_all = blended(sketch.withColumn("_one", F.lit(1)), ["_one"])
+    of_lang = blended(sketch.withColumn("_one", F.lit(1)), ["_one", "lang"], of_all, prior)
+    of_source = blended(sketch, ["lang", "source"], of_lang.drop("_one"), prior)
+    chosen = materialize(fences(of_source, ["lang", "source"]).select("lang", "source", *names), "fences")
     inside = F.lit(True)
     for n in RATES:
         inside = inside & F.coalesce(F.col(n).between(F.col(f"{n}_low"), F.col(f"{n}_high")), F.lit(True))
@@ -143,30 +157,28 @@ m as (
 l as (
   select lang, source, rate, case when x < 128 then x else (x >> (length(bin(x)) - 7)::bigint) << (length(bin(x)) - 7)::bigint end v
   from (select lang, source, unnest([1, 2, 3, 4]) rate, unnest([r1, r2, r3, r4]) x from m where not base_failed)),
-lv as (
-  select lang || chr(1) || source k, rate, v, 1 lvl from l union all select lang, rate, v, 2 from l union all select '', rate, v, 3 from l),
-bins as (
-  select lvl, k, rate, v, count(*) n, v + case when v < 128 then 0 else (1::bigint << (length(bin(v)) - 7)::bigint) - 1 end top from lv group by lvl, k, rate, v),
+w3 as (
+  select rate, v, count(*) * 1000000 w from l group by rate, v),
+w2 as (
+  select k.lang, k.rate, w3.v, coalesce(n, 0) * 1000000 + floor(1e8::double * (w::double / (sum(w) over (partition by k.lang, k.rate))::double))::bigint w
+  from (select distinct lang, rate from l) k join w3 on w3.rate = k.rate left join (select lang, rate, v, count(*) n from l group by all) o on o.lang = k.lang and o.rate = k.rate and o.v = w3.v),
+w1 as (
+  select k.lang, k.source, k.rate, w2.v, coalesce(n, 0) * 1000000 + floor(1e8::double * (w::double / (sum(w) over (partition by k.lang, k.source, k.rate))::double))::bigint w
+  from (select distinct lang, source, rate from l) k join w2 on w2.lang = k.lang and w2.rate = k.rate
+  left join (select lang, source, rate, v, count(*) n from l group by all) o on o.lang = k.lang and o.source = k.source and o.rate = k.rate and o.v = w2.v),
 cum as (
-  select *, sum(n) over (partition by lvl, k, rate order by v) cum, sum(n) over (partition by lvl, k, rate) a,
-    coalesce(sum(n) filter (v = 0) over (partition by lvl, k, rate), 0) z from bins),
+  select *, v + case when v < 128 then 0 else (1::bigint << (length(bin(v)) - 7)::bigint) - 1 end top, sum(w) over (partition by lang, source, rate order by v) cum, sum(w) over (partition by lang, source, rate) a,
+    coalesce(sum(w) filter (v = 0) over (partition by lang, source, rate), 0) z from w1),
 q as (
-  select lvl, k, rate, max(a) docs, max(a) - max(z) tail, min(v) filter (cum * 100 >= a * 10) p10, min(top) filter (cum * 100 >= a * 25) t25,
+  select lang, source, rate, min(v) filter (cum * 100 >= a * 10) p10, min(top) filter (cum * 100 >= a * 25) t25,
     min(v) filter (cum * 100 >= a * 75) p75, min(v) filter (cum * 100 >= a * 90) p90, min(top) filter (cum * 100 >= a * 90) t90,
-    min(top) filter (v > 0 and (cum - z) * 2 >= a - z) mid from cum group by lvl, k, rate),
-f as (
-  select lvl, k, rate, lo, hi from (
-    select *, case when rate = 1 then p10 - 5 * (t25 - p10) else 0 end lo, case when p90 > 0 then t90 + 5 * (t90 - p75) when tail >= 20 then mid end hi from q)
-  where docs >= 100 and hi is not null),
+    min(top) filter (v > 0 and (cum - z) * 2 >= a - z) mid from cum group by lang, source, rate),
 g as (
-  select lang, source, r.rate rate, coalesce(s.lo, l.lo, e.lo) lo, coalesce(s.hi, l.hi, e.hi) hi
-  from (select distinct lang, source from m) cross join (select unnest([1, 2, 3, 4]) rate) r
-  left join f s on s.lvl = 1 and s.k = lang || chr(1) || source and s.rate = r.rate
-  left join f l on l.lvl = 2 and l.k = lang and l.rate = r.rate left join f e on e.lvl = 3 and e.rate = r.rate),
+  select lang, source, rate, case when rate = 1 then p10 - 5 * (t25 - p10) else 0 end lo, case when p90 > 0 then t90 + 5 * (t90 - p75) else mid end hi from q),
 p as (
   select lang, source, max(lo) filter (rate = 1) l1, max(hi) filter (rate = 1) h1, max(hi) filter (rate = 2) h2, max(hi) filter (rate = 3) h3,
     max(hi) filter (rate = 4) h4 from g group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(r1 between l1 and h1, true) and coalesce(r2 <= h2, true) and coalesce(r3 <= h3, true) and coalesce(r4 <= h4, true) kept
-from m join p using (lang, source)
+from m left join p using (lang, source)
 """
