@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks as numeric
+from ..functions.percentiles import exact_percentiles
 from ..functions.stats import normal_two_sided
 from . import blocks
 from .calendar import make_tag, parse_tag
@@ -149,8 +150,13 @@ def pairs_of_maps(long: DataFrame, cell: list[str], name: str, label: str, group
     return a.join(b, [*g, *cell]).where("map_a < map_b")
 
 
-def kappa_pairs(long: DataFrame, cell: list[str], name: str, label: str, group: list[str] | None = None, directed: bool = False) -> DataFrame:
-    """Agreement of every pair of maps, in one pass; of cells with a direction in either map only, if `directed`."""
+def kappa_pairs(long: DataFrame, cell: list[str], name: str, label: str, group: list[str] | None = None, directed: bool = False, legacy_missing_as_neutral: bool = False) -> DataFrame:
+    """Agreement of every pair of maps, in one pass; of cells with a direction in either map only, if `directed`.
+
+    Cells without a label in either map are left out, or are neutral in it with `legacy_missing_as_neutral`.
+    """
+    if legacy_missing_as_neutral:
+        long = long.withColumn(label, F.coalesce(F.col(label), F.lit(0)))
     by = [*(group or []), "map_a", "map_b"]
     pairs = pairs_of_maps(long, cell, name, label, group)
     return kappa(contingency(non_neutral(pairs, "a", "b") if directed else pairs, by, "a", "b"), by)
@@ -217,10 +223,13 @@ def class_by_flag(x: Column, flag: Column) -> Column:
 
 
 def class_by_quantile(df: DataFrame, group: list[str], x: str, out: str, q: float = 0.975) -> DataFrame:
-    """The sign where |x| exceeds its quantile within the group."""
-    limit = df.groupBy(*group).agg(F.percentile(F.abs(x), F.lit(q)).alias("_limit"))
-    joined = df.join(F.broadcast(limit), group) if group else df.join(F.broadcast(limit))
-    return joined.withColumn(out, F.when(F.col(x).isNull(), F.lit(None).cast("int")).when(F.abs(x) > F.col("_limit"), F.signum(x).cast("int")).otherwise(0)).drop("_limit")
+    """The sign where |x| exceeds its quantile within the group (one of few: an indicator, a region)."""
+    limit = exact_percentiles(df, group, {x: F.abs(x)}, [q]).select(*(F.col(g).alias(f"_of_{g}") for g in group), F.col("value").alias("_limit"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    joined = df.join(F.broadcast(limit), same, "left")  # as many rows as groups, which the driver has held
+    return joined.withColumn(out, F.when(F.col(x).isNull(), F.lit(None).cast("int")).when(F.abs(x) > F.col("_limit"), F.signum(x).cast("int")).otherwise(0)).drop("_limit", *(f"_of_{g}" for g in group))
 
 
 def non_neutral(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -230,8 +239,12 @@ def non_neutral(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def symmetric_limit(df: DataFrame, group: list[str], x: str, q: float = 0.995) -> DataFrame:
     """Quantile of |x|, its maximum where that is 0, or 1."""
-    size = F.abs(x)
-    return df.groupBy(*group).agg(F.coalesce(F.nullif(F.percentile(size, F.lit(q)), F.lit(0.0)), F.nullif(F.max(size), F.lit(0.0)), F.lit(1.0)).alias("limit"))
+    found = exact_percentiles(df, group, {x: F.abs(x)}, [q, 1.0])
+    of = lambda p: F.max(F.when(F.col("q") == p, F.col("value")))
+    known = found.groupBy(*group).agg(of(q).alias("_q"), of(1.0).alias("_top"))
+    names = df.select(*group).distinct() if group else df.sparkSession.range(1).select()
+    joined = names.join(F.broadcast(known), group, "left") if group else known
+    return joined.select(*group, F.coalesce(F.nullif("_q", F.lit(0.0)), F.nullif("_top", F.lit(0.0)), F.lit(1.0)).alias("limit"))
 
 
 def significant_map(tau: Column, p: Column, alpha: float = 0.05) -> Column:

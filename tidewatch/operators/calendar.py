@@ -97,10 +97,10 @@ def trim_end(df: DataFrame, key: list[str], months: int = 30, time: str = "time"
     return marked.where("_keep or not _any").drop("_keep", "_any")
 
 
-def time_of_index(df: DataFrame, axis: DataFrame, index: str, out: str, key: list[str] | None = None) -> DataFrame:
-    """Date at an index by the axis table (key, t, time); NULL outside it."""
+def time_of_index(df: DataFrame, axis: DataFrame, index: str, out: str, key: list[str] | None = None, legacy_offset: bool = False) -> DataFrame:
+    """Date at an index by the axis table (key, t, time); NULL outside it. `legacy_offset`: indices count from 1, but are looked up as if from 0, so dates are a step late."""
     on = [*(key or []), index]
-    return df.join(axis.select(*(key or []), F.col("t").alias(index), F.col("time").alias(out)), on, "left")
+    return df.join(axis.select(*(key or []), (F.col("t") - int(legacy_offset)).alias(index), F.col("time").alias(out)), on, "left")
 
 
 def time_by_step(df: DataFrame, key: list[str], index: Column, time: str = "time") -> DataFrame:

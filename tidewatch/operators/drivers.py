@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import calendar, regrid, trend
+from ..functions.percentiles import exact_percentiles
 from ..sources import tables
 
 
@@ -92,13 +93,13 @@ def out_of_range(df: DataFrame, columns: list[str], limit: float = 1.0) -> DataF
 
 
 def describe(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.01, 0.5, 0.99)) -> DataFrame:
-    """Count, mean, std, min, quantiles (exact) and max of each column, in long form."""
-    names = ["count", "mean", "std", "min", *(f"p{round(q * 100):02d}" for q in quantiles), "max"]
-    structs = []
-    for c in columns:
-        p = F.percentile(c, F.array(*map(F.lit, quantiles)))
-        structs.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), *(F.get(p, i).alias(n) for i, n in enumerate(names[4:-1])), F.max(c).cast("double").alias("max")))
-    return df.agg(F.array(*structs).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*")
+    """Count, mean, std, min, quantiles (exact, by distributed selection) and max of each column, in long form."""
+    structs = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in columns]
+    plain = df.agg(F.array(*structs).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*")
+    names = [f"p{round(q * 100):02d}" for q in quantiles]
+    exact = exact_percentiles(df, [], {c: F.col(c) for c in columns}, list(quantiles))
+    wide = exact.groupBy("column").agg(*(F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for q, n in zip(quantiles, names, strict=True)))
+    return plain.join(F.broadcast(wide), "column", "left").select("column", "count", "mean", "std", "min", *names, "max")  # a row for each column
 
 
 def target_table(full: DataFrame, positive: DataFrame, negative: DataFrame, key: list[str], names: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import draw
 from .regrid import within
 from .rolling import INDICATORS, indicators
 from .trend import kendall
@@ -53,7 +54,7 @@ def pseudo_breaks(keys: DataFrame, pool: DataFrame, key: list[str], fallback: Co
     run = Window.orderBy("cut_date")  # one row for each step of the axis
     ranges = counts.withColumn("_to", F.sum("_n").over(run)).withColumn("_from", F.col("_to") - F.col("_n")).drop("_n")
     size = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_size"))
-    drawn = keys.join(F.broadcast(size)).withColumn("_draw", F.when(F.col("_size") > 0, F.pmod(F.xxhash64(F.lit(seed), *key), F.col("_size"))))
+    drawn = keys.join(F.broadcast(size)).withColumn("_draw", F.when(F.col("_size") > 0, F.pmod(draw(seed, *key), F.col("_size"))))
     found = within(drawn, ranges, "_draw", "_from", "_to")
     return found.select(*keys.columns, F.coalesce("cut_date", fallback).alias("cut_date"))
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import TOP, draw
+from ..functions.percentiles import exact_percentiles
 from ..sources.storage import shared_folder
 
 
@@ -17,10 +19,9 @@ def balanced_sample(df: DataFrame, key: list[str], per_class: int, label: str =
 
     A cut on the hash that keeps somewhat more than asked for comes before the exact ranking, so the window sees few rows.
     """
-    h = F.xxhash64(F.lit(seed), *key)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    marked = df.join(F.broadcast(sizes), label).withColumn("_h", F.pmod(h, F.lit(1 << 40)))
-    near = marked.where(F.col("_h") < F.lit(float(1 << 40)) * (per_class + 10 * F.sqrt(F.lit(float(per_class))) + 50) / F.col("_n"))
+    marked = df.join(F.broadcast(sizes), label).withColumn("_h", draw(seed, *key))
+    near = marked.where(F.col("_h") < F.lit(float(TOP)) * (per_class + 10 * F.sqrt(F.lit(float(per_class))) + 50) / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", *key))
     return near.withColumn("_r", rank).where(F.col("_r") <= per_class).select(*df.columns)
 
@@ -30,15 +31,14 @@ def spatial_folds(df: DataFrame, folds: int = 5, block: float = 10.0, seed: int
     at = lambda c: F.floor(F.col(c) / block).cast("long")
     d = df.withColumn("_bi", at("lat")).withColumn("_bj", at("lon"))
     blocks = d.select("_bi", "_bj").distinct()
-    order = [F.xxhash64(F.lit(seed), "_bi", "_bj"), "_bi", "_bj"] if seed is not None else ["_bi", "_bj"]
+    order = [draw(seed, "_bi", "_bj"), "_bi", "_bj"] if seed is not None else ["_bi", "_bj"]
     numbered = blocks.withColumn("fold", ((F.row_number().over(Window.orderBy(*order)) - 1) % folds).cast("int"))  # at most 648 blocks of ten degrees
     return d.join(F.broadcast(numbered), ["_bi", "_bj"]).drop("_bi", "_bj")
 
 
 def stratified_folds(df: DataFrame, key: list[str], label: str = "target", folds: int = 5, seed: int = 42) -> DataFrame:
     """K4: folds that share out each label evenly: rows are ranked by hash inside slices of the hash, not all in one window."""
-    h = F.xxhash64(F.lit(seed), *key)
-    d = df.withColumn("_slice", F.pmod(F.shiftright(h, 20), F.lit(64))).withColumn("_h", h)
+    d = df.withColumn("_h", draw(seed, *key)).withColumn("_slice", F.pmod(F.shiftright("_h", 20), F.lit(64)))
     w = Window.partitionBy(label, "_slice").orderBy("_h", *key)
     return d.withColumn("fold", F.pmod(F.row_number().over(w) - 1 + F.col("_slice"), F.lit(folds)).cast("int")).drop("_slice", "_h")
 
@@ -150,7 +150,8 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def quantile_grid(df: DataFrame, feature: str, points: int = 30, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Distinct quantiles of a feature, `points` at most."""
     qs = [low + (high - low) * i / (points - 1) for i in range(points)]
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(feature, F.array(*map(F.lit, qs))))).alias("_g")).select(F.posexplode("_g").alias("k", "at"))
+    found = exact_percentiles(df, [], {feature: F.col(feature)}, qs)
+    return found.agg(F.array_sort(F.collect_set("value")).alias("_g")).select(F.posexplode("_g").alias("k", "at"))
 
 
 def expectations(df: DataFrame, model, feature: str, key: list[str], points: int = 30) -> DataFrame:
@@ -299,7 +300,7 @@ def attribution_summary(phi: DataFrame, group: list[str], top: int | None = None
 
 def dependence(df: DataFrame, x: str, phi: str, bins: int = 10, least: int = 20) -> DataFrame:
     """Median and 5-95 % range of the attribution in quantile bins of a feature that hold `least` rows."""
-    edges = df.agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_e"))
+    edges = exact_percentiles(df, [], {x: F.col(x)}, [i / bins for i in range(1, bins)]).agg(F.sort_array(F.collect_list("value")).alias("_e"))
     binned = df.where(F.col(x).isNotNull()).join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col(x))))
     q = lambda v: F.percentile(phi, F.lit(v))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.median(x).alias("x_median"), q(0.5).alias("median"), q(0.05).alias("p05"), q(0.95).alias("p95")).where(F.col("n") >= least)

@@ -8,7 +8,7 @@ from ..functions import stats
 from ..operators import calendar as cal
 from ..operators import changepoint as cp
 from ..operators import masking
-from .inputs import S1, S2, query, rounded, s1, s2
+from .inputs import S1, S2, query, rounded, s1, s2, draw_sql
 
 _DENSE1 = f"""{S1}, ends as (select min(time) a, max(time) b from s1), axis as (select unnest(generate_series(a, b, interval 7 day))::date as time from ends),
 dense as (select k, time, s1.value from (select distinct k from s1) cross join axis left join s1 using (k, time))"""
@@ -135,7 +135,9 @@ def negative_pool(spark, d):
     return masking.combined_negative_pool(_break_table(spark, d), ["k"], ["a", "b"])
 
 
-@query()
+@query(f"""with {_BREAKS}, pool as (select a_date cut_date from bt where a_pos), c as (select cut_date, count(*) n from pool group by 1), ra as (select cut_date, sum(n) over (order by cut_date) hi, sum(n) over (order by cut_date) - n lo from c),
+ke as (select k, t0, t1, {draw_sql(42, "bt.k")} % nullif((select count(*) from pool), 0) dr from bt where not coalesce(a_pos, false) and k in (select k from s2 where value is not null))
+select k, t0, t1, coalesce(cut_date, greatest(t0 + interval 12 month, t0 + cast(floor(date_diff('day', t0, t1) * 0.7::double) as integer)))::date cut_date from ke left join ra on dr >= lo and dr < hi""")
 def pseudo_breaks(spark, d):
     b = _break_table(spark, d)
     keys = masking.negatives(s2(spark, d), masking.positive_cuts(b, ["k"], ["a"]), ["k"]).join(b.select("k", "t0", "t1"), "k")

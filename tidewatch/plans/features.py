@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import drivers, model
-from .inputs import CELLS, CUSTOMER_CELLS, S1, S2, SCORED, cells, customer_cells, query, rounded, s1, s2, scored, table
+from .inputs import CELLS, CUSTOMER_CELLS, S1, S2, SCORED, cells, customer_cells, draw_sql, query, rounded, s1, s2, scored, table
 
 
 @query(f"with {S1} select k, round(avg(value), 6) mean, round(stddev_pop(value), 6) std, round(regr_slope(value, date_diff('day', date '1996-01-01', time) / cast(30.44 as double)), 6) trend from s1 where time between date '1996-01-01' and date '1999-12-31' group by 1")
@@ -39,10 +39,10 @@ def aridity_driver(spark, d):
     return rounded(drivers.aridity_driver(tp, pet, ["k"]))
 
 
-@query(f"with {S2}, i as (select time, round(sum(value), 5) total from s2 where k % 2 = 0 group by 1) select k, round(corr(value, total), 6) corr from s2 join i using (time) group by 1")
+@query(f"with {S2}, i as (select time, round(sum(value), 5) total from s2 group by 1) select k, round(corr(value, total), 6) corr from s2 join i using (time) group by 1")
 def index_driver(spark, d):
     s = s2(spark, d)
-    index = s.where("k % 2 = 0").groupBy("time").agg(F.round(F.sum("value"), 5).alias("value"))
+    index = s.groupBy("time").agg(F.round(F.sum("value"), 5).alias("value"))
     return rounded(drivers.index_driver(s, index, ["k"]))
 
 
@@ -90,10 +90,11 @@ def described_columns(spark, d):
     return rounded(drivers.describe(table(spark, d, "part"), ["p_size", "p_retailprice"]))
 
 
-@query(f"with {CELLS} select k, k % 4 = 1 target, case when k % 4 = 1 then value + 1 else value - 1 end as value from cells where k % 4 in (1, 2)")
+@query(f"with {CELLS} select k, value > 5000 target, case when value > 5000 then value + 1 else value - 1 end as value from cells where value is not null")
 def target_table(spark, d):
+    """Cells of high value are positives, the others negatives."""
     c = cells(spark, d).select("k", "value")
-    return drivers.target_table(c, c.where("k % 4 = 1").withColumn("value", F.col("value") + 1), c.where("k % 4 = 2").withColumn("value", F.col("value") - 1), ["k"], ["value"])
+    return drivers.target_table(c, c.where("value > 5000").withColumn("value", F.col("value") + 1), c.where("value <= 5000").withColumn("value", F.col("value") - 1), ["k"], ["value"])
 
 
 # --- classifier
@@ -158,16 +159,27 @@ def class_weight(spark, d):
     return model.class_weight(scored(spark, d).withColumn("target", F.col("y") == 1)).select("key", "weight")
 
 
-@query()
+@query(f"with {SCORED} select * from scored qualify row_number() over (partition by y order by {draw_sql(42, 'key')}, key) <= 40")
 def balanced_sample(spark, d):
     return model.balanced_sample(scored(spark, d), ["key"], 40, "y")
 
 
-@query()
+@query(f"with {SCORED} select * from scored qualify row_number() over (partition by fold order by {draw_sql(42, 'key')}, key) <= 15")
+def sample_by_group(spark, d):
+    """As many rows of each fold in the role of a zone."""
+    return model.balanced_sample(scored(spark, d), ["key"], 15, "fold")
+
+
+@query(f"with {SCORED}, h as (select *, {draw_sql(42, 'key')} h from scored), r as (select *, (h >> 20) % 64 sl from h) select key, y, p, cast((row_number() over (partition by y, sl order by h, key) - 1 + sl) % 5 as integer) fold from r")
 def stratified_folds(spark, d):
     return model.stratified_folds(scored(spark, d).drop("fold"), ["key"], "y")
 
 
+@query(f"with {CELLS}, b as (select distinct cast(floor(lat / 10) as bigint) i, cast(floor(lon / 10) as bigint) j from cells), n as (select i, j, (row_number() over (order by {draw_sql(42, 'i', 'j')}, i, j) - 1) % 5 f from b) select k, cast(f as integer) fold from cells join n on i = floor(lat / 10) and j = floor(lon / 10)")
+def shuffled_spatial_folds(spark, d):
+    return model.spatial_folds(cells(spark, d)).select("k", "fold")
+
+
 def _features(spark, d):
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("key"), (F.col("label") < 5).alias("target"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)), (F.col("vec_id") % 3).cast("string").alias("soil"), (F.col("vec_id") % 3).cast("int").alias("fold"))

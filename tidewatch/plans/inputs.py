@@ -114,3 +114,8 @@ def tolerant_windows(rows: str, by: str) -> str:
 mo as (select {by}, t, count(v) n, avg(v) m, var_samp(v) vs, nullif(stddev_samp(v), 0) s from win group by all),
 su as (select {by}, t, w, n, vs, s, coalesce(sum((v - m) * (v1 - m)), 0) num, avg(((v - m) / s) ** 3) sk, avg(((v - m) / s) ** 4) ku, sum(abs(v - v1)) a1, sum(abs(v - v2)) a2 from win join mo using ({by}, t) where n > 2 group by all),
 ind as (select {by}, t, coalesce(s, 0) std, num / (vs * (w - 1)) ac1, sk skew, ku kurt, case when a1 > 0 and a2 > 0 then greatest(1, least(2, 2 - (ln(a2 / (2 * (w - 2))) - ln(a1 / (2 * (w - 1)))) / ln(2))) end fd from su)"""
+
+
+def draw_sql(seed: int, *key: str) -> str:
+    """`functions.hashing.draw` in SQL."""
+    return f"('0x' || substr(md5('{seed}' || {' || '.join(f"""'|' || {k}""" for k in key)}), 1, 15))::bigint"

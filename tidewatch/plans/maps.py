@@ -416,6 +416,25 @@ def directed_agreement(spark, d):
     return rounded(ag.pair_table(ag.kappa_pairs(lab, ["k"], "indicator", "label", ["region"], directed=True), "region", list(NAMES)))
 
 
+_METHODS = ("delta", "flag", "p", "tau")
+_METHOD_PAIRS = [f"{a}_{b}" for a in _METHODS for b in _METHODS if a < b]
+_AGREED = f"""{_LONG}, lim as (select indicator, quantile_cont(abs(tau), 0.8) lim from long group by 1), lab as (select k, indicator, unnest(['delta', 'flag', 'p', 'tau']) m, unnest([cast(case when abs(tau) > lim then sign(tau) else 0 end as integer), cast(case when pval < 0.07 then sign(tau) else 0 end as integer),
+  cast(case when pval < 0.05 then sign(tau) else 0 end as integer), {_LABEL}]) l from long join lim using (indicator)), t as (select a.indicator, a.m map_a, b.m map_b, a.l a, b.l b, cast(count(*) as double) n from lab a join lab b on a.k = b.k and a.indicator = b.indicator and a.m < b.m where a.l <> 0 or b.l <> 0 group by all),
+g as (select indicator, map_a, map_b, sum(n) n, sum(n * (1 - abs(a - b) / 2)) / sum(n) pw from t group by all), ma as (select indicator, map_a, map_b, a, sum(n) s from t group by all), mb as (select indicator, map_a, map_b, b, sum(n) s from t group by all),
+e as (select ma.indicator, ma.map_a, ma.map_b, sum(ma.s * mb.s * (1 - abs(a - b) / 2)) ew from ma join mb on ma.indicator = mb.indicator and ma.map_a = mb.map_a and ma.map_b = mb.map_b group by all),
+kw as (select indicator, map_a || '_' || map_b pair, (pw - ew / n / n) / (1 - ew / n / n) kappa from g join e using (indicator, map_a, map_b))"""
+
+
+@query(f"with {_AGREED} select indicator, " + ", ".join(f"round(max(kappa) filter (pair = '{p}'), 6) {p}" for p in _METHOD_PAIRS) + " from kw group by 1")
+def methods_agreement(spark, d):
+    """Weighted kappa of every two of four methods that give a cell its class, for each of five indicators, on cells with a direction in either."""
+    long = ag.class_by_quantile(_long(spark, d), ["indicator"], "tau", "delta", 0.8)
+    tau, p = F.col("tau"), F.col("pval")
+    long = long.withColumns({"flag": ag.class_by_flag(tau, (p < 0.07).cast("int")), "p": ag.class_by_p(tau, p), "tau": ag.tau_label(tau, p)})
+    labels = long.unpivot(["k", "indicator"], list(_METHODS), "method", "label")
+    return rounded(ag.pair_table(ag.kappa_pairs(labels, ["k"], "method", "label", ["indicator"], directed=True), "indicator", list(_METHODS)))
+
+
 def _sweep_sql(then: str) -> str:
     """Twelve settings without STL, by definition: windows gathered point by point, trends from all pairs; up to `t` (k, freq, win, diff, tag, indicator, n, tau, s, z)."""
     base = {"W": ("time", "7 day", 7), "MS": ("cast(date_trunc('month', time) as date)", "1 month", 0)}

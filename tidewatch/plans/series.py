@@ -33,10 +33,27 @@ def merge_variables(spark, d):
     return tables.merge_variables(long, ["k"], "o_orderstatus", "v", ["F", "O", "P"]).withColumnsRenamed({"F": "f", "O": "o", "P": "p"})
 
 
-@query("select c_custkey k, c_mktsegment segment from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey k, c_mktsegment segment from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def unfinished_keys(spark, d):
+    """Customers for whom no order is in the state that would make them done."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
-    return tables.unfinished(c, table(spark, d, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    return tables.unfinished(c, table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), ["k"])
+
+
+@query("select o_custkey k, count(*) n, round(sum(o_totalprice), 2) total from orders group by 1")
+def resumed_job(spark, d):
+    """Totals by customer in a job that first did the customers with an urgent order, then the rest, each key once."""
+    import uuid
+
+    from ..sources.storage import shared_folder
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderpriority", "o_totalprice")
+    path = f"{shared_folder(spark)}/resumed-{uuid.uuid4().hex}"
+    job = lambda part: part.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    urgent = o.where("o_orderpriority = '1-URGENT'").select("k").distinct()
+    tables.resume(o.join(urgent, "k", "left_semi"), path, ["k"], job, blocks=16, at_once=8)
+    tables.resume(o, path, ["k"], job, blocks=16, at_once=8)
+    return tables.results(spark, path, ["k"], "k " + dict(o.dtypes)["k"])
 
 
 _WIDE = ", ".join(f"round(sum(o_totalprice) filter (month(o_orderdate) = {i}), 2) m{i}" for i in range(1, 13))
