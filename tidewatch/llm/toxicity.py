@@ -235,26 +235,28 @@ def best_threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> fl
     """Where a cut between bins of log odds makes fewest errors; the middle of the longest run of such places."""
     places = np.arange(int(-MOST * BINS), int(MOST * BINS) + 1)
     wrong = np.array([toxic[bins < p].sum() + clean[bins >= p].sum() for p in places])
-    least = np.concatenate(([False], wrong == wrong.min(), [False])).astype(int)
+    least = np.concatenate(([False], wrong <= wrong.min() * (1 + 1e-9), [False])).astype(int)
     begins, ends = np.flatnonzero(np.diff(least) == 1), np.flatnonzero(np.diff(least) == -1) - 1
     longest = int((ends - begins).argmax())
     return float(1 / (1 + np.exp(-(places[begins[longest]] + places[ends[longest]]) / 2 / BINS)))
 
 
-def thresholds(counts: list[tuple[str, int, int, int]], cut: float, least: int = 20) -> tuple[float, dict[str, float]]:
-    """The common threshold and those of languages with `least` rows of both labels, from rows (language, label, bin, count)."""
+def thresholds(counts: list[tuple[str, int, int, int]], cut: float, prior: int = 200) -> tuple[float, dict[str, float]]:
+    """The common threshold and that of each language, from rows (language, label, bin, count).
+
+    A language's counts have those of all languages added, scaled to `prior` rows: the fewer labelled rows it has, the
+    nearer its threshold lies to the common one, and there is no number at which it gets one of its own.
+    """
     table = np.array([(y, b, n) for _, y, b, n in counts], np.int64).reshape(-1, 3)
     named = np.array([x for x, *_ in counts], object)
+    if len(set(table[:, 0])) < 2:
+        return cut, {}
+    scaled = table[:, 2] * (prior / table[:, 2].sum())
 
-    def of(rows: np.ndarray) -> float:
-        return best_threshold(rows[:, 1], rows[:, 2] * (rows[:, 0] == 1), rows[:, 2] * (rows[:, 0] == 0))
+    def of(n: np.ndarray) -> float:
+        return best_threshold(table[:, 1], n * (table[:, 0] == 1), n * (table[:, 0] == 0))
 
-    found = {}
-    for lang in sorted(set(named)):
-        rows = table[named == lang]
-        if min(rows[rows[:, 0] == y, 2].sum() for y in (0, 1)) >= least:
-            found[lang] = of(rows)
-    return (of(table) if len(set(table[:, 0])) == 2 else cut), found
+    return of(table[:, 2]), {lang: of(table[:, 2] * (named == lang) + scaled) for lang in sorted(set(named))}
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_class: tuple[int, int] = (3000, 2000), sample_chars: int = 40_000_000, cut: float = 0.3) -> Model:
