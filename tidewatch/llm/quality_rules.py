@@ -81,7 +81,7 @@ def blended(sketch: DataFrame, level: list[str], parent: DataFrame | None = None
 
     So every group has its own thresholds: a small one nearly those above it, a large one nearly its own, with no size at which that turns.
     """
-    own = sketch.groupBy(*level, "rate", "v").agg(F.sum("n").alias("n"))
+    own = sketch.select(*level, "rate", "v", "n") if set(level) | {"rate", "v", "n"} == set(sketch.columns) else sketch.groupBy(*level, "rate", "v").agg(F.sum("n").alias("n"))
     if parent is None:
         return own.select(*level, "rate", "v", (F.col("n") * UNIT).alias("w"))
     above = level[:-1]
@@ -114,9 +114,9 @@ def apply_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     counted = materialize(counted.select("*", *(c.alias(n) for n, c in rates().items()), failed.alias("base_failed")), "quality-counts")
     sketch = materialize(sketches(counted), "quality-sketches")
     names = [f"{n}_{side}" for n in RATES for side in ("low", "high")]
-    of_all = blended(sketch.withColumn("_one", F.lit(1)), ["_one"])
-    of_lang = blended(sketch.withColumn("_one", F.lit(1)), ["_one", "lang"], of_all, prior)
-    of_source = blended(sketch, ["lang", "source"], of_lang.drop("_one"), prior)
+    by_lang = materialize(sketch.groupBy("lang", "rate", "v").agg(F.sum("n").alias("n")).withColumn("_one", F.lit(1)), "language-sketches")
+    of_lang = materialize(blended(by_lang, ["_one", "lang"], blended(by_lang, ["_one"]), prior).drop("_one"), "language-blends")
+    of_source = materialize(blended(sketch, ["lang", "source"], of_lang, prior), "source-blends")
     chosen = materialize(fences(of_source, ["lang", "source"]).select("lang", "source", *names), "fences")
     inside = F.lit(True)
     for n in RATES:
