@@ -63,7 +63,7 @@ def fill_spline(df: DataFrame, key: list[str], time: str = "t", value: str = "va
     def filled(table, starts):
         import pyarrow as pa
 
-        x, y = blocks.numbers(table, time), blocks.numbers(table, value)
+        x, y = blocks.numbers(table, time), blocks.numbers(table, value).copy()
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(y)], strict=True):
             y[i:j] = _without_gaps(x[i:j], y[i:j])
         return table.set_column(table.schema.get_field_index(value), value, pa.array(y, from_pandas=True))

@@ -131,10 +131,10 @@ def fill_mean(key: list[str], value: str = "value") -> Column:
 
 def fill_linear(df: DataFrame, key: list[str], time: str = "t", value: str = "value", out: str = "filled") -> DataFrame:
     """Gaps between two values are interpolated along time; before the first and after the last the series mean."""
-    order = Window.partitionBy(*key).orderBy(time)
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    # both frames grow, one in either order: a frame that shrinks is gone through anew for every row
+    before, after = (Window.partitionBy(*key).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (time, F.desc(time)))
     at = F.when(F.col(value).isNotNull(), F.col(time))
-    df = df.withColumns({"_v0": F.last(value, True).over(before), "_t0": F.last(at, True).over(before), "_v1": F.first(value, True).over(after), "_t1": F.first(at, True).over(after)})
+    df = df.withColumns({"_v0": F.last(value, True).over(before), "_t0": F.last(at, True).over(before), "_v1": F.last(value, True).over(after), "_t1": F.last(at, True).over(after)})
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.try_divide((F.col(time) - F.col("_t0")).cast("double"), (F.col("_t1") - F.col("_t0")).cast("double"))
     filled = F.coalesce(F.col(value), line, F.avg(value).over(Window.partitionBy(*key)))
     return df.withColumn(out, filled).drop("_v0", "_t0", "_v1", "_t1")
@@ -147,10 +147,9 @@ def interpolate_onto(df: DataFrame, axis: DataFrame, key: list[str], time: str =
     """
     known = df.where(F.col(value).isNotNull()).select(*key, time, F.col(value).cast("double").alias("_v"), F.lit(False).alias("_asked"))
     both = known.unionByName(axis.select(*key, time, F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_asked")))
-    order = Window.partitionBy(*key).orderBy(time)
-    before, after = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
+    before, after = (Window.partitionBy(*key).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col(time), F.desc(time)))
     point = F.when(F.col("_v").isNotNull(), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
-    both = both.withColumns({"_a": F.last(point, True).over(before), "_b": F.first(point, True).over(after)}).where("_asked")
+    both = both.withColumns({"_a": F.last(point, True).over(before), "_b": F.last(point, True).over(after)}).where("_asked")
     kind = dict(df.dtypes)[time]
     number = lambda c: (F.unix_date(c) if kind == "date" else F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c).cast("double")
     share = F.coalesce(F.try_divide(number(F.col(time)) - number(F.col("_a.t")), number(F.col("_b.t")) - number(F.col("_a.t"))), F.lit(0.0))

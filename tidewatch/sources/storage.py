@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: where a session on one machine keeps the name of the folder that was made for it
+_MADE = "spark.tidewatch.scratch"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or, where that is not set, the one given to `sparkContext.setCheckpointDir`."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder named by spark.checkpoint.dir. Where that is not set, a temporary one if all tasks run in this process, as in
+    tests; on a cluster an error, as executors do not see each other's folders."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_MADE, None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set(_MADE, folder)
     return folder.rstrip("/")
 
 
