@@ -71,7 +71,7 @@ def harmonise(df: DataFrame, prefix: str, grid: DataFrame | None = None, drop: t
     df = df.groupBy("lat", "lon").agg(*(F.avg(c).alias(f"{prefix}_{c}") for c in columns))
     if grid is None:
         return df
-    return regrid.merge_maps([regrid.bilinear(grid.select("lat", "lon"), df, f"{prefix}_{c}") for c in columns], ["lat", "lon"])
+    return regrid.merge_maps([regrid.bilinear(grid.select("lat", "lon"), regrid.complete_grid(df, f"{prefix}_{c}"), f"{prefix}_{c}") for c in columns], ["lat", "lon"])
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:

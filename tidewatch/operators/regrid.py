@@ -126,7 +126,7 @@ def common_grid(maps: list[DataFrame], step: float, value: str = "value") -> Dat
     boxes = reduce(lambda a, b: a.unionByName(b), (m.select("lat", "lon") for m in maps)).agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("a", F.min), ("b", F.max))))
     axis = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col(f"b_{c}") - F.col(f"a_{c}")) / step + 1e-9).cast("int")), lambda i: F.col(f"a_{c}") + i * step)).alias(c)
     grid = boxes.select(axis("lat"), "a_lon", "b_lon").select("lat", axis("lon"))
-    each = [bilinear(grid, m.select("lat", "lon", value), value) for m in maps]
+    each = [bilinear(grid, complete_grid(m, value), value) for m in maps]
     return reduce(lambda a, b: a.unionByName(b), each).where(F.col(value).isNotNull()).groupBy("lat", "lon").agg(F.avg(value).alias(value))
 
 

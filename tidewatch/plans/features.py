@@ -64,6 +64,20 @@ def harmonised_predictor(spark, d):
     return rounded(drivers.harmonise(c, "acct", drop=("extra",)))
 
 
+@query(f"""with {CUSTOMER_CELLS}, g as (select cast(floor(lat / 10) * 10 as double) lat, cast(floor(lon / 10) * 10 as double) lon, avg(value) v from ccells group by 1, 2), la as (select distinct lat from g), lo as (select distinct lon from g),
+w as (select la.lat, lo.lon, v from la cross join lo left join g on g.lat = la.lat and g.lon = lo.lon), n as (select lat, lon, v, lead(lon) over (partition by lat order by lon) lon1, lead(v) over (partition by lat order by lon) v1 from w)
+select lat, lon + 2.5 lon, round(0.75::double * v + 0.25::double * v1, 6) acct_value from n where lon1 = lon + 10""")
+def regridded_predictor(spark, d):
+    """A predictor on a coarse map, brought to a finer one: a quarter of the way to each eastern neighbour."""
+    c = customer_cells(spark, d)
+    at = lambda x: (F.floor(F.col(x) / 10) * 10).cast("double")
+    coarse = c.select(at("lat").alias("latitude"), at("lon").alias("longitude"), "value")
+    points = coarse.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    lats, lons = points.select("lat").distinct(), points.select("lon").distinct()
+    pairs = lons.select(F.col("lon").alias("_o")).join(lons.withColumn("_o", F.col("lon") - 10).select("_o"), "_o")
+    return rounded(drivers.harmonise(coarse, "acct", grid=lats.crossJoin(pairs.select((F.col("_o") + 2.5).alias("lon")))))
+
+
 @query("select s_suppkey k, s_acctbal balance from supplier")
 def without_constant_columns(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("balance"), F.lit(1.0).alias("one"), F.lit(None).cast("double").alias("nothing"))
@@ -207,6 +221,13 @@ def partial_dependence(spark, d):
     return rounded(model.partial_dependence(f, model.fit(f, _X, [], **_SMALL), "x0", ["key"], points=10))
 
 
+@query()
+def individual_expectations(spark, d):
+    """Score of each row as one of its features moves over the feature's range."""
+    f = _features(spark, d)
+    return rounded(model.expectations(f, model.fit(f, _X, [], **_SMALL), "x0", ["key"], points=5))
+
+
 @query()
 def attribution(spark, d):
     """Exact contributions of all features to the log odds of every row."""
