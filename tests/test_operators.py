@@ -410,3 +410,22 @@ def test_theil_sen_against_all_pairs(spark):
     slopes = [(v2 - v1) / (t2 - t1) for (k1, t1, v1), (k2, t2, v2) in itertools.combinations(rows[:7], 2) if t2 != t1]
     assert found["a"]["slope"] == pytest.approx(statistics.median(slopes)) and found["a"]["lo"] in [pytest.approx(s) for s in slopes]
     assert found["b"]["slope"] is None and found["c"]["slope"] is None
+
+
+def test_legacy_flags(spark):
+    """Indices from 1 looked up as if from 0 give the next step's date; missing labels may count as neutral."""
+    from tidewatch.operators import agreement, calendar
+
+    axis = spark.createDataFrame([(0, "2001-01-07"), (1, "2001-01-14"), (2, "2001-01-21")], "t int, d string").select("t", F.to_date("d").alias("time"))
+    breaks = spark.createDataFrame([(1,), (2,)], "cp int")
+    dates = lambda **more: {r["cp"]: str(r["date"]) for r in calendar.time_of_index(breaks, axis, "cp", "date", **more).collect()}
+    assert dates() == {1: "2001-01-14", 2: "2001-01-21"} and dates(legacy_offset=True) == {1: "2001-01-21", 2: "None"}
+    labels = spark.createDataFrame([(k, m, v) for k, (a, b) in enumerate([(1, 1), (0, None), (None, 1), (-1, -1)]) for m, v in (("a", a), ("b", b))], "k int, map string, label int")
+    n = lambda **more: agreement.kappa_pairs(labels, ["k"], "map", "label", **more).first()["n"]
+    assert n() == 2 and n(legacy_missing_as_neutral=True) == 4
+
+
+def test_filling_takes_the_nearest_values_on_either_side(spark):
+    y = [None, 2.0, None, None, 8.0, None, 4.0, None]
+    found = [r["filled"] for r in rolling.fill_linear(series(spark, y), ["k"]).orderBy("t").collect()]
+    assert found == pytest.approx([14 / 3, 2, 4, 6, 8, 6, 4, 14 / 3])

@@ -20,7 +20,7 @@ def balanced_sample(df: DataFrame, key: list[str], per_class: int, label: str =
     A cut on the hash that keeps somewhat more than asked for comes before the exact ranking, so the window sees few rows.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    marked = df.join(F.broadcast(sizes), label).withColumn("_h", draw(seed, *key))
+    marked = df.join(sizes, label).withColumn("_h", draw(seed, *key))
     near = marked.where(F.col("_h") < F.lit(float(TOP)) * (per_class + 10 * F.sqrt(F.lit(float(per_class))) + 50) / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", *key))
     return near.withColumn("_r", rank).where(F.col("_r") <= per_class).select(*df.columns)

@@ -138,7 +138,7 @@ def coarsen(df: DataFrame, factor: int, key: list[str], value: str = "value") ->
         w = Window.orderBy(axis)  # the distinct points of one axis
         numbered = points.select(axis, F.floor((F.row_number().over(w) - 1) / factor).alias("_b"), F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / factor).alias("_n"))
         blocks = numbered.where("_b < _n").select(axis, F.avg(axis).over(Window.partitionBy("_b")).alias(f"_{axis}"))
-        out = out.join(F.broadcast(blocks), axis)
+        out = out.join(blocks, axis)
     return out.groupBy(*key, F.col("_lat").alias("lat"), F.col("_lon").alias("lon")).agg(F.avg(value).alias(value))
 
 
