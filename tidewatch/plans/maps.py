@@ -108,7 +108,7 @@ select ccells.k, zone from ccells left join (select k, zone from h union select
 def polygon_zone(spark, d):
     """Zones of all customers' cells, those on a border too."""
     edges = spark.createDataFrame(_EDGES, "zone string, poly_id int, x1 double, y1 double, x2 double, y2 double")
-    return regrid.zone_of_point(customer_cells(spark, d).select("k", "lat", "lon"), edges, levels=(16.0, 4.0)).select("k", "zone")
+    return regrid.zone_of_point(customer_cells(spark, d).select("k", "lat", "lon"), edges, levels=(4.0,)).select("k", "zone")
 
 
 @query(f"with {CELLS} select k, (k % 7 <= 3) not_urban, k % 53 > 25 cropland, k % 53 > 25 and k % 101 >= 60 irrigated, k % 53 > 25 and k % 101 < 60 rainfed from cells")
