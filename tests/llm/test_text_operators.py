@@ -1,7 +1,10 @@
 """Operators on texts against plain versions on small tables: nulls, empty and long texts, repeated rows, no rows, clashing columns."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -530,3 +533,37 @@ def test_fingerprints_stay_alike_when_a_word_is_put_in_front(spark):
     first = f.where("doc_id = 1").select(F.col("lanes").alias("first"))
     near = {r["doc_id"]: r["near"] for r in f.join(first).select("doc_id", fingerprints.likeness(F.col("first"), F.col("lanes")).alias("near")).collect()}
     assert near[1] == 1.0 and min(near[2], near[3], near[4]) > 0.9 and near[5] < 0.5
+
+
+def test_workers_give_memory_back_and_get_texts_once(spark):
+    code = """
+import os
+import re
+import subprocess
+import sys
+import pyarrow as pa
+from tidewatch.llm.words import bounded
+
+def mb():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def given(rows):
+    yield pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array(["x" * 2000] * rows)], names=["id", "text"]).take(pa.array(range(rows)))
+
+assert sum(b.num_rows for b in bounded(given(1))) == 1
+before, rows = mb(), 0
+for _ in range(4):
+    rows += sum(b.num_rows for b in bounded(given(10_000)))
+assert rows == 40_000
+print(mb() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": ":".join(sys.path)})
+    assert float(done.stdout) < 45
+    df = spark.createDataFrame([(1, "the quiet garden", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    model = language_id.LanguageModel(["en"], [1], {})
+    named = language_id.predict(df, model, keep=("text", "doc_id"), names=("_a", "_b"))
+    scored = toxicity.score(df, toxicity.Model(None, None, 0.3), keep=("text", "doc_id"))
+    for found in (named, scored):
+        assert "_text" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(found.select("doc_id", "text").collect()) == sorted(df.select("doc_id", "text").collect())
+    assert {r["doc_id"]: r["_a"] for r in named.collect()} == {1: "en", 2: "und"}

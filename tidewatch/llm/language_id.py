@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Letters, WordIndex, arrow_schema, bounded, columns_of, hash_share, parts, texts_of
+from .words import Letters, WordIndex, arrow_schema, bounded, columns_of, hash_share, parts, sent_once, texts_of
 
 LONGEST = 4
 
@@ -100,8 +100,8 @@ class PartScores:
 
     def extend(self, fresh: list[str]) -> None:
         """Scores of parts that follow those known."""
-        for i in range(0, len(fresh), 50_000):
-            scored, words = self.model.score_parts(fresh[i : i + 50_000])
+        for i in range(0, len(fresh), 20_000):
+            scored, words = self.model.score_parts(fresh[i : i + 20_000])
             self.scored = np.vstack([self.scored, scored.astype(np.float32)])
             self.words = np.concatenate([self.words, words.astype(np.int32)])
 
@@ -180,16 +180,17 @@ def predict(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep
     schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + f", `{names[0]}` string, `{names[1]}` double"
     arrow = arrow_schema(schema)
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the entries of the sample
+    given, at = sent_once(df, keep, text_col)
 
     def task(batches):
         held = vars(sent.value)  # the tasks of a worker share the model and the index
         if "held" not in held:
-            held["held"] = PartScores(sent.value, WordIndex(owner="language_id"))
-        for batch in bounded(batches, len(keep)):
-            named, score = held["held"].of_texts(texts_of(batch.column(len(keep))))
+            held["held"] = PartScores(sent.value, WordIndex(100_000, "language_id"))
+        for batch in bounded(batches, at):
+            named, score = held["held"].of_texts(texts_of(batch.column(at)))
             yield columns_of(arrow, dict(zip(arrow.names, [*batch.columns[: len(keep)], named, score], strict=True)))
 
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(task, schema)
+    return given.mapInArrow(task, schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

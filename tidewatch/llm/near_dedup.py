@@ -50,7 +50,7 @@ BUCKET, FLUSH = 2_000_000, 1_500_000
 _NOT_ALNUM = re.compile(r"[\W_]+")
 #: texts of a bucket that shares its cell with others, texts of such a cell, and texts to a block of larger buckets
 FEW, CELL, BLOCK = 32, 20_000, 1024
-_INDEX = WordIndex(200_000, "near_dedup")
+_INDEX = WordIndex(100_000, "near_dedup")
 
 
 def _word_hash(part: str) -> int:

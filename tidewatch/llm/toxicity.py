@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import language_id
 from .storage import materialize
-from .words import Letters, WordIndex, arrow_schema, bounded, columns_of, parts, share_of, texts_of
+from .words import Letters, WordIndex, arrow_schema, bounded, columns_of, parts, sent_once, share_of, texts_of
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 8
 #: (width, place in the filter) of each group of FILTERS columns in the product with all filters
@@ -210,8 +210,8 @@ class Model:
         docs = [index.number(parts(t)) for t in texts]
         fresh = index.unseen()
         languages.extend(fresh)
-        for i in range(0, len(fresh), 50_000):
-            embedded[:] = [np.vstack([*embedded, self.network.words(*features(fresh[i : i + 50_000]))])]
+        for i in range(0, len(fresh), 20_000):
+            embedded[:] = [np.vstack([*embedded, self.network.words(*features(fresh[i : i + 20_000]))])]
         index.values += [None] * len(fresh)
         return languages.decide(docs)[0], self.network.logits([d + 1 for d in docs], embedded[0]).astype(float)
 
@@ -320,13 +320,14 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[st
     schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + f", `{name}` double"
     arrow = arrow_schema(schema)
     sent = df.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the sample
+    given, at = sent_once(df, keep, text_col)
 
     def task(batches):
-        for batch in bounded(batches, len(keep)):
-            found = sent.value.score(texts_of(batch.column(len(keep))))
+        for batch in bounded(batches, at):
+            found = sent.value.score(texts_of(batch.column(at)))
             yield columns_of(arrow, dict(zip(arrow.names, [*batch.columns[: len(keep)], found], strict=True)))
 
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(task, schema)
+    return given.mapInArrow(task, schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -79,7 +79,15 @@ def texts_of(column) -> list[str]:
 
 
 def bounded(batches, column: int = 1, most: int = 4 << 20, rows: int = 2000):
-    """The same rows in batches of at most `rows` rows, and of at most `most` bytes in `column` unless one row has more."""
+    """The same rows in batches of at most `rows` rows, and of at most `most` bytes in `column` unless one row has more.
+
+    What Arrow's pool keeps of earlier batches goes back to the system: a worker process serves the tasks of many stages
+    and would else hold the most that any of them took.
+    """
+    import pyarrow as pa
+
+    pool = pa.default_memory_pool()
+    pool.release_unused()
     for batch in batches:
         texts = batch.column(column)
         kind = np.int64 if str(texts.type).startswith("large") else np.int32
@@ -89,6 +97,15 @@ def bounded(batches, column: int = 1, most: int = 4 << 20, rows: int = 2000):
             to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1), len(texts))
             yield batch.slice(at, to - at)
             at = to
+        del batch, texts
+        pool.release_unused()
+
+
+def sent_once(df, keep: tuple[str, ...], text_col: str):
+    """The columns `keep` and the text, which is not sent twice if it is one of them; and the place of the text."""
+    if text_col in keep:
+        return df.select(*keep), keep.index(text_col)
+    return df.select(*keep, df[text_col].alias("_text")), len(keep)
 
 
 def parts(text: str) -> list[str]:
